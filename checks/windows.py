@@ -430,8 +430,8 @@ SQL = {
       AND us >= a * 1000000 AND us < (a + 3600) * 1000000""",
     "window_feature_join": feats_sql() + f""", fw AS (SELECT traffic_source_id, ws, {TOTALS} FROM w GROUP BY ALL)
       SELECT {KEYS}, fw.flow_count AS flow_count, feats.flow_count AS feature_flows, {q6('packet_burst_score')} AS burst FROM fw JOIN feats USING (traffic_source_id, ws)""",
-    "page_windows": fw_sql() + f""", rest AS (SELECT *, row_number() OVER (ORDER BY ws) AS at, count(*) OVER () AS n FROM fw WHERE traffic_source_id = 's1' AND ws > 1704844800)
-      SELECT {KEYS}, flow_count, packet_count, CASE WHEN at = 25 AND n > 25 THEN ws END AS next_cursor FROM rest WHERE at <= 25""",
+    "page_windows": fw_sql() + f""", rest AS (SELECT *, row_number() OVER (ORDER BY ws) AS pos, count(*) OVER () AS n FROM fw WHERE traffic_source_id = 's1' AND ws > 1704844800)
+      SELECT {KEYS}, flow_count, packet_count, CASE WHEN pos = 25 AND n > 25 THEN ws END AS next_cursor FROM rest WHERE pos <= 25""",
     "history_sequences": labeled_sql() + f""" SELECT {KEYS}, lag(ws, 10) OVER s AS first, lag(ws, 1) OVER s AS last,
       CAST(sum(byte_count) OVER (PARTITION BY traffic_source_id ORDER BY ws ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS BIGINT) AS history_bytes,
       byte_count, risk, stage FROM lab WINDOW s AS (PARTITION BY traffic_source_id ORDER BY ws) QUALIFY row_index >= 10""",

@@ -28,7 +28,7 @@ def predictions(forecasts: DataFrame, steps: int = fv.FORECAST_STEPS, by: Sequen
         F.col("window_start").alias("observation_window_start"),
         F.col("window_end").alias("forecast_window_start"),
         F.timestamp_seconds(F.unix_seconds("window_end") + steps * 60).alias("forecast_window_end"),
-        F.round(F.col("peak_risk") * 100, 2).cast("decimal(5,2)").alias("risk_score"),
+        F.bround(F.col("peak_risk") * 100, 2).cast("decimal(5,2)").alias("risk_score"),
         F.col("peak_risk_level").alias("risk_level"),
         "predicted_attack_type",
         F.col("peak_risk_stage").alias("predicted_stage"),
@@ -78,7 +78,7 @@ def alerts(
         "target_host",
         F.concat(F.lit("Forecasted "), stage, F.lit(" risk"), qualifier).alias("title"),
         F.format_string(
-            f"The model forecasts %s risk (%.0f/100) in the next {steps} minutes.", F.col("risk_level"), F.col("risk_score").cast("double")
+            f"The model forecasts %s risk (%.0f/100) in the next {steps} minutes.", F.col("risk_level"), F.bround(F.col("risk_score").cast("double"), 0)
         ).alias("summary"),
         F.when(capped, "high").otherwise(F.col("risk_level")).alias("severity"),
         F.lit("open").alias("status"),
@@ -102,8 +102,8 @@ def _next_status(current: Column, requested: Column) -> Column:
 def triage_status(requests: DataFrame, start: str = "open", chunk: int = TRIAGE_CHUNK) -> DataFrame:
     """Replay status requests (``alert_id``, unique ``seq``, ``requested_status``, ...) in order.
 
-    Adds ``from_status``, ``accepted``, ``status`` after the request and ``resolved_seq``, the
-    accepted request that resolved the alert (NULL while it is not resolved).
+    Adds ``from_status``, ``accepted``, ``status`` after the request, and the statuses ``allowed``
+    from ``from_status``.
 
     A replay is a walk through four states, and walks compose: each chunk of requests is first
     reduced to "from each status, where does it end".  These small maps are chained per alert to

@@ -28,10 +28,10 @@ def confusion_metrics(scored: DataFrame, threshold: float = 0.5, by: Sequence[st
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     return counted.withColumns(
         {
-            "precision": F.round(risk.ratio(tp, tp + fp), 4),
-            "recall": F.round(risk.ratio(tp, tp + fn), 4),
-            "f1": F.round(risk.ratio(tp * 2, tp * 2 + fp + fn), 4),
-            "false_positive_rate": F.round(risk.ratio(fp, fp + tn), 4),
+            "precision": F.bround(risk.ratio(tp, tp + fp), 4),
+            "recall": F.bround(risk.ratio(tp, tp + fn), 4),
+            "f1": F.bround(risk.ratio(tp * 2, tp * 2 + fp + fn), 4),
+            "false_positive_rate": F.bround(risk.ratio(fp, fp + tn), 4),
             "support": tn + fp + fn + tp,
             "positive_support": fn + tp,
         }
@@ -126,9 +126,9 @@ def calibrate_threshold(scored: DataFrame, max_false_positive_rate: float = 0.05
     chosen = F.coalesce(F.greatest(F.col("_best"), *fixed), none)
     return found.withColumn("_chosen", chosen).select(
         *by,
-        F.round("_chosen.threshold", 4).alias("threshold"),
-        F.round("_chosen.recall", 4).alias("recall"),
-        F.round("_chosen.rate", 4).alias("false_positive_rate"),
+        F.bround("_chosen.threshold", 4).alias("threshold"),
+        F.bround("_chosen.recall", 4).alias("recall"),
+        F.bround("_chosen.rate", 4).alias("false_positive_rate"),
         F.lit(max_false_positive_rate).alias("max_false_positive_rate"),
     )
 
@@ -213,15 +213,15 @@ def lead_time_summary(scored: DataFrame, threshold: float = 0.5, seconds: int =
         F.count(F.lit(1)).alias("episodes"),
         F.count("lead_time_sec").alias("warned_episodes"),
         F.count_if("missed").alias("missed_episodes"),
-        F.round(F.avg("lead_time_sec"), 1).alias("mean_lead_time_sec"),
-        F.round(F.median("lead_time_sec"), 1).alias("median_lead_time_sec"),
+        F.bround(F.avg("lead_time_sec"), 1).alias("mean_lead_time_sec"),
+        F.bround(F.median("lead_time_sec"), 1).alias("median_lead_time_sec"),
         F.max("lead_time_sec").alias("max_lead_time_sec"),
     )
     hours = F.col("_benign") * seconds / 3600.0
     joined = noise.join(leads, list(by), "left") if by else _one_row(noise, leads)
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("episodes", "warned_episodes", "missed_episodes")}
     return joined.withColumns(zero).withColumn(
-        "false_warnings_per_hour", F.when(F.col("_benign") > 0, F.round(F.col("_false") / hours, 2))
+        "false_warnings_per_hour", F.when(F.col("_benign") > 0, F.bround(F.col("_false") / hours, 2))
     ).drop("_benign", "_false")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,9 +59,9 @@ def rule_forecast(
         "probability", risk.clamp01(top["score"] + F.lit(0.15) * second * (F.lit(1.0) - top["score"]))
     )
     p = F.col("probability")
-    confidence = F.round(F.least(F.lit(0.85), F.lit(0.45) + F.lit(0.40) * risk.decisiveness(p)), 3)
+    confidence = F.bround(F.least(F.lit(0.85), F.lit(0.45) + F.lit(0.40) * risk.decisiveness(p)), 3)
     return (
-        df.withColumns({"risk_score": F.round(F.lit(100.0) * p, 1), "confidence_score": confidence})
+        df.withColumns({"risk_score": F.bround(F.lit(100.0) * p, 1), "confidence_score": confidence})
         .withColumns(
             {
                 "top_family": top["family"],
@@ -84,8 +85,12 @@ def rule_forecast(
 def _sentence(feature: str) -> Column:
     pattern, shown_as = fv.RULE_SENTENCES[feature]
     value = F.col(feature).cast("double")
-    shown = {"value": value, "percent": value * 100, "whole": value.cast("bigint")}[shown_as]
-    return F.format_string(pattern, shown)
+    if shown_as == "whole":
+        return F.format_string(pattern, value.cast("bigint"))
+    shown = value * 100 if shown_as == "percent" else value
+    digits = int(re.search(r"\.(\d)f", pattern).group(1))
+    # Rounded half-even first: the formatter alone would round halves up.
+    return F.format_string(pattern, F.bround(shown, digits))
 
 
 def rule_explanations(forecast: DataFrame, top: int = 3) -> DataFrame:
@@ -119,7 +124,7 @@ def rule_explanations(forecast: DataFrame, top: int = 3) -> DataFrame:
         F.slice("_firing", 1, top),
         lambda t: F.struct(
             t["feature"].alias("feature"),
-            F.round(t["weight"] / F.col("_total"), 3).alias("contribution"),
+            F.bround(t["weight"] / F.col("_total"), 3).alias("contribution"),
             t["description"].alias("description"),
             t["value"].alias("feature_value"),
             t["baseline"].alias("baseline_value"),
@@ -196,7 +201,7 @@ def peak_step(forecast: DataFrame, timeline: str = "risk_timeline") -> DataFrame
 
 def forecast_confidence(peaked: DataFrame) -> DataFrame:
     """Half the stage certainty, half how decisive the risk is, both at the peak."""
-    score = F.round(
+    score = F.bround(
         F.lit(0.5) * F.col("peak_stage_confidence") + F.lit(0.5) * risk.decisiveness(F.col("peak_risk")), 3
     )
     return peaked.withColumn("confidence_score", score).withColumn(
@@ -218,8 +223,8 @@ def ood_report(
     for name, i in names.items():
         z = (F.col(name) - F.col(f"mean.{name}")) / F.col(f"std.{name}")
         entries.append(
-            F.struct(F.abs(F.round(z, 2)).alias("size"), F.lit(-i).alias("order"), F.lit(name).alias("feature"),
-                     F.round(z, 2).alias("z_score"), (F.abs(z) > fv.OOD_Z).alias("far"))
+            F.struct(F.abs(F.bround(z, 2)).alias("size"), F.lit(-i).alias("order"), F.lit(name).alias("feature"),
+                     F.bround(z, 2).alias("z_score"), (F.abs(z) > fv.OOD_Z).alias("far"))
         )
     far = F.sort_array(F.filter(F.array(*entries), lambda e: e["far"]), asc=False)
     shown = F.transform(far, lambda e: F.struct(e["feature"].alias("feature"), e["z_score"].alias("z_score")))
