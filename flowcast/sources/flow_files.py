@@ -13,7 +13,7 @@ from flowcast import fixed_values as fv
 from flowcast.functions import dataset, sensor
 from flowcast.functions.addresses import decimal_ipv4
 from flowcast.functions.labels import dataset_label, dataset_label_or_null, timeline_label
-from flowcast.functions.rows import iso_time, stripped
+from flowcast.functions.rows import epoch_time, iso_time, stripped
 from flowcast.operators.normalize import parse_flows
 
 
@@ -226,7 +226,7 @@ def sensor_rows(records: DataFrame) -> DataFrame:
     return usable.select(
         *[F.col(f"`{e}`") for e in extra],
         c("uid").alias("uid"),
-        c("ts").alias("timestamp"),
+        F.date_format(epoch_time(ts.try_cast("double")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         c("id.orig_h").alias("src_ip"),
         c("id.resp_h").alias("dst_ip"),
         number(sensor.optional_whole(c("id.orig_p"))).alias("src_port"),

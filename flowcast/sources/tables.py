@@ -33,7 +33,8 @@ def upsert_table(rows: DataFrame, path: str, keys: Sequence[str], partitions: Se
         affected = old.join(F.broadcast(touched) if _few(touched) else touched, list(partitions), "left_semi")
         kept = affected.join(rows.select(*keys), list(keys), "left_anti")
         merged = kept.unionByName(rows, allowMissingColumns=True)
-    writer = merged.repartition(*[F.col(p) for p in partitions], F.pmod(F.xxhash64(*keys), F.lit(8)))
+    # Rebalancing keeps one file per small partition and lets adaptive execution split a hot one.
+    writer = merged.hint("rebalance", *partitions)
     writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
