@@ -156,7 +156,7 @@ def query_upsert(spark, sf):
     from checks.windows import wins
 
     path = folder_for(spark) + "/windows"
-    rows = wins(spark, sf).withColumn("window_date", F.to_date("window_start"))
+    rows = wins(spark, sf).withColumn("window_date", F.to_date(F.date_trunc("month", "window_start")))
     for _ in range(2):
         tables.upsert_table(rows, path, [*BY, "window_start"], [*BY, "window_date"])
     return show(spark.read.parquet(path), ["flow_count", "packet_count", "byte_count"])
@@ -280,7 +280,7 @@ def _feature_stream(spark, sf) -> str:
     for i in range(3):
         f.filter(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(root + "/in")
     stream = spark.readStream.schema(spark.read.parquet(root + "/in").schema).option("maxFilesPerTrigger", 1).parquet(root + "/in")
-    _drain(live.stream_scores(stream, "q", root, root + "/cp", W))
+    _drain(live.stream_scores(stream, "q", root, root + "/cp", W, "month"))
     return root
 
 

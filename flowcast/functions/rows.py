@@ -75,8 +75,12 @@ def iso_time(text: Column) -> Column:
     colon = F.concat(F.left(text, F.length(text) - 2), F.lit(":"), F.right(text, F.lit(2)))
     rewritten = F.when(usual, text).when(text.rlike("[+-][0-9]{4}$"), colon).otherwise(text)
     dotted = F.when(text.contains(","), F.replace(rewritten, F.lit(","), F.lit("."))).otherwise(rewritten)
+    # A time without seconds (the zone starts at the 17th character) gets them.
+    timed = F.when(F.substring(text, 17, 1) == ":", dotted).otherwise(
+        F.concat(F.left(dotted, F.lit(16)), F.lit(":00"), F.substring(dotted, 17, 6))
+    )
     basic = F.when(text.rlike(_ISO_BASIC), F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmssXX")))
-    return F.when(text.rlike(_ISO), dotted.try_cast("timestamp")).otherwise(basic)
+    return F.when(text.rlike(_ISO), timed.try_cast("timestamp")).otherwise(basic)
 
 
 def event_time(text: Column) -> Rule:

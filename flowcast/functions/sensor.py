@@ -23,8 +23,9 @@ def optional_whole(text: Column) -> Column:
 
 
 def milliseconds(seconds: Column) -> Column:
-    """Seconds -> whole milliseconds, truncated."""
-    return F.greatest(F.lit(0).cast("bigint"), (real_number(present(seconds)) * 1000).try_cast("bigint"))
+    """Seconds -> whole milliseconds, truncated; NULL when there is none."""
+    number = (real_number(present(seconds)) * 1000).try_cast("bigint")
+    return F.when(number.isNotNull(), F.greatest(F.lit(0).cast("bigint"), number))
 
 
 def history_flags(history: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -118,19 +118,28 @@ def _around(base: DataFrame, touched: DataFrame, by: Sequence[str]) -> DataFrame
     return ranked.filter(F.col("_side") == "in").unionByName(outer.drop("_rank")).drop("_low", "_high", "_distance")
 
 
-def refresh_features(spark: SparkSession, batch: DataFrame, flows_path: str, base_path: str, features_path: str, seconds: int = 60, by: Sequence[str] = SOURCE) -> DataFrame:
+def _period(time: str, unit: str) -> Column:
+    """Directory a row is stored in: its ``day`` or ``month``."""
+    return F.to_date(F.date_trunc(unit, time))
+
+
+def refresh_features(
+    spark: SparkSession, batch: DataFrame, flows_path: str, base_path: str, features_path: str, seconds: int = 60,
+    by: Sequence[str] = SOURCE, period: str = "day",
+) -> DataFrame:
     """Recompute the windows a batch of flows touches, and the up to four windows after them.
 
-    Reads only the flows of touched windows (source and day partitions prune the rest) and the stored
-    one-window features around them; returns the refreshed feature rows.
+    Reads only the flows of touched windows (source and period directories prune the rest) and the
+    stored one-window features around them; returns the stored feature rows from the first touched
+    window of each source on.
     """
     touched = batch.select(*by, window_start(seconds).alias("window_start")).distinct()
-    days = touched.select(*by, F.to_date("window_start").alias("flow_date")).distinct()
+    days = touched.select(*by, _period("window_start", period).alias("flow_date")).distinct()
     stored = spark.read.parquet(flows_path).join(days, [*by, "flow_date"], "left_semi")
     flows = stored.withColumn("_start", window_start(seconds))
     renamed = touched.withColumnRenamed("window_start", "_start")
     flows = flows.join(renamed, [*by, "_start"], "left_semi").drop("_start")
-    base = base_features(flows, seconds, by).withColumn("window_date", F.to_date("window_start"))
+    base = base_features(flows, seconds, by).withColumn("window_date", _period("window_start", period))
     upsert_table(base, base_path, [*by, "window_start"], [*by, "window_date"])
     around = _around(table_or_none(spark, base_path), touched, by)
     full = with_momentum(around, seconds, by).filter(F.col("_side") != "before")
@@ -141,11 +150,14 @@ def refresh_features(spark: SparkSession, batch: DataFrame, flows_path: str, bas
         F.lit(fv.FEATURE_SCHEMA_VERSION).alias("feature_schema_version"), "window_date",
     )
     upsert_table(refreshed, features_path, [*by, "window_start"], [*by, "window_date"])
-    stored_features = spark.read.parquet(features_path)
-    return stored_features.join(refreshed.select(*by, "window_start"), [*by, "window_start"], "left_semi")
+    first = touched.groupBy(*by).agg(F.min("window_start").alias("_low"))
+    stored_features = spark.read.parquet(features_path).join(first, list(by))
+    return stored_features.filter(
+        (F.col("window_date") >= _period("_low", period)) & (F.col("window_start") >= F.col("_low"))
+    ).drop("_low")
 
 
-def feature_sink(query: str, flows_path: str, base_path: str, features_path: str, scores_path: str | None = None, seconds: int = 60, by: Sequence[str] = SOURCE) -> Callable[[DataFrame, int], None]:
+def feature_sink(query: str, flows_path: str, base_path: str, features_path: str, scores_path: str | None = None, seconds: int = 60, by: Sequence[str] = SOURCE, period: str = "day") -> Callable[[DataFrame, int], None]:
     """Sink that stores the flows, refreshes the features and, if wanted, scores each newest refreshed window."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -153,27 +165,27 @@ def feature_sink(query: str, flows_path: str, base_path: str, features_path: str
         if batch.isEmpty():
             return
         rows = batch.withColumns(
-            {"extra": F.to_json("extra"), "flow_date": F.to_date("observed_at"), "query": F.lit(query), "batch_id": F.lit(batch_id).cast("bigint")}
+            {"extra": F.to_json("extra"), "flow_date": _period("observed_at", period), "query": F.lit(query), "batch_id": F.lit(batch_id).cast("bigint")}
         )
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*by, "flow_date", "query", "batch_id").parquet(flows_path)
-        refreshed = refresh_features(spark, batch, flows_path, base_path, features_path, seconds, by)
+        refreshed = refresh_features(spark, batch, flows_path, base_path, features_path, seconds, by, period)
         if scores_path is not None:
             newest = latest_window(valid_features(refreshed), by)
-            scores = rule_payload(newest, by).withColumn("window_date", F.to_date("window_start"))
+            scores = rule_payload(newest, by).withColumn("window_date", _period("window_start", period))
             upsert_table(scores, scores_path, [*by, "window_start"], [*by, "window_date"])
 
     return write
 
 
-def stream_features(flows: DataFrame, query: str, flows_path: str, base_path: str, features_path: str, checkpoint: str, scores_path: str | None = None, seconds: int = 60) -> DataStreamWriter:
+def stream_features(flows: DataFrame, query: str, flows_path: str, base_path: str, features_path: str, checkpoint: str, scores_path: str | None = None, seconds: int = 60, period: str = "day") -> DataStreamWriter:
     """Incremental features; late flows rewrite their window and the ones that look back at it."""
-    sink = feature_sink(query, flows_path, base_path, features_path, scores_path, seconds)
+    sink = feature_sink(query, flows_path, base_path, features_path, scores_path, seconds, period=period)
     return flows.writeStream.queryName(query).option("checkpointLocation", checkpoint).foreachBatch(sink)
 
 
-def stream_scores(flows: DataFrame, query: str, root: str, checkpoint: str, seconds: int = 60) -> DataStreamWriter:
+def stream_scores(flows: DataFrame, query: str, root: str, checkpoint: str, seconds: int = 60, period: str = "day") -> DataStreamWriter:
     """Rule forecast of each refreshed newest window, kept in ``root``/scores."""
     return stream_features(
-        flows, query, f"{root}/flows", f"{root}/base", f"{root}/features", checkpoint, f"{root}/scores", seconds
+        flows, query, f"{root}/flows", f"{root}/base", f"{root}/features", checkpoint, f"{root}/scores", seconds, period
     )
