@@ -320,7 +320,7 @@ def query_alert_status(spark, folder):
 
 
 def comments(spark, folder):
-    """Every event of an even k also leaves a comment."""
+    """Every request also leaves a comment."""
     r = requests(spark, folder)
     return r.select("alert_id", (F.col("seq") + F.lit(10_000_000)).alias("seq"), "note", "actor", "created_at")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowcast import fixed_values as fv
@@ -270,11 +270,9 @@ def forecast_policy(features: DataFrame, learned: DataFrame | None = None, by: S
     A source needs ten windows for the learned model; a source whose newest vector breaks the
     contract gets no forecast (it is in ``rejected_forecasts``).
     """
-    ordered = Window.partitionBy(*by).orderBy(F.desc("window_start"))
-    counts = features.groupBy(*by).agg(F.count(F.lit(1)).alias("window_count"))
-    newest = features.withColumn("_age", F.row_number().over(ordered)).filter(F.col("_age") == 1).drop("_age")
+    newest = _newest_with_count(features, by)
     valid = feature_violations(newest).filter(F.size("violations") == 0).drop("violations")
-    rules = rule_payload(valid, by).join(counts, list(by))
+    rules = rule_payload(valid, [*by, "window_count"])
     enough = F.col("window_count") >= fv.HISTORY_WINDOWS
     if learned is None:
         usable, reason = F.lit(False), F.lit("MODEL_UNAVAILABLE")
@@ -297,10 +295,18 @@ def forecast_policy(features: DataFrame, learned: DataFrame | None = None, by: S
     )
 
 
+def _newest_with_count(features: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Newest vector of each source and its number of windows, from one map-side aggregation."""
+    others = [c for c in features.columns if c not in by]
+    found = features.groupBy(*by).agg(
+        F.max_by(F.struct(*others), "window_start").alias("_newest"), F.count(F.lit(1)).alias("window_count")
+    )
+    return found.select(*by, *[F.col("_newest")[c].alias(c) for c in others], "window_count")
+
+
 def rejected_forecasts(sources: DataFrame, features: DataFrame, by: Sequence[str] = SOURCE) -> DataFrame:
     """Sources that get no forecast: without any window, or with a newest vector that breaks the contract."""
-    ordered = Window.partitionBy(*by).orderBy(F.desc("window_start"))
-    newest = features.withColumn("_age", F.row_number().over(ordered)).filter(F.col("_age") == 1)
+    newest = _newest_with_count(features, by)
     broken = feature_violations(newest).select(*by, "violations")
     joined = sources.select(*by).distinct().join(broken, list(by), "left")
     return joined.filter(F.col("violations").isNull() | (F.size("violations") > 0)).select(
