@@ -13,7 +13,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.rules import EV, upload
+from checks.rules import EV, PARSED_CTE, upload
 from checks.testbed import events, flows, flows_sql
 from checks.windows import BY, W, labeled, query_window_features, show, split
 from flowcast import fixed_values as fv
@@ -329,6 +329,10 @@ def _sql() -> dict[str, str]:
     newest = feats_sql() + scores_cte() + " SELECT traffic_source_id, ws AS window_start, risk_score / 100.0 AS peak_risk, predicted_attack_type FROM fc QUALIFY ws = max(ws) OVER (PARTITION BY traffic_source_id)"
     days = "days AS (SELECT DISTINCT epoch_us(date_trunc('day', ts)) // 1000000 AS d FROM events)"
     return {
+        "read_flow_csv": PARSED_CTE + " SELECT CAST(CASE WHEN problems = '' THEN 0 ELSE len(string_split(problems, ',')) END AS INTEGER) AS problems, count(*) AS rows, CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(byte_count) AS BIGINT) AS bytes FROM judged GROUP BY 1",
+        "load_manifest": PARSED_CTE + ", c AS (SELECT count(*) AS n, count(*) FILTER (problems = '') AS k FROM judged) SELECT n AS total_rows, k AS accepted_rows, n - k AS skipped_rows, 'completed' AS status, true AS second_is_duplicate, k AS stored_rows FROM c",
+        "stream_live_batches": "SELECT 'completed' AS status, count(*) AS total_rows, count(*) AS accepted_rows FROM events",
+        "stream_flow_windows": W_SQL["flow_windows"].replace("// 60 * 60", f"// {W} * {W}") + f" WHERE (ws + {W}) * 1000000 <= (SELECT max(us) FROM flows) - 120000000",
         "parse_flexible_time": f"{EV} SELECT event_id, CASE event_id % 6 WHEN 1 THEN us // 60000000 * 60 WHEN 4 THEN us // 60000000 * 60 WHEN 5 THEN NULL ELSE us // 1000000 END AS seconds FROM ev",
         "replay_timeline": f"{EV} SELECT event_id, 1499040000 + event_id * 20 // 1000 AS seconds FROM ev",
         "read_cicids_csv": DATASET_SQL,
