@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from flowcast.llm import stream_dedup
+from flowcast.llm import packing, stream_dedup
 
 QUERIES = {
     "op5_stream_dedup": stream_dedup.query,
+    "op10_best_fit_packing": packing.query,
 }
 SQL = {
     "op5_stream_dedup": stream_dedup.SQL,
