@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from flowcast.llm import packing, stream_dedup
+from flowcast.llm import packing, quality, stream_dedup, toxicity
 
 QUERIES = {
+    "op4_toxicity_kernel": toxicity.query,
     "op5_stream_dedup": stream_dedup.query,
+    "op6_quality_ftrl": quality.query,
     "op10_best_fit_packing": packing.query,
 }
 SQL = {
