@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from flowcast.llm import packing, quality, stream_dedup, toxicity
+from flowcast.llm import packing, positional_index, quality, stream_dedup, toxicity
 
 QUERIES = {
+    "op1_positional_index": positional_index.query,
     "op4_toxicity_kernel": toxicity.query,
     "op5_stream_dedup": stream_dedup.query,
     "op6_quality_ftrl": quality.query,
     "op10_best_fit_packing": packing.query,
 }
 SQL = {
+    "op1_positional_index": positional_index.SQL,
     "op5_stream_dedup": stream_dedup.SQL,
 }
