@@ -13,45 +13,60 @@ import re
 import numpy as np
 
 _BLANKS = re.compile("[ \t\n\r\x0b\x0c]+")
-_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)\Z")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but for the apostrophe, which starts endings
 _loaded: dict[str, "Encoder"] = {}
 
 
 def _pieces(text: str) -> list[str]:
-    """What lies between blanks; Python also splits at four separators that the tokenizer doesn't drop."""
+    """What lies between blanks; Python also splits at four separators that the tokenizer doesn't drop.
+
+    Latin-1 text has no marks that combine, so its case may be dropped before the tokenizer does so.
+    """
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
     return _BLANKS.split(text) if any(mark in text for mark in "\x1c\x1d\x1e\x1f") else text.split()
 
 
+class _Known(dict):
+    """Ids of pieces; a piece that is not known yet comes back as it is and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> str:
+        self.new.append(piece)
+        return piece
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. ``remembered`` pieces are kept at most."""
 
-    def __init__(self, path: str, remembered: int = 700_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer, self._remembered = Tokenizer.from_file(path), remembered
-        self._known: dict[str, bytes] = {}
+        self._known = _Known()
         self._ids: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
         """A run of letters with plain marks behind it is the ids of the letters and those of the marks."""
-        ids, parts, words, others = self._ids, [], set(), set()
-        for piece in pieces:
-            m = _WORD_AND_MARKS.match(piece)
-            if m and (word := m[1]).isalpha():
-                word, marks = word.lower() if word.isascii() else word, m[2]
-                words.add(word)
-                if marks:
-                    others.add(marks)
-            else:
-                word, marks = piece, ""
-                others.add(piece)
-            parts.append((word, marks))
+        ids = self._ids
+        heads = [piece.rstrip(_MARKS) for piece in pieces]
+        heads = [(head.lower() if head.isascii() else head) if head.isalpha() else "" for head in heads]
+        words = {head for head in heads if head}
+        tails = [piece[len(head):] if head else piece for piece, head in zip(pieces, heads, strict=True)]
+        others = {tail for tail in tails if tail}
         self._learn_words([word for word in words if word not in ids])
         others = [piece for piece in others if piece not in ids]
         for piece, found in zip(others, self._tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
             ids[piece] = np.asarray(found.ids, dtype="<u4").tobytes()
-        self._known.update(zip(pieces, [ids[w] + ids[m] if m else ids[w] for w, m in parts], strict=True))
+        ids[""] = b""
+        self._known.update(zip(pieces, [ids[head] + ids[tail] for head, tail in zip(heads, tails, strict=True)], strict=True))
 
     def _learn_words(self, words: list[str]) -> None:
         """Many words go through the tokenizer as one text; it numbers the words that ids belong to."""
@@ -69,22 +84,21 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Texts that are null or blank have no ids."""
-        found, size, split = [], 0, []
-        for text in texts:
-            split.append(_pieces(text) if text else [])
-            size += len(split[-1])
-            if size > 200_000:
-                found += self._encode(split)
-                split, size = [], 0
-        return found + self._encode(split)
-
-    def _encode(self, split: list[list[str]]) -> list[bytes]:
-        for memory in (self._known, self._ids):
-            if len(memory) > self._remembered:
-                memory.clear()
         known = self._known
-        self._learn([piece for piece in set().union(*split) if piece not in known])
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        if len(known) > self._remembered:
+            known.clear()
+        if len(self._ids) > self._remembered:
+            self._ids.clear()
+        found: list[bytes | list] = []
+        for text in texts:
+            before = len(known.new)
+            parts = list(map(known.__getitem__, _pieces(text))) if text else []
+            found.append(b"".join(parts) if len(known.new) == before else parts)
+        if known.new:
+            self._learn(list(set(known.new)))
+            known.new.clear()
+            found = [own if type(own) is bytes else b"".join([p if type(p) is bytes else known[p] for p in own]) for own in found]
+        return found
 
 
 def encoder(path: str) -> Encoder:
