@@ -99,25 +99,25 @@ def _nodes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return _mix(sums[bounds[1:]] - sums[bounds[:-1]], 3).view(np.int64)
 
 
-READ = "doc_id long, node long, n_shingles long, slice int, counts binary"
+READ = "doc_id long, row long, node long, n_shingles long, slice int, counts binary"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's set number and size, then the task's counts of shingle hashes in compressed slices."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
     counts = np.zeros(2**SKETCH_BITS, np.uint32)
     for batch in batches:
         for part in _slices(batch):
             value, bounds = shingle_sets(part["text"].to_pylist())
             np.add.at(counts, value >> _U(64 - SKETCH_BITS), np.uint32(1))
             n = len(bounds) - 1
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(_nodes(value, bounds)), pa.array(np.diff(bounds)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["row"], pa.array(_nodes(value, bounds)), pa.array(np.diff(bounds)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
     size = 2**SLICE_BITS
     for k in range(2**(SKETCH_BITS - SLICE_BITS)):
         own = counts[k * size:(k + 1) * size]
         if own.any():
             packed = zlib.compress(np.minimum(own, 65535).astype("<u2").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([packed], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([packed], pa.binary())], schema=schema)
 
 
 def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,8 @@ def _prefix(own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def index_keys(own: np.ndarray, classes: np.ndarray, frequent: int) -> tuple[np.ndarray, int]:
-    """Index keys of a set, and its share of rare shingles in thousandths."""
+    """Index keys of a set, and its rank as a pivot: twice its share of rare shingles in thousandths, odd if any shingle
+    of its prefix is frequent."""
     own, kind, prefix = _prefix(own, classes)
     rare_share = int(1000 * (kind < frequent).mean())
     head, often = own[:prefix + 1], kind[:prefix + 1] >= frequent
@@ -164,7 +165,7 @@ def index_keys(own: np.ndarray, classes: np.ndarray, frequent: int) -> tuple[np.
             keys.append(_mix(head[often][a] * _U(0xD1342543DE82EF95) + head[often][b], 4))
         if len(own) >= PAIRED * PERCENT // 100:
             keys.append(head[often])
-    return np.concatenate(keys).view(np.int64), rare_share
+    return np.concatenate(keys).view(np.int64), 2 * rare_share + int(often.any())
 
 
 def _index(shared: Broadcast):
@@ -191,29 +192,30 @@ def _index(shared: Broadcast):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, score and node: (pivot, node) for each key, and (key, node) where three or more nodes meet.
+    """Rows sorted by key, score and node: (pivot, node, both hold frequent shingles) for each key, and (key, node) where
+    three or more nodes meet.
 
     Keeps one key's pivot, second node and count between batches, so memory does not depend on how often a key occurs.
     """
     last_key = last_node = pivot = second = None
-    count = 0
+    count, pivot_odd = 0, False
     for batch in batches:
-        key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
+        key, node, odd = batch["key"].to_numpy(), batch["node"].to_numpy(), batch["score"].to_numpy() % 2 == 1
         if not len(key):
             continue
         same = np.append(last_key is not None and key[0] == last_key and node[0] == last_node, (np.diff(key) == 0) & (np.diff(node) == 0))
         last_node = node[-1]
-        key, node = key[~same], node[~same]
+        key, node, odd = key[~same], node[~same], odd[~same]
         if not len(key):
             continue
         goes_on = last_key is not None and key[0] == last_key
         first = np.flatnonzero(np.append(True, np.diff(key) != 0))
         run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
         rank = np.arange(len(key)) - first[run]
-        pivots, seconds = node[first].copy(), node[np.minimum(first + 1, len(node) - 1)].copy()
+        pivots, odds, seconds = node[first].copy(), odd[first].copy(), node[np.minimum(first + 1, len(node) - 1)].copy()
         if goes_on:
             rank[run == 0] += count
-            pivots[0] = pivot
+            pivots[0], odds[0] = pivot, pivot_odd
             seconds[0] = second if count > 1 else node[0]
         at = np.flatnonzero(rank >= 1)
         third, more = np.flatnonzero(rank == 2), np.flatnonzero(rank >= 2)
@@ -222,17 +224,20 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = np.concatenate([pivots[run[at]], crowd_key])
         b = np.concatenate([node[at], crowd_node])
         crowd = np.arange(len(a)) >= len(at)
-        last_key, pivot, second, count = key[-1], pivots[-1], seconds[-1], int(rank[-1]) + 1
+        both = np.append(odds[run[at]] & odd[at], np.zeros(len(crowd_key), bool))
+        last_key, pivot, second, count, pivot_odd = key[-1], pivots[-1], seconds[-1], int(rank[-1]) + 1, bool(odds[-1])
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.array(a), pa.array(b)], names=["crowd", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.array(a), pa.array(b), pa.array(both)], names=["crowd", "a", "b", "both"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _slices(batch):
             value, bounds = shingle_sets(part["text"].to_pylist())
-            sets = [value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(_nodes(value, bounds)), pa.array(sets, pa.binary())], names=["node", "hashes"])
+            node = _nodes(value, bounds)
+            own = np.flatnonzero(node == part["node"].to_numpy())  # a doc_id may stand for several texts
+            sets = [value[bounds[i]:bounds[i + 1]].tobytes() for i in own]
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,15 +294,22 @@ def _between(rows: DataFrame, apart: str) -> DataFrame:
 def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch: Scratch) -> DataFrame:
     """(node, root) of all sets that are linked with another one."""
     keys = docs.select("text").mapInArrow(_index(shared), "key long, node long, score int")
-    met = scratch.put(keys.repartition("key").sortWithinPartitions("key", "score", "node").mapInArrow(_stars, "crowd boolean, a long, b long"), "met")
-    edges = scratch.put(met.where("NOT crowd").select("a", "b").distinct(), "edges")
+    met = scratch.put(keys.repartition("key").sortWithinPartitions("key", "score", "node").mapInArrow(_stars, "crowd boolean, a long, b long, both boolean"), "met")
     crowd = met.where("crowd").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    crowded = scratch.put(crowd.select("node").distinct(), "crowded")
+    # Similar sets share two keys of their longer prefixes, or one and a pair with a frequent shingle in it. In a crowd
+    # the two may have met elsewhere than at a pivot, and every node there needs a pivot to be measured by.
+    edges = met.where("NOT crowd").groupBy("a", "b").agg((F.count(F.lit(1)) > 1).alias("twice"), F.max("both").alias("both"))
+    for side in ("a", "b"):
+        edges = edges.join(reps.select(F.col("node").alias(side), F.col("n").alias(f"n{side}")), side)
+        edges = edges.join(crowded.select(F.col("node").alias(side), F.lit(True).alias(f"crowd_{side}")), side, "left")
+    fit = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    edges = scratch.put(edges.where(F.col("crowd_b") | (fit & (F.col("twice") | F.col("both") | F.col("crowd_a")))).select("a", "b"), "edges")
 
     # Sets of the nodes that met another one, each computed once from its representative.
     involved = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = reps.join(involved, "node", "left_semi").select("doc_id").distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").select("text")
-    sets = scratch.put(texts.mapInArrow(_set_rows, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    wanted = reps.join(involved, "node", "left_semi").select("doc_id", "node")
+    sets = scratch.put(docs.join(wanted, "doc_id").select("text", "node").mapInArrow(_set_rows, "node long, hashes binary"), "sets")
 
     compared = scratch.put(_compared(edges, sets), "compared")
     link = _linked(F.col("common"), F.col("na"), F.col("nb"))
@@ -308,7 +320,6 @@ def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch:
     best = compared.select(F.col("b").alias("node"), F.col("a").alias("anchor"), "common", F.col("nb").alias("n"), share.alias("share"), F.col("na").alias("n_anchor"))
     own = compared.select(F.col("a").alias("node"), F.col("a").alias("anchor"), F.col("na").alias("common"), F.col("na").alias("n"), F.lit(0.3).alias("share"), F.col("na").alias("n_anchor"))
     anchors = best.unionByName(own.distinct()).groupBy("node").agg(F.max_by(F.struct("anchor", "common", "n", "n_anchor"), F.struct("share", -F.col("anchor"))).alias("p"))
-    crowded = crowd.select("node").distinct()
     known = anchors.select("node", "p.*").join(crowded, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = scratch.put(known, "known")
 
@@ -337,7 +348,8 @@ def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
+    """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links; besides
+    component (a number per component, null without shingles) and row (the number of the row in ``docs``).
 
     Two documents link when 100 x common >= 75 x united shingles. Null, empty and blank texts have no shingles and
     are linked with nothing; texts of one to four words are one shingle. Equal sets are one node, whatever their number.
@@ -346,20 +358,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = scratch.put(docs.mapInArrow(_read, READ), "read")
-    members = read.where("slice IS NULL").select("doc_id", "node", "n_shingles")
+    read = scratch.put(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(_read, READ), "read")
+    members = read.where("slice IS NULL").select("doc_id", "row", "node", "n_shingles")
     filled = members.where("n_shingles > 0")
-    reps = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    reps = scratch.put(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "reps")
     shared = spark.sparkContext.broadcast(frequency_classes(read))
     roots = similar_nodes(docs, reps, shared, scratch)
-    named = filled.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = scratch.put(named.select("doc_id", "node", "root").distinct(), "named")
-    least = named.groupBy("root").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("component_id"))
-    of_node = named.select("node", "root").distinct().join(least, "root").select("node", "component_id")
-    found = filled.join(of_node, "node").select("doc_id", "n_shingles", "component_id")
-    bare = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("component_id"))
+    named = filled.groupBy("node").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("least"))
+    named = scratch.put(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = named.select("node", "root").join(least, "root").select("node", "root", "component_id")
+    found = filled.join(of_node, "node").select("doc_id", "n_shingles", "component_id", F.col("root").alias("component"), "row")
+    bare = members.where("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("component_id"), F.lit(None).cast("long").alias("component"), "row")
     return scratch.keep(found.unionByName(bare).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
