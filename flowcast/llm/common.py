@@ -70,3 +70,13 @@ def lower_ascii(word: Column) -> Column:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def row_number(docs: DataFrame) -> DataFrame:
+    """The rows of a written table with a number each in ``_row``: the same numbers whenever the table is scanned."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` (a written table) without the rows whose number is in ``dropped`` (_row)."""
+    return row_number(docs).join(dropped, "_row", "left_anti").drop("_row")

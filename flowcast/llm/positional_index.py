@@ -125,7 +125,7 @@ def prepare(docs: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[DataFr
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, row (the number of the row in ``docs``).
 
     Null and empty texts have no words and no hits. Items without words match nothing; a null item_id counts as a hit but
     is not listed. Repeated documents and items are matched each for itself. Empty tables give no rows, or rows without
@@ -142,11 +142,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return scratch.keep(rows.join(hit, "doc", "left").join(named, "doc", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.array_size("names"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.concat_ws(",", "names"), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")))
+        F.sha2(F.coalesce(F.concat_ws(",", "names"), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("doc").alias("row")))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("row")
 
 
 SQL = r"""

@@ -74,11 +74,14 @@ def run_stream(spark: SparkSession, arrivals: str, state: str, groups: str, file
 def _by_text(docs: DataFrame, digest) -> DataFrame:
     """Groups of one digest made by the text itself (only for digests that several texts share)."""
     text = normalised(F.col("text"))
-    return docs.select("doc_id", "text", digest(text).alias("digest"), text.alias("norm"))
+    return docs.select("doc_id", "text", "locator_of_row", digest(text).alias("digest"), text.alias("norm"))
 
 
 def exact_duplicates(docs: DataFrame, digest=sha256, locator: Column | None = None, files_per_batch: int = 1000) -> DataFrame:
-    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, keep_locator.
+    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator, keep_locator.
+
+    ``locator`` says where a row's content is found (a file and row, for instance); both the row's own and that of the row
+    that stays are returned.
 
     Texts are equal when identical without blanks; the longest original stays, then the smallest doc_id. Null text is
     the empty text, and all empty texts are one group. A null doc_id loses ties. Rows that repeat entirely are
@@ -86,8 +89,9 @@ def exact_duplicates(docs: DataFrame, digest=sha256, locator: Column | None = No
     whatever their names, are not touched.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "exact-dedup")
-    docs = docs.select("doc_id", "text", *([locator.alias("locator_of_row")] if locator is not None else []))
-    land_arrivals(docs, scratch.path("arrivals"), digest, None if locator is None else F.col("locator_of_row"))
+    place = F.lit(None) if locator is None else locator
+    docs = docs.select("doc_id", "text", place.cast("string").alias("locator_of_row"))
+    land_arrivals(docs, scratch.path("arrivals"), digest, F.col("locator_of_row"))
     arrivals = spark.read.parquet(scratch.path("arrivals"))
     run_stream(spark, scratch.path("arrivals"), scratch.path("state"), scratch.path("groups"), files_per_batch)
     schema = "digest string, first struct<shorter: long, no_id: boolean, doc_id: long, arrival: string, locator: string>, group_size long, batch int, take int"
@@ -102,18 +106,18 @@ def exact_duplicates(docs: DataFrame, digest=sha256, locator: Column | None = No
 
     named = arrivals.join(groups, "digest").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
-        (F.col("arrival") == F.col("first.arrival")).alias("kept"), F.col("digest"), F.col("first.locator").alias("keep_locator"),
+        (F.col("arrival") == F.col("first.arrival")).alias("kept"), F.col("digest"), "locator", F.col("first.locator").alias("keep_locator"),
     )
     if not mixed.isEmpty():
         same = _by_text(docs, digest).join(mixed, "digest", "left_semi").withColumn("arrival", F.expr("uuid()"))
         same = scratch.put(same.withColumn("chars", F.char_length(F.coalesce("text", F.lit("")))).drop("text"), "same")
-        first = F.struct((-F.col("chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "arrival")
+        first = F.struct((-F.col("chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "arrival", F.col("locator_of_row").alias("locator"))
         exact = same.groupBy("norm").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
-        exact = same.select("doc_id", "arrival", "digest", "norm").join(exact, "norm").select(
+        exact = same.select("doc_id", "arrival", "digest", "norm", F.col("locator_of_row").alias("locator")).join(exact, "norm").select(
             "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("arrival") == F.col("first.arrival")).alias("kept"),
-            "digest", F.lit(None).cast("string").alias("keep_locator"))
+            "digest", "locator", F.col("first.locator").alias("keep_locator"))
         named = named.join(mixed, "digest", "left_anti").select(exact.columns).unionByName(exact)
-    return scratch.keep(named.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"), "keep_locator"))
+    return scratch.keep(named.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"), "locator", "keep_locator"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
