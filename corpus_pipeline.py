@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without blanks the longest stays, then the one with the smallest doc_id."""
     found = stream_dedup.exact_duplicates(docs, locator=F.monotonically_increasing_id())
-    return without_rows(docs, found.where(~F.col("kept")).select(F.col("locator").cast("long").alias("_row")))
+    return without_rows(docs, found.where(~F.col("kept")).select(F.col("locator").cast("long").alias("row")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +34,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     first = found.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     others = found.join(first, "component").where(F.col("row") != F.col("first.row"))
-    return without_rows(docs, others.select(F.col("row").alias("_row")))
+    return without_rows(docs, others.select("row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
     found = positional_index.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without_rows(docs, found.where("contaminated").select(F.col("row").alias("_row")))
+    return without_rows(docs, found.where("contaminated").select("row"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

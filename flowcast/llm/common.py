@@ -48,10 +48,16 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/work/{name}"
 
-    def put(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        path = self.path(name)
-        writer = df.write
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    def put(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """``batch_rows`` limits what passes to Python at once, for steps whose rows are large."""
+        path, limit = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(limit)
+        if batch_rows:
+            self.spark.conf.set(limit, batch_rows)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(limit, before)
         return self.spark.read.parquet(path)
 
     def drop(self, name: str) -> None:
@@ -72,11 +78,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def row_number(docs: DataFrame) -> DataFrame:
-    """The rows of a written table with a number each in ``_row``: the same numbers whenever the table is scanned."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` (a written table) without the rows whose number is in ``dropped`` (_row)."""
-    return row_number(docs).join(dropped, "_row", "left_anti").drop("_row")
+    """``docs`` (a written table) without the rows whose number is in ``dropped`` (row).
+
+    Scanning a written table gives its rows the same numbers every time.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    return numbered.join(dropped.select(F.col("row").alias(name)), name, "left_anti").drop(name)

@@ -31,6 +31,7 @@ SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS, SLICE_BITS = 23, 18
 PAIRED = 256
+LARGE_ROWS = 100  # rows with whole sets that pass to Python at once
 NO_ID = -(2**63)  # stands for a null doc_id inside
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -309,9 +310,9 @@ def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch:
     # Sets of the nodes that met another one, each computed once from its representative.
     involved = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = reps.join(involved, "node", "left_semi").select("doc_id", "node")
-    sets = scratch.put(docs.join(wanted, "doc_id").select("text", "node").mapInArrow(_set_rows, "node long, hashes binary"), "sets")
+    sets = scratch.put(docs.join(wanted, "doc_id").select("text", "node").mapInArrow(_set_rows, "node long, hashes binary"), "sets", LARGE_ROWS)
 
-    compared = scratch.put(_compared(edges, sets), "compared")
+    compared = scratch.put(_compared(edges, sets), "compared", LARGE_ROWS)
     link = _linked(F.col("common"), F.col("na"), F.col("nb"))
     roots = scratch.put(connected(compared.where(link).select("a", "b"), scratch, "first"), "first-roots")
 
@@ -330,6 +331,7 @@ def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch:
     withs = known.where("node <> anchor").select("node", "anchor").join(sets.select("node", F.col("hashes").alias("set_a")), "node")
     withs = withs.join(sets.select(F.col("node").alias("anchor"), F.col("hashes").alias("set_b")), "anchor")
     residue = withs.select("node", "anchor", "set_a", "set_b").mapInArrow(_residues(shared), "key long, node long").distinct()
+    residue = scratch.put(residue, "residue", LARGE_ROWS)
     beyond = _between(residue.join(known.select("node", "root", "n"), "node"), "root").where(fit).select(*order)
     # A node may pair with one of size m if 3/7 (n + m) <= its overlap with the pivot.
     reach = F.floor((F.col("common") * (100 + PERCENT)) / PERCENT) - F.col("n")
@@ -342,7 +344,7 @@ def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch:
     close = one.join(two, "anchor").where((F.col("nu") <= F.col("reach_v")) & (F.col("nv") <= F.col("reach_u")) & fit).select(*order)
     rest = across.unionByName(beyond).unionByName(close).distinct()
     rest = scratch.put(rest.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    late = _compared(rest, sets).where(link).select("a", "b")
+    late = scratch.put(_compared(rest, sets).where(link).select("a", "b"), "late", LARGE_ROWS)
     links = scratch.put(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
     return connected(links, scratch, "last")
 

@@ -295,10 +295,10 @@ def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFra
     """``docs`` with one more column: the score in 0..1 of each whole text, the higher the likelier label 1.
 
     Null, empty and blank texts score like a text without any known unit. Rows that repeat are scored each; every other
-    column passes through untouched, and ``column`` must be a new name. An empty table stays empty.
+    column passes through untouched, but for one that is already called ``column``, which is replaced. An empty table stays
+    empty.
     """
-    if column in docs.columns:
-        raise ValueError(f"docs already has a column {column}")
+    docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
