@@ -33,38 +33,37 @@ def line_key(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment ``i`` of a line: the last segments are one longer where it doesn't divide."""
-    parts = edits + 1
-    size, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    start = F.lit(1) + F.lit(i) * size + F.greatest(F.lit(0), F.lit(i - parts) + longer)
-    return start, size + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
+def _keys(rows: DataFrame, kinds: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """(id, key, start, size) of substrings of ``text``, for each kind (shorter, i, move): the substring at the place of
+    segment ``i`` of a line that many characters shorter, moved. ``rows``: id, parent, text.
 
+    One row per kind and then one small expression for all keeps the generated code small.
+    """
+    parts = edits + 1
+    spread = rows.select("id", "parent", "text", F.char_length("text").alias("own")).select(
+        "*", F.explode(F.array(*[F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("i"), F.lit(c).alias("move")) for a, b, c in kinds])).alias("kind"))
+    spread = spread.select("id", "parent", "text", "own", (F.col("own") - F.col("kind.shorter")).alias("length"), F.col("kind.i").alias("i"), F.col("kind.move").alias("move")).where("length >= 1")
+    # The last segments are one longer where the length doesn't divide.
+    size, longer = F.floor(F.col("length") / parts).cast("int"), F.col("length") % parts
+    start = 1 + F.col("i") * size + F.greatest(F.lit(0), F.col("i") - parts + longer) + F.col("move")
+    spread = spread.select("id", "parent", "text", "own", "length", "i", start.alias("start"), (size + (F.col("i") >= parts - longer).cast("int")).alias("size"))
+    spread = spread.where("start >= 1 AND start + size - 1 <= own")
+    return spread.select("id", F.xxhash64("parent", "length", "i", F.col("text").substr(F.col("start"), F.col("size"))).alias("key"), "start", "size")
 
-def _key(parent: Column, length: Column, i: int, text: Column, start: Column, size: Column) -> Column:
-    # The empty piece of a line too short for its segments is a key like any other.
-    return F.struct(F.xxhash64(parent, length, F.lit(i), F.substring(text, start, size)).alias("key"), start.cast("int").alias("start"), size.cast("int").alias("size"))
 
+def index_keys(rows: DataFrame, edits: int) -> DataFrame:
+    """Keys of a line's own segments; an empty one, of a line too short for its segments, is a key like any other."""
+    return _keys(rows, [(0, i, 0) for i in range(edits + 1)], edits)
 
-def index_keys(text: Column, parent: Column, edits: int) -> Column:
-    length = F.char_length(text)
-    return F.array(*[_key(parent, length, i, text, *_segment(length, i, edits)) for i in range(edits + 1)])
 
+def probe_keys(rows: DataFrame, edits: int) -> DataFrame:
+    """Keys of substrings that can equal a segment of a line shorter by 0 to ``edits`` characters.
 
-def probe_keys(text: Column, parent: Column, edits: int) -> Column:
-    """Keys of substrings that can equal a segment of a line shorter by 0 to ``edits`` characters."""
-    out = []
-    own = F.char_length(text)
-    for shorter in range(edits + 1):
-        length = own - shorter
-        for i in range(edits + 1):
-            start, size = _segment(length, i, edits)
-            # With i edits at most before the segment and edits - i behind it, or the other way round.
-            for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                at = start + move
-                fits = (at >= 1) & (at + size - 1 <= own) & (length >= 1)
-                out.append(F.when(fits, _key(parent, length, i, text, at, size)))
-    return F.array_compact(F.array(*out))
+    With at most i edits before segment i and ``edits`` - i behind it, or the other way round, it moves no further.
+    """
+    return _keys(rows, [
+        (shorter, i, move) for shorter in range(edits + 1) for i in range(edits + 1)
+        for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)], edits)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -78,9 +77,12 @@ def within(a: Column, b: Column, edits: int) -> Column:
     letters, others = F.split(a, ""), F.split(F.concat(edge, b, edge), "")
     band = (1 << (2 * edits + 1)) - 1
 
-    def matches(i: Column) -> Column:
-        bits = [F.when(F.get(others, i + d) == F.get(letters, i), 1 << d).otherwise(0) for d in range(2 * edits + 1)]
-        return reduce(lambda x, y: x.bitwiseOR(y), bits)
+    # Per letter of a: on which diagonals it equals a letter of b. Whole arrays are zipped, so that each is made once.
+    def bit(d: int):
+        return lambda x, y: F.when(x == y, 1 << d).otherwise(0)
+
+    same = [F.zip_with(letters, F.slice(others, d + 1, F.char_length(a)), bit(d)) for d in range(2 * edits + 1)]
+    masks = reduce(lambda x, y: F.zip_with(x, y, lambda m, n: m.bitwiseOR(n)), same)
 
     def step(state: Column, match: Column) -> Column:
         words = [state["e0"].bitwiseAND(match)]
@@ -92,7 +94,6 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
     first = F.struct(*[F.lit(((1 << (e + 1)) - 1) << edits).bitwiseAND(F.lit(band)).alias(f"e{e}") for e in range(edits + 1)])
     n, m = F.char_length(a), F.char_length(b)
-    masks = F.transform(F.sequence(F.lit(0), n - 1), matches)
     last = F.aggregate(masks, first, step)[f"e{edits}"]
     close = F.abs(n - m) <= edits
     return F.when((n == 0) | (m == 0), close).when(close, last.bitwiseAND(F.get(F.array(*[F.lit(1 << d) for d in range(2 * edits + 1)]), m - n + edits)) != 0).otherwise(False)
@@ -100,8 +101,8 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 def _candidates(lines: DataFrame, edits: int, crowded: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of line ids that share a key, through the refined keys where a key is crowded."""
-    cut = lines.select("id", F.explode(index_keys(F.col("line"), F.lit(0), edits)).alias("k")).select("id", "k.*")
-    probes = lines.select("id", F.explode(probe_keys(F.col("line"), F.lit(0), edits)).alias("k")).select("id", "k.*")
+    whole = lines.select("id", F.lit(0).alias("parent"), F.col("line").alias("text"))
+    cut, probes = index_keys(whole, edits), probe_keys(whole, edits)
     # What probes and index share at all is little; only that is written.
     met = probes.withColumnsRenamed({"id": "b", "start": "start_b"}).join(cut.withColumnRenamed("id", "a"), ["key", "size"]).where("a <> b")
     counts = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key")
@@ -112,10 +113,9 @@ def _candidates(lines: DataFrame, edits: int, crowded: int, scratch: Scratch) ->
 
     def rest(rows: DataFrame) -> DataFrame:
         text = F.concat(F.substring("line", F.lit(1), F.col("start") - 1), F.substring(F.col("line"), F.col("start") + F.col("size"), F.char_length("line")))
-        return rows.join(hot, "key", "left_semi").join(lines.select("id", "line"), "id").select("id", F.col("key").alias("parent"), text.alias("rest"))
+        return rows.join(hot, "key", "left_semi").join(lines.select("id", "line"), "id").select("id", F.col("key").alias("parent"), text.alias("text"))
 
-    fine = rest(cut).select("id", F.explode(index_keys(F.col("rest"), F.col("parent"), edits)).alias("k")).select(F.col("id").alias("a"), F.col("k.key").alias("key"))
-    seek = rest(probes).select("id", F.explode(probe_keys(F.col("rest"), F.col("parent"), edits)).alias("k")).select(F.col("id").alias("b"), F.col("k.key").alias("key"))
+    fine, seek = index_keys(rest(cut), edits).select(F.col("id").alias("a"), "key"), probe_keys(rest(probes), edits).select(F.col("id").alias("b"), "key")
     refined = seek.join(fine, "key")
     return plain.select("a", "b").unionByName(refined.select("a", "b")).where("a <> b").distinct()
 
