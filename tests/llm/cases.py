@@ -25,7 +25,7 @@ def texts(seed=1):
     base = [sentence(rng, rng.randint(1, 60)) for _ in range(12)]
     rows = [(i, t) for i, t in enumerate(base)]
     rows += [(20 + i, t) for i, t in enumerate(base[:5])]  # exact copies
-    rows += [(30 + i, t.replace("alpha", "omega", 1)) for i, t in enumerate(base)]  # near copies
+    rows += [(130 + i, t.replace("alpha", "omega", 1)) for i, t in enumerate(base)]  # near copies
     rows += [(40, None), (41, ""), (42, " \n\t "), (43, "Word"), (44, "  " + base[0].upper() + "  \n"), (45, "\x00é  \U0001F600 a-b")]
     rows += [(46, sentence(rng, 15_000)), (46, "other text under the same id"), (47, base[3]), (47, base[3]), (None, base[4]), (None, None), (None, "alone without id")]
     return rows
