@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import datetime
 import os
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from flowcast import fixed_values as fv
 from flowcast.functions import dataset
 from flowcast.operators import labeling, models
 from flowcast.plans import pipeline
+from flowcast.session import shared_folder
 from flowcast.sources import flow_files, tables
 from flowcast.streaming import live
 
@@ -27,11 +27,8 @@ NOW = datetime.datetime(2024, 2, 1, tzinfo=datetime.timezone.utc)
 
 
 def folder_for(spark) -> str:
-    """Fresh folder: in the cluster's shared checkpoint folder if it names one, else a local temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/flowcast-{os.urandom(8).hex()}"
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """Fresh folder in the one that driver and executors share."""
+    return f"{shared_folder(spark)}/flowcast-{os.urandom(8).hex()}"
 
 
 def query_flexible_time(spark, sf):
@@ -101,17 +98,20 @@ def query_archive(spark, sf):
 
 
 def _written_log(spark, sf, files: int = 1) -> str:
-    f = flows(spark, sf)
-    record = F.struct(
+    path = folder_for(spark) + "/log"
+    flows(spark, sf).select(F.to_json(_record()).alias("value")).repartition(files).write.text(path)
+    return path
+
+
+def _record():
+    """A flow as a record of the sensor's log."""
+    return F.struct(
         (F.unix_micros("observed_at") / 1e6).alias("ts"), F.concat(F.lit("C"), F.col("event_id").cast("string")).alias("uid"),
         F.col("src_ip").alias("id.orig_h"), F.col("dst_ip").alias("id.resp_h"), F.col("src_port").alias("id.orig_p"), F.col("dst_port").alias("id.resp_p"),
         F.lower("protocol").alias("proto"), F.col("packet_count").alias("orig_pkts"), F.lit(0).alias("resp_pkts"), F.col("byte_count").alias("orig_bytes"),
         F.lit("-").alias("resp_bytes"), (F.col("duration_ms") / 1000.0).alias("duration"),
         F.when(F.col("tcp_flags") == "SYN", "S").otherwise("ShAD").alias("history"), F.when(F.col("failed_connection"), "S0").otherwise("SF").alias("conn_state"),
     )
-    path = folder_for(spark) + "/log"
-    f.select(F.to_json(record).alias("value")).repartition(files).write.text(path)
-    return path
 
 
 def query_read_zeek(spark, sf):
@@ -148,7 +148,12 @@ def query_manifest(spark, sf):
     again = tables.load_flows(raw.orderBy("src_port", "timestamp"), "up", root + "/flows", root + "/loads", NOW)
     stored = spark.read.parquet(root + "/flows").agg(F.count(F.lit(1)).alias("stored_rows"))
     jobs = spark.read.parquet(root + "/loads").select("total_rows", "accepted_rows", "skipped_rows", "status")
-    return jobs.withColumn("second_is_duplicate", F.lit(again["duplicate"] and not first["duplicate"])).join(stored)
+    # The same cells under the other port column are a load of their own.
+    one = upload(spark, sf).drop("event_id").withColumn("dst_port", F.lit(None).cast("string"))
+    other = one.withColumns({"src_port": F.col("dst_port"), "dst_port": F.col("src_port")})
+    shifted = [tables.load_flows(part, "shift", root + "/shifted", root + "/shifted-loads", NOW)["duplicate"] for part in (one, other)]
+    return jobs.withColumn("second_is_duplicate", F.lit(again["duplicate"] and not first["duplicate"])).withColumn("shifted_is_duplicate", F.lit(any(shifted))).withColumn(
+        "stored_rows", F.lit(stored.first().stored_rows))
 
 
 def query_upsert(spark, sf):
@@ -244,13 +249,17 @@ def query_stream_zeek(spark, sf):
 
 
 def query_stream_live(spark, sf):
-    """Batches of the log; files of more than 1000 flows are refused whole, and say so in their job row."""
+    """One file per day of the log; a day with a record that has no responder is refused whole."""
     root = folder_for(spark)
-    n = events(spark, sf).count()
-    path = _written_log(spark, sf, max(n // 900, 1))
-    _drain(live.stream_live_batches(spark, path, "live", "q", root + "/flows", root + "/jobs", root + "/cp"))
-    jobs = spark.read.parquet(root + "/jobs")
-    return jobs.groupBy("status").agg(F.sum("total_rows").alias("total_rows"), F.sum("accepted_rows").alias("accepted_rows"))
+    path = folder_for(spark) + "/log"
+    day = F.to_date("observed_at")
+    broken = (F.dayofmonth("observed_at") % 5 == 2) & (F.col("event_id") % 97 == 3)
+    rows = flows(spark, sf).withColumn("dst_ip", F.when(broken, "nowhere").otherwise(F.col("dst_ip"))).withColumn("day", day)
+    rows.select("day", F.to_json(_record()).alias("value")).repartition("day").write.partitionBy("day").text(path)
+    _drain(live.stream_live_batches(spark, path + "/*", "live", "q", root + "/flows", root + "/jobs", root + "/cp"))
+    jobs = spark.read.parquet(root + "/jobs").groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("total_rows").alias("total_rows"), F.sum("accepted_rows").alias("accepted_rows"))
+    stored = spark.read.parquet(root + "/flows").agg(F.count(F.lit(1)).alias("stored_rows")).withColumn("status", F.lit("completed"))
+    return jobs.join(stored, "status", "left")
 
 
 def query_stream_windows(spark, sf):
@@ -330,8 +339,8 @@ def _sql() -> dict[str, str]:
     days = "days AS (SELECT DISTINCT epoch_us(date_trunc('day', ts)) // 1000000 AS d FROM events)"
     return {
         "read_flow_csv": PARSED_CTE + " SELECT CAST(CASE WHEN problems = '' THEN 0 ELSE len(string_split(problems, ',')) END AS INTEGER) AS problems, count(*) AS rows, CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(byte_count) AS BIGINT) AS bytes FROM judged GROUP BY 1",
-        "load_manifest": PARSED_CTE + ", c AS (SELECT count(*) AS n, count(*) FILTER (problems = '') AS k FROM judged) SELECT n AS total_rows, k AS accepted_rows, n - k AS skipped_rows, 'completed' AS status, true AS second_is_duplicate, k AS stored_rows FROM c",
-        "stream_live_batches": "SELECT 'completed' AS status, count(*) AS total_rows, count(*) AS accepted_rows FROM events",
+        "load_manifest": PARSED_CTE + ", c AS (SELECT count(*) AS n, count(*) FILTER (problems = '') AS k FROM judged) SELECT n AS total_rows, k AS accepted_rows, n - k AS skipped_rows, 'completed' AS status, true AS second_is_duplicate, false AS shifted_is_duplicate, k AS stored_rows FROM c",
+        "stream_live_batches": f"{EV}, d AS (SELECT date_trunc('day', ts) AS day, count(*) AS n, count(*) FILTER (WHERE day(ts) % 5 = 2 AND event_id % 97 = 3) AS bad FROM events GROUP BY 1) SELECT CASE WHEN bad = 0 THEN 'completed' ELSE 'rejected_invalid_flow' END AS status, count(*) AS files, CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(CASE WHEN bad = 0 THEN n ELSE 0 END) AS BIGINT) AS accepted_rows, CAST(sum(CASE WHEN bad = 0 THEN n END) AS BIGINT) AS stored_rows FROM d GROUP BY 1",
         "stream_flow_windows": W_SQL["flow_windows"].replace("// 60 * 60", f"// {W} * {W}") + f" WHERE (ws + {W}) * 1000000 <= (SELECT max(us) FROM flows) - 120000000",
         "parse_flexible_time": f"{EV} SELECT event_id, CASE event_id % 6 WHEN 1 THEN us // 60000000 * 60 WHEN 4 THEN us // 60000000 * 60 WHEN 5 THEN NULL ELSE us // 1000000 END AS seconds FROM ev",
         "replay_timeline": f"{EV} SELECT event_id, 1499040000 + event_id * 20 // 1000 AS seconds FROM ev",

@@ -341,26 +341,39 @@ _EMA_ROWS = 256
 def ema_oscillator(features: DataFrame, name: str, seconds: int = 60, by: Sequence[str] = SOURCE) -> DataFrame:
     """Fast minus slow exponential mean (weights 1/2 and 2/11), both starting at the first value.
 
-    The means are running weighted sums.  Rows are grouped into blocks of 256 and every row also
-    serves the next block as its past; what lies further back weighs less than (9/11)^256 = 5e-23,
-    far below the last digit of a double.
+    Inside a block of 256 rows the means are running weighted sums.  A block as a whole maps the mean before it to
+    ``keep^256 * before + its own sum``; these maps are composed over the blocks before.  Powers of ``keep`` are left out
+    of a composition only where a double holds them as zero, so nothing that counts is cut off.
     """
     from flowcast.operators.timeline import with_row_index
 
     indexed = with_row_index(features.select(*by, "window_start", name), by, "window_start", time_chunk(F.col("window_start"), seconds))
-    block = F.floor(F.col("row_index") / _EMA_ROWS).cast("bigint")
-    spread = indexed.withColumn("_own", block).withColumn("_block", F.explode(F.array(block, block + 1)))
-    position = (F.col("row_index") - (F.col("_block") - 1) * _EMA_ROWS).cast("double")
+    indexed = indexed.withColumn("_block", F.floor(F.col("row_index") / _EMA_ROWS).cast("bigint"))
+    position = (F.col("row_index") % _EMA_ROWS).cast("double")
     running = Window.partitionBy(*by, "_block").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)
+    weights = {"fast": 0.5, "slow": 2.0 / 11.0}
 
-    def mean(weight: float) -> Column:
+    def own(weight: float) -> Column:
         keep = F.lit(1.0 - weight)
         share = F.when(F.col("row_index") == 0, F.lit(1.0)).otherwise(F.lit(weight))
         return F.sum(share * F.col(name) * F.pow(keep, -position)).over(running) * F.pow(keep, position)
 
-    scored = spread.withColumns({"ema_fast": mean(0.5), "ema_slow": mean(2.0 / 11.0)})
-    own = scored.filter(F.col("_own") == F.col("_block"))
-    return own.select(
+    local = indexed.withColumns({f"_{kind}": own(weight) for kind, weight in weights.items()})
+    blocks = local.groupBy(*by, "_block").agg(*[F.max_by(f"_{kind}", "row_index").alias(f"_{kind}") for kind in weights])
+    order = Window.partitionBy(*by).orderBy("_block")
+
+    def before(kind: str, weight: float) -> Column:
+        total, power, back = F.lit(0.0), 1.0, 1
+        while power > 0.0:
+            total = total + F.coalesce(F.lag(f"_{kind}", back).over(order), F.lit(0.0)) * F.lit(power)
+            power, back = (1.0 - weight) ** (_EMA_ROWS * back), back + 1
+        return total
+
+    carried = blocks.select(*by, "_block", *[before(kind, weight).alias(f"_{kind}_before") for kind, weight in weights.items()])
+    joined = local.join(carried, [*by, "_block"])
+    scored = joined.withColumns(
+        {f"ema_{kind}": F.col(f"_{kind}") + F.col(f"_{kind}_before") * F.pow(F.lit(1.0 - weight), position + 1) for kind, weight in weights.items()})
+    return scored.select(
         *by, "window_start", "ema_fast", "ema_slow", (F.col("ema_fast") - F.col("ema_slow")).alias("oscillator")
     )
 

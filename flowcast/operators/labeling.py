@@ -14,8 +14,6 @@ from flowcast.operators.features import window_features
 from flowcast.operators.timeline import time_chunk, with_carry, with_previous, with_row_index
 from flowcast.operators.windows import SOURCE, window_start
 
-# A timeline of reviewed intervals is broadcast only up to this many rows (about 100 bytes each).
-BROADCAST_INTERVALS = 100_000
 _DAY_MICROS = 86_400_000_000
 _HOUR_MICROS = 3_600_000_000
 
@@ -45,14 +43,12 @@ def effective_intervals(timeline: DataFrame) -> DataFrame:
     )
 
 
-def label_interval_join(
-    flows: DataFrame, timeline: DataFrame, benign_fill: bool = False, salts: int = 16, broadcast_limit: int = BROADCAST_INTERVALS
-) -> DataFrame:
+def label_interval_join(flows: DataFrame, timeline: DataFrame, benign_fill: bool = False) -> DataFrame:
     """Label each flow by the interval ``[start, end)`` that holds its time; uncovered flows are dropped
     or, with ``benign_fill``, count as BENIGN.
 
-    A timeline whose counted size is small is broadcast.  A larger one is matched by hour; a hot hour
-    is spread over ``salts`` groups, and each flow still meets exactly the intervals of its hour.
+    Intervals are disjoint and matched by hour, so a flow meets the few intervals of its hour.  Spark broadcasts a small
+    timeline by itself, and splits an hour that holds too many flows.
     """
     intervals = effective_intervals(timeline)
     keyed = flows.withColumn("_us", F.unix_micros("observed_at")).withColumn(
@@ -63,18 +59,8 @@ def label_interval_join(
     hourly = intervals.select(
         F.explode(F.sequence(first, last)).alias("_hour"), "from_us", "end_us", F.col("label").alias("_label")
     )
-    on = ["_hour"]
-    if hourly.count() <= broadcast_limit:
-        hourly = F.broadcast(hourly)
-    else:
-        on = ["_hour", "_salt"]
-        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("_us", "src_ip", "src_port"), F.lit(salts)).cast("int"))
-        hourly = hourly.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    inside = (F.col("_us") >= F.col("from_us")) & (F.col("_us") < F.col("end_us"))
-    condition = inside
-    for key in on:
-        condition = condition & (keyed[key] == hourly[key])
-    joined = keyed.join(hourly, condition, "left" if benign_fill else "inner")
+    inside = (keyed["_hour"] == hourly["_hour"]) & (F.col("_us") >= F.col("from_us")) & (F.col("_us") < F.col("end_us"))
+    joined = keyed.join(hourly, inside, "left" if benign_fill else "inner")
     label = F.coalesce("_label", F.lit("BENIGN")) if benign_fill else F.col("_label")
     keep = [keyed[c] for c in flows.columns if c != "label"]
     return joined.select(*keep, label.alias("label"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from flowcast.operators import alerts, forecasts, labeling, models, windows
 from flowcast.operators.features import window_features
 from flowcast.operators.windows import SOURCE
+from flowcast.operators.normalize import normalize_flows
+from flowcast.sources import flow_files
 from flowcast.sources.flow_files import read_raw_flows
 from flowcast.sources.tables import load_flows, upsert_table
 
@@ -19,6 +21,15 @@ def ingest_csv(spark: SparkSession, path: str | Sequence[str], source: str, root
     return load_flows(read_raw_flows(spark, path), source, f"{root}/flows", f"{root}/loads", loaded_at)
 
 
+def label_capture(spark: SparkSession, log: str, timeline: str, out: str, benign_fill: bool = False, fmt: str = "csv") -> dict[str, int]:
+    """Sensor log and reviewed intervals -> a labelled file with each record's connection state; returns the counts."""
+    flows = normalize_flows(flow_files.read_zeek_json(spark, log), ["failed_conn_info"])
+    labeled = labeling.label_interval_join(flows, flow_files.read_label_timeline(spark, timeline), benign_fill)
+    counts = labeling.coverage_counts(flows, labeled).first().asDict()
+    flow_files.write_labeled_flows(flow_files.labeled_columns(labeled), out, fmt)
+    return counts
+
+
 def build_windows(spark: SparkSession, root: str, seconds: int = 60) -> None:
     """Windows and features of all stored flows, written by (source, day).  A repeat run changes nothing."""
     flows = spark.read.parquet(f"{root}/flows")

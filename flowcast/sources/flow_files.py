@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Sequence
 
@@ -15,17 +16,20 @@ from flowcast.functions.addresses import decimal_ipv4
 from flowcast.functions.labels import dataset_label, dataset_label_or_null, timeline_label
 from flowcast.functions.rows import epoch_time, iso_time, stripped
 from flowcast.operators.normalize import parse_flows
+from flowcast.session import staged
 
 
 class FlowFileError(ValueError):
     """A file that cannot be read as flows."""
 
 
+_NO_WORD = re.compile(r"[\W_]+")
+
+
 def canonical_header(name: str | None) -> str:
-    """Lower-case words joined by ``_``, then the alias table; other names stay as metadata."""
-    words = "".join(ch.lower() if ch.isalnum() else " " for ch in (name or "").lstrip("﻿")).split()
-    compact = "_".join(words)
-    return fv.HEADER_ALIASES.get(compact, compact)
+    """Alias of a column name, or the name itself in lower case with one ``_`` for every run of other signs."""
+    plain = _NO_WORD.sub("_", (name or "").lower()).strip("_")
+    return fv.HEADER_ALIASES.get(plain, plain)
 
 
 def flow_headers(names: Sequence[str]) -> list[str]:
@@ -38,24 +42,47 @@ def flow_headers(names: Sequence[str]) -> list[str]:
     counts = Counter(canonical)
     doubled = sorted(n for n in fv.REQUIRED_COLUMNS if counts[n] > 1)
     if doubled:
-        raise FlowFileError(f"CSV maps multiple columns to the same required field: {', '.join(doubled)}")
+        raise FlowFileError(f"more than one column stands for {', '.join(doubled)}")
     missing = sorted(set(fv.REQUIRED_COLUMNS) - set(canonical))
     if missing:
-        raise FlowFileError(f"CSV is missing required columns: {', '.join(missing)}")
+        raise FlowFileError(f"no column stands for {', '.join(missing)}")
     return [n if n and n not in canonical[i + 1:] else f"_unused_{i}" for i, n in enumerate(canonical)]
 
 
+def files_by_header(spark: SparkSession, path: str | Sequence[str]) -> list[list[str]]:
+    """The CSV files under ``path``, those with the same header line together.
+
+    Only the first split of a file and its first line count.  The driver receives the file names, as for any read.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    headers = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    return sorted(row.files for row in groups)
+
+
 def _read_text_columns(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Every column as text, in the file's own header; one row per line, so files split."""
+    """Every column as text, in the header that all the files share; one row per line, so files split."""
     reader = spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
-    return reader.option("mode", "PERMISSIVE").csv(path)
+    return reader.option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path)
+
+
+def _united(frames: list[DataFrame]) -> DataFrame:
+    """The frames one after the other by column name; a column that a frame lacks is NULL there."""
+    result = frames[0]
+    for frame in frames[1:]:
+        result = result.unionByName(frame, allowMissingColumns=True)
+    return result
 
 
 def read_raw_flows(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Upload CSV as text columns under canonical names.  Only the header is looked at."""
-    raw = _read_text_columns(spark, path)
-    renamed = raw.toDF(*flow_headers(raw.columns))
-    return renamed.drop(*[c for c in renamed.columns if c.startswith("_unused_")])
+    """Upload CSVs as text columns under canonical names.  Only the headers are looked at, each file's own."""
+    frames = []
+    for files in files_by_header(spark, path) or [path]:
+        raw = _read_text_columns(spark, files)
+        renamed = raw.toDF(*flow_headers(raw.columns))
+        frames.append(renamed.drop(*[c for c in renamed.columns if c.startswith("_unused_")]))
+    return _united(frames)
 
 
 def read_flow_csv(spark: SparkSession, path: str | Sequence[str], source: str | None = None) -> DataFrame:
@@ -129,17 +156,16 @@ def map_dataset_flows(raw: DataFrame, time: Column | None = None, keep: Sequence
 
 
 def with_file_order(df: DataFrame, name: str = "row_index", by: Sequence[str] = ("_file",)) -> DataFrame:
-    """Add the 0-based line position inside each file, without sorting a file in one task.
+    """Add the 0-based line position inside each file (or, without ``by``, over all files in the order of their names).
 
-    Rows of one input split keep their order in ``monotonically_increasing_id``.  Splits are ordered by
-    their offset; a split's first position is the row count of the splits before it.  Needs the columns
-    ``_file``, ``_block`` and ``_line`` that ``read_in_order`` adds.
+    Rows of one input split have consecutive numbers in ``_line``.  One row per split is summed up and staged -- its
+    first number, and how many rows the splits before it hold -- and gives every row its position; the data itself is
+    neither shuffled nor sorted.  Needs the columns ``_file``, ``_block`` and ``_line`` that ``read_in_order`` adds.
     """
-    from flowcast.operators.timeline import with_carry
-
-    carried = with_carry(df, by, [F.col("_line")], F.col("_block"), {"sum:_offset": F.count(F.lit(1))})
-    index = F.coalesce("_offset", F.lit(0)) + F.col("_position") - 1
-    return carried.withColumn(name, index.cast("bigint")).drop("_chunk", "_position", "_offset", "_block", "_line")
+    splits = staged(df.groupBy("_file", "_block").agg(F.min("_line").alias("first"), F.count(F.lit(1)).alias("rows")))
+    before = Window.partitionBy(*by).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = staged(splits.select("_file", "_block", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("_shift")))
+    return df.join(shifts, ["_file", "_block"]).withColumn(name, (F.col("_line") + F.col("_shift")).cast("bigint")).drop("_shift", "_block", "_line")
 
 
 def read_in_order(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -167,7 +193,7 @@ def replay_times(df: DataFrame, step_ms: int = 20, by: Sequence[str] = ("_file",
     """Add ``replay_time``: if every timestamp of a file is only ``mm:ss``, times by row position, else the
     timestamp as read.  Needs ``row_index`` and ``Timestamp``."""
     short = F.bool_and(stripped(F.col("Timestamp")).rlike(_MINUTE_SECOND)).alias("_short")
-    files = df.groupBy(*by).agg(short)
+    files = staged(df.groupBy(*by).agg(short))  # one row per file
     made = replay_timeline(F.col("row_index"), fv.REPLAY_BASE, step_ms)
     time = F.when(F.col("_short"), made).otherwise(dataset.flexible_time(F.col("Timestamp")))
     return df.join(files, list(by)).withColumn("replay_time", time).drop("_short")
@@ -179,27 +205,32 @@ def replay_timeline(index: Column, base: str, step_ms: int) -> Column:
 
 
 def read_cicids_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Wide labelled CSVs (both dataset years and the compact archive form) -> labelled flows."""
-    df = _renamed(read_in_order(spark, path))
-    if "Timestamp" not in df.columns:
-        return map_dataset_flows(df.drop("_block", "_line", "_file"))
-    timed = replay_times(with_file_order(df))
-    return map_dataset_flows(timed, F.col("replay_time"))
+    """Wide labelled CSVs (both dataset years and the compact archive form, also mixed) -> labelled flows."""
+    flows = []
+    for files in files_by_header(spark, path) or [path]:
+        df = _renamed(read_in_order(spark, files))
+        if "Timestamp" not in df.columns:
+            flows.append(map_dataset_flows(df.drop("_block", "_line", "_file")))
+        else:
+            flows.append(map_dataset_flows(replay_times(with_file_order(df)), F.col("replay_time")))
+    return _united(flows)
 
 
 def read_archive_days(spark: SparkSession, folder: str, stride: int = 4, files: Sequence[str] = fv.ARCHIVE_DAYS) -> DataFrame:
-    """Day files -> labelled flows: every ``stride``-th row in source order, day d on its own replay day."""
+    """Day files -> labelled flows: every ``stride``-th row in source order, day d on its own replay day.
+
+    A day of several part files has one order over all of them.
+    """
     if stride < 1:
         raise ValueError("stride must be at least 1")
-    result = None
+    days = []
     for day, name in enumerate(files):
-        ordered = with_file_order(_renamed(read_in_order(spark, f"{folder}/{name}")))
+        ordered = with_file_order(_united([_renamed(read_in_order(spark, own)) for own in files_by_header(spark, f"{folder}/{name}")]), by=())
         kept = ordered.filter(F.col("row_index") % stride == 0)
         position = F.floor(F.col("row_index") / stride)
         base = f"2017-07-{3 + day:02d} 00:00:00"
-        flows = map_dataset_flows(kept, replay_timeline(position, base, 80)).withColumn("day", F.lit(day))
-        result = flows if result is None else result.unionByName(flows)
-    return result
+        days.append(map_dataset_flows(kept, replay_timeline(position, base, 80)).withColumn("day", F.lit(day)))
+    return _united(days)
 
 
 # --- Sensor logs --------------------------------------------------------------------------

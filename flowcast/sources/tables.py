@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from flowcast.session import staged
+
 
 def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, or NULL while nothing has been written."""
@@ -24,13 +26,15 @@ def upsert_table(rows: DataFrame, path: str, keys: Sequence[str], partitions: Se
 
     Only the partitions that ``rows`` touches are read and rewritten: the list of touched partitions
     prunes the old table, and dynamic overwrite replaces just these directories when the job commits.
+    The rows are staged, so they are made once, and their true size decides how they are joined.
     """
     spark = rows.sparkSession
     old = table_or_none(spark, path)
     merged = rows
     if old is not None:
-        touched = rows.select(*partitions).distinct()
-        affected = old.join(F.broadcast(touched) if _few(touched) else touched, list(partitions), "left_semi")
+        merged = rows = staged(rows)
+        touched = staged(rows.select(*partitions).distinct())
+        affected = old.join(touched, list(partitions), "left_semi")
         kept = affected.join(rows.select(*keys), list(keys), "left_anti")
         merged = kept.unionByName(rows, allowMissingColumns=True)
     # Rebalancing keeps one file per small partition and lets adaptive execution split a hot one.
@@ -38,23 +42,17 @@ def upsert_table(rows: DataFrame, path: str, keys: Sequence[str], partitions: Se
     writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-# A list of touched partitions is broadcast only up to this many rows.
-_FEW_PARTITIONS = 10_000
-
-
-def _few(touched: DataFrame) -> bool:
-    return touched.limit(_FEW_PARTITIONS + 1).count() <= _FEW_PARTITIONS
-
-
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content fingerprint: row count, and exclusive-or and sum of the row hashes."""
-    columns = [F.to_json(c) if dict(df.dtypes)[c].startswith("map") else F.col(f"`{c}`") for c in df.columns]
-    row = F.xxhash64(*columns)
-    # The sum is kept as a decimal, which cannot overflow on any realistic row count.
+    """Content fingerprint that depends on neither row nor column order: the column names, the row count, and
+    exclusive-or and sum of two hashes per row.  A row is hashed with its column names and with its NULLs."""
+    names = sorted(df.columns)
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"})
+    one, two = F.xxhash64(row), F.xxhash64(F.lit("second"), row)
+    # Sums are kept as decimals, which cannot overflow on any realistic row count.
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")
     return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("xor"),
-        F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"),
-    ).select(F.concat_ws(":", "rows", "xor", "sum").alias("content_hash"))
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(one), F.lit(0)).alias("xor"), total(one).alias("sum"), total(two).alias("sum2"),
+    ).select(F.concat_ws(":", F.sha2(F.lit(",".join(names)), 256), "rows", "xor", "sum", "sum2").alias("content_hash"))
 
 
 def load_flows(raw: DataFrame, source: str, flows_path: str, manifest_path: str, loaded_at) -> dict:
@@ -63,7 +61,7 @@ def load_flows(raw: DataFrame, source: str, flows_path: str, manifest_path: str,
     A repeated load would double every count, so the fingerprint is looked up before anything is
     written.  Rows carry the load id, so a load that died half-way is replaced, not repeated.
     """
-    from flowcast.operators.normalize import load_counts, parse_flows
+    from flowcast.operators.normalize import parse_flows
 
     spark = raw.sparkSession
     content = fingerprint(raw).first().content_hash
@@ -74,16 +72,18 @@ def load_flows(raw: DataFrame, source: str, flows_path: str, manifest_path: str,
         if known:
             return {**known[0].asDict(), "duplicate": True}
     load_id = spark.range(1).select(F.sha2(F.lit(f"{source}|{content}"), 256)).first()[0]
-    parsed = parse_flows(raw.withColumn("traffic_source_id", F.lit(source)), ["traffic_source_id"])
+    seen = Observation()
+    parsed = parse_flows(raw.withColumn("traffic_source_id", F.lit(source)), ["traffic_source_id"]).observe(
+        seen, F.count(F.lit(1)).alias("total"), F.count_if(F.size("problems") == 0).alias("accepted"))
     flows = parsed.filter(F.size("problems") == 0).drop("problems").withColumns(
         {"load_id": F.lit(load_id), "flow_date": F.to_date("observed_at"), "extra": F.to_json("extra")}
     )
     writer = flows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("traffic_source_id", "load_id", "flow_date").parquet(flows_path)
-    counts = load_counts(parsed).first()
+    total, accepted = seen.get.get("total", 0), seen.get.get("accepted", 0)  # counted while writing
     entry = {
-        "traffic_source_id": source, "load_id": load_id, "content_hash": content, "total_rows": counts.total_rows,
-        "accepted_rows": counts.accepted_rows, "skipped_rows": counts.skipped_rows, "status": "completed", "loaded_at": loaded_at,
+        "traffic_source_id": source, "load_id": load_id, "content_hash": content, "total_rows": total,
+        "accepted_rows": accepted, "skipped_rows": total - accepted, "status": "completed", "loaded_at": loaded_at,
     }
     schema = "traffic_source_id string, load_id string, content_hash string, total_rows long, accepted_rows long, skipped_rows long, status string, loaded_at timestamp"
     spark.createDataFrame([tuple(entry.values())], schema).write.mode("append").parquet(manifest_path)

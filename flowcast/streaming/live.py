@@ -20,7 +20,6 @@ from flowcast.operators.windows import SOURCE, latest_window, window_start
 from flowcast.sources.flow_files import SENSOR_SCHEMA, sensor_rows
 from flowcast.sources.tables import table_or_none, upsert_table
 
-MAX_LIVE_ROWS = 1000
 LOOKBACK = fv.BURST_LOOKBACK + 1
 
 
@@ -70,8 +69,8 @@ def _overwrite_batch(rows: DataFrame, path: str, query: str, batch_id: int) -> N
     writer.partitionBy("query", "batch_id").parquet(path)
 
 
-def live_batch_sink(query: str, flows_path: str, jobs_path: str, limit: int = MAX_LIVE_ROWS) -> Callable[[DataFrame, int], None]:
-    """Sink that treats each file as one batch: one bad flow, or more than ``limit`` flows, rejects it whole.
+def live_batch_sink(query: str, flows_path: str, jobs_path: str) -> Callable[[DataFrame, int], None]:
+    """Sink that treats each file as one batch: one bad flow rejects it whole, whatever its size.
 
     Every batch leaves a job row with its counts.  A file without any row never reaches the sink.
     """
@@ -82,8 +81,8 @@ def live_batch_sink(query: str, flows_path: str, jobs_path: str, limit: int = MA
             jobs = parsed.groupBy("traffic_source_id", "batch_file").agg(
                 F.count(F.lit(1)).alias("total_rows"), F.count_if(F.size("problems") > 0).alias("bad_rows")
             )
-            accepted = (F.col("bad_rows") == 0) & (F.col("total_rows") <= limit)
-            status = F.when(accepted, "completed").when(F.col("bad_rows") > 0, "rejected_invalid_flow").otherwise("rejected_too_large")
+            accepted = F.col("bad_rows") == 0
+            status = F.when(accepted, "completed").otherwise("rejected_invalid_flow")
             jobs = jobs.withColumns({"accepted_rows": F.when(accepted, F.col("total_rows")).otherwise(0), "status": status})
             good = jobs.filter(F.col("status") == "completed").select("traffic_source_id", "batch_file")
             tag = F.create_map(F.lit("sensor"), F.lit("zeek"))
