@@ -6,8 +6,8 @@ longer by one they share two. So rare shingles of the longer prefix are index ke
 in pairs. Documents of over ``PAIRED`` shingles index frequent ones singly, and so do those just below, so that every
 similar pair uses a common kind of key.
 
-No key's documents are paired with each other. One of them, the pivot (the one with the fewest rare shingles, most
-likely the source of copies), is compared with all. What that leaves open for two documents with the same best pivot is
+Documents of a key are paired with each other only if they are few. Of more, one, the pivot (the one with the fewest rare
+shingles, most likely the source of copies), is compared with all. What that leaves open for two documents with the same best pivot is
 settled by set arithmetic: unless both overlap enough with the pivot, they can only be similar if they share a shingle
 that the pivot lacks, and those are rare. Only such pairs, and those of different pivots, are compared then, and only
 between components that are not yet connected.
@@ -31,6 +31,8 @@ SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS, SLICE_BITS = 23, 18
 PAIRED = 256
+FEW = 8  # nodes of a key that are compared pair by pair
+PAIR, STAR, CROWD = 0, 1, 2
 LARGE_ROWS = 100  # rows with whole sets that pass to Python at once
 NO_ID = -(2**63)  # stands for a null doc_id inside
 _U = np.uint64
@@ -193,42 +195,57 @@ def _index(shared: Broadcast):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, score and node: (pivot, node, both hold frequent shingles) for each key, and (key, node) where
-    three or more nodes meet.
+    """Rows sorted by key, score and node become rows (kind, a, b, both hold frequent shingles):
 
-    Keeps one key's pivot, second node and count between batches, so memory does not depend on how often a key occurs.
+    PAIR    two nodes of a key that at most ``FEW`` nodes share
+    STAR    the pivot and another node of a key that more share
+    CROWD   such a key and each of its nodes
+
+    Between batches at most ``FEW`` rows and a pivot are kept, so memory does not depend on how often a key occurs.
     """
-    last_key = last_node = pivot = second = None
-    count, pivot_odd = 0, False
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    big, last = None, None  # key, pivot and its mark of a crowd that goes on; the last row's key and node
+
+    def told(key: np.ndarray, node: np.ndarray, odd: np.ndarray, ended: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, big
+        if not len(key):
+            return
+        first = np.flatnonzero(np.append(True, np.diff(key) != 0))
+        sizes = np.diff(np.append(first, len(key)))
+        crowd = sizes > FEW
+        pivots, odds = node[first].copy(), odd[first].copy()
+        goes_on = big is not None and key[0] == big[0]
+        if goes_on:
+            crowd[0], pivots[0], odds[0] = True, big[1], big[2]
+        if not ended and not crowd[-1]:  # may go on in the next batch
+            held = (key[first[-1]:], node[first[-1]:], odd[first[-1]:])
+            key, node, odd, sizes, crowd = key[:first[-1]], node[:first[-1]], odd[:first[-1]], sizes[:-1], crowd[:-1]
+        elif crowd[-1]:
+            big = (key[-1], pivots[-1], odds[-1])
+        run = np.repeat(np.arange(len(sizes)), sizes)
+        few = ~crowd[run]
+        out = []
+        for step in range(1, FEW):
+            at = np.flatnonzero(few[:-step] & (run[:-step] == run[step:])) if len(run) > step else np.zeros(0, np.int64)
+            out.append((np.full(len(at), PAIR, np.int8), node[at], node[at + step], odd[at] & odd[at + step]))
+        at = np.flatnonzero(~few)
+        other = at[node[at] != pivots[run[at]]]
+        out.append((np.full(len(other), STAR, np.int8), pivots[run[other]], node[other], odds[run[other]] & odd[other]))
+        out.append((np.full(len(at), CROWD, np.int8), key[at], node[at], np.zeros(len(at), bool)))
+        kind, a, b, both = (np.concatenate(c) for c in zip(*out, strict=True))
+        if len(kind):
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(both)], names=["kind", "a", "b", "both"])
+
     for batch in batches:
         key, node, odd = batch["key"].to_numpy(), batch["node"].to_numpy(), batch["score"].to_numpy() % 2 == 1
         if not len(key):
             continue
-        same = np.append(last_key is not None and key[0] == last_key and node[0] == last_node, (np.diff(key) == 0) & (np.diff(node) == 0))
-        last_node = node[-1]
-        key, node, odd = key[~same], node[~same], odd[~same]
-        if not len(key):
-            continue
-        goes_on = last_key is not None and key[0] == last_key
-        first = np.flatnonzero(np.append(True, np.diff(key) != 0))
-        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        rank = np.arange(len(key)) - first[run]
-        pivots, odds, seconds = node[first].copy(), odd[first].copy(), node[np.minimum(first + 1, len(node) - 1)].copy()
-        if goes_on:
-            rank[run == 0] += count
-            pivots[0], odds[0] = pivot, pivot_odd
-            seconds[0] = second if count > 1 else node[0]
-        at = np.flatnonzero(rank >= 1)
-        third, more = np.flatnonzero(rank == 2), np.flatnonzero(rank >= 2)
-        crowd_key = np.concatenate([key[more], key[third], key[third]])
-        crowd_node = np.concatenate([node[more], pivots[run[third]], seconds[run[third]]])
-        a = np.concatenate([pivots[run[at]], crowd_key])
-        b = np.concatenate([node[at], crowd_node])
-        crowd = np.arange(len(a)) >= len(at)
-        both = np.append(odds[run[at]] & odd[at], np.zeros(len(crowd_key), bool))
-        last_key, pivot, second, count, pivot_odd = key[-1], pivots[-1], seconds[-1], int(rank[-1]) + 1, bool(odds[-1])
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.array(a), pa.array(b), pa.array(both)], names=["crowd", "a", "b", "both"])
+        same = np.append(last == (key[0], node[0]), (np.diff(key) == 0) & (np.diff(node) == 0))
+        last = (key[-1], node[-1])
+        rows = [np.concatenate([h, c[~same]]) for h, c in zip(held, (key, node, odd), strict=True)]
+        held = tuple(h[:0] for h in held)
+        yield from told(*rows, False)
+    yield from told(*held, True)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,17 +312,17 @@ def _between(rows: DataFrame, apart: str) -> DataFrame:
 def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch: Scratch) -> DataFrame:
     """(node, root) of all sets that are linked with another one."""
     keys = docs.select("text").mapInArrow(_index(shared), "key long, node long, score int")
-    met = scratch.put(keys.repartition("key").sortWithinPartitions("key", "score", "node").mapInArrow(_stars, "crowd boolean, a long, b long, both boolean"), "met")
-    crowd = met.where("crowd").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    crowded = scratch.put(crowd.select("node").distinct(), "crowded")
-    # Similar sets share two keys of their longer prefixes, or one and a pair with a frequent shingle in it. In a crowd
-    # the two may have met elsewhere than at a pivot, and every node there needs a pivot to be measured by.
-    edges = met.where("NOT crowd").groupBy("a", "b").agg((F.count(F.lit(1)) > 1).alias("twice"), F.max("both").alias("both"))
+    met = scratch.put(keys.repartition("key").sortWithinPartitions("key", "score", "node").mapInArrow(_stars, "kind byte, a long, b long, both boolean"), "met")
+    crowd = met.where(F.col("kind") == CROWD).select(F.col("a").alias("key"), F.col("b").alias("node"))
+    # Similar sets share two keys of their longer prefixes, or one and a pair with a frequent shingle in it. Pairs that
+    # met only once among few are similar only if they meet in a crowd too, where every node gets a pivot.
+    edges = met.where(F.col("kind") != CROWD).groupBy("a", "b").agg(
+        (F.count(F.lit(1)) > 1).alias("twice"), F.max("both").alias("both"), F.max(F.col("kind") == STAR).alias("star"))
+    edges = edges.where("star OR twice OR both")
     for side in ("a", "b"):
         edges = edges.join(reps.select(F.col("node").alias(side), F.col("n").alias(f"n{side}")), side)
-        edges = edges.join(crowded.select(F.col("node").alias(side), F.lit(True).alias(f"crowd_{side}")), side, "left")
     fit = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    edges = scratch.put(edges.where(F.col("crowd_b") | (fit & (F.col("twice") | F.col("both") | F.col("crowd_a")))).select("a", "b"), "edges")
+    edges = scratch.put(edges.where(F.col("star") | fit).select("a", "b"), "edges")
 
     # Sets of the nodes that met another one, each computed once from its representative.
     involved = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -321,7 +338,7 @@ def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch:
     best = compared.select(F.col("b").alias("node"), F.col("a").alias("anchor"), "common", F.col("nb").alias("n"), share.alias("share"), F.col("na").alias("n_anchor"))
     own = compared.select(F.col("a").alias("node"), F.col("a").alias("anchor"), F.col("na").alias("common"), F.col("na").alias("n"), F.lit(0.3).alias("share"), F.col("na").alias("n_anchor"))
     anchors = best.unionByName(own.distinct()).groupBy("node").agg(F.max_by(F.struct("anchor", "common", "n", "n_anchor"), F.struct("share", -F.col("anchor"))).alias("p"))
-    known = anchors.select("node", "p.*").join(crowded, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = anchors.select("node", "p.*").join(crowd.select("node").distinct(), "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = scratch.put(known, "known")
 
     # 1: different pivots under a common key. 2: one pivot and a common shingle beyond it. 3: both close enough to it.
