@@ -34,7 +34,7 @@ def line_key(line: Column) -> Column:
 
 
 def _keys(rows: DataFrame, kinds: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """(id, key, start, size) of substrings of ``text``, for each kind (shorter, i, move): the substring at the place of
+    """(id, text, key, start, size) of substrings of ``text``, for each kind (shorter, i, move): the substring at the place of
     segment ``i`` of a line that many characters shorter, moved. ``rows``: id, parent, text.
 
     One row per kind and then one small expression for all keeps the generated code small.
@@ -48,7 +48,7 @@ def _keys(rows: DataFrame, kinds: list[tuple[int, int, int]], edits: int) -> Dat
     start = 1 + F.col("i") * size + F.greatest(F.lit(0), F.col("i") - parts + longer) + F.col("move")
     spread = spread.select("id", "parent", "text", "own", "length", "i", start.alias("start"), (size + (F.col("i") >= parts - longer).cast("int")).alias("size"))
     spread = spread.where("start >= 1 AND start + size - 1 <= own")
-    return spread.select("id", F.xxhash64("parent", "length", "i", F.col("text").substr(F.col("start"), F.col("size"))).alias("key"), "start", "size")
+    return spread.select("id", "text", F.xxhash64("parent", "length", "i", F.col("text").substr(F.col("start"), F.col("size"))).alias("key"), "start", "size")
 
 
 def index_keys(rows: DataFrame, edits: int) -> DataFrame:
@@ -99,25 +99,30 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when((n == 0) | (m == 0), close).when(close, last.bitwiseAND(F.get(F.array(*[F.lit(1 << d) for d in range(2 * edits + 1)]), m - n + edits)) != 0).otherwise(False)
 
 
-def _candidates(lines: DataFrame, edits: int, crowded: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of line ids that share a key, through the refined keys where a key is crowded."""
-    whole = lines.select("id", F.lit(0).alias("parent"), F.col("line").alias("text"))
-    cut, probes = index_keys(whole, edits), probe_keys(whole, edits)
-    # What probes and index share at all is little; only that is written.
-    met = probes.withColumnsRenamed({"id": "b", "start": "start_b"}).join(cut.withColumnRenamed("id", "a"), ["key", "size"]).where("a <> b")
-    counts = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key")
-    hot = scratch.put(counts, "crowded")
-    if hot.isEmpty():
-        return met.select("a", "b").distinct()
-    plain = probes.join(hot, "key", "left_anti").withColumnRenamed("id", "b").select("b", "key").join(cut.select(F.col("id").alias("a"), "key"), "key")
+def _candidates(said: DataFrame, edits: int, shortest: int, crowded: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of line ids that share a key, through the refined keys where a key is crowded.
+
+    Ids are 64-bit hashes of lines. They only lead to candidates, so lines that share one are still told apart.
+    """
+    said = said.where(F.char_length("line") >= shortest)
+    whole = said.select(F.xxhash64("line").alias("id"), F.lit(0).cast("long").alias("parent"), F.col("line").alias("text"))
+    # Keys of more lines than that, counting repeats: they are found without moving any text.
+    hot = index_keys(whole, edits).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key")
+    hot = scratch.put(hot, "crowded")
+    # Distinct lines; equal ones meet before the shuffle.
+    lines = whole.groupBy("id", "parent", "text").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    cut, probes = index_keys(lines, edits), probe_keys(lines, edits)
+
+    def plain(rows: DataFrame, name: str) -> DataFrame:
+        return rows.join(hot, "key", "left_anti").select("key", F.col("id").alias(name))
 
     def rest(rows: DataFrame) -> DataFrame:
-        text = F.concat(F.substring("line", F.lit(1), F.col("start") - 1), F.substring(F.col("line"), F.col("start") + F.col("size"), F.char_length("line")))
-        return rows.join(hot, "key", "left_semi").join(lines.select("id", "line"), "id").select("id", F.col("key").alias("parent"), text.alias("text"))
+        text = F.concat(F.substring("text", F.lit(1), F.col("start") - 1), F.substring(F.col("text"), F.col("start") + F.col("size"), F.char_length("text")))
+        return rows.join(hot, "key", "left_semi").select("id", F.col("key").alias("parent"), text.alias("text"))
 
-    fine, seek = index_keys(rest(cut), edits).select(F.col("id").alias("a"), "key"), probe_keys(rest(probes), edits).select(F.col("id").alias("b"), "key")
-    refined = seek.join(fine, "key")
-    return plain.select("a", "b").unionByName(refined.select("a", "b")).where("a <> b").distinct()
+    refined = probe_keys(rest(probes), edits).select("key", F.col("id").alias("b")).join(index_keys(rest(cut), edits).select("key", F.col("id").alias("a")), "key")
+    met = plain(probes, "b").join(plain(cut, "a"), "key").select("a", "b").unionByName(refined.select("a", "b"))
+    return met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, crowded: int = CROWDED) -> DataFrame:
@@ -131,18 +136,16 @@ def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, cr
     scratch = Scratch(docs.sparkSession, "line-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     said = lines_of(docs)
-    # Distinct lines; equal ones meet before the shuffle.
-    lines = said.where(F.char_length("line") >= shortest).groupBy("line").agg(F.count(F.lit(1)).alias("n")).select("line", line_key(F.col("line")).alias("id"))
-    pairs = scratch.put(_candidates(lines, edits, crowded, scratch).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = scratch.put(_candidates(said, edits, shortest, crowded, scratch), "pairs")
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = said.select("line", line_key(F.col("line")).alias("id")).join(needed, "id", "left_semi").groupBy("line", "id").agg(F.count(F.lit(1)).alias("n"))
+    needed = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
+    texts = said.select("line", F.xxhash64("line").alias("id")).join(needed, "id", "left_semi").groupBy("line", "id").agg(F.count(F.lit(1)).alias("n"))
     texts = scratch.put(texts.select("id", "line").withColumn("number", F.monotonically_increasing_id()), "texts")
     sides = [texts.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}"), F.col("number").alias(f"number_{s}")) for s in ("a", "b")]
     checked = pairs.join(sides[0], "a").join(sides[1], "b").where(within(F.col("line_a"), F.col("line_b"), edits))
     links = scratch.put(checked.select(F.col("number_a").alias("a"), F.col("number_b").alias("b")), "links")
     roots = connected(links, scratch, "lines")
-    numbered = texts.select("id", F.col("number").alias("node"))
+    numbered = texts.select(line_key(F.col("line")).alias("id"), F.col("number").alias("node"))
     classes = roots.join(numbered, "node").select("id", "root")
 
     light = scratch.put(said.select("doc", "doc_id", "at", line_key(F.col("line")).alias("id")), "light")
