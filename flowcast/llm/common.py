@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +92,15 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
         name += "_"
     numbered = docs.withColumn(name, F.monotonically_increasing_id())
     return numbered.join(dropped.select(F.col("row").alias(name)), name, "left_anti").drop(name)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 500, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows whose ``text`` has about ``size`` bytes (or one longer text), so that what
+    is made from a part stays small however long texts are."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end

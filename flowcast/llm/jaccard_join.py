@@ -15,6 +15,7 @@ between components that are not yet connected.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowcast.llm.common import Scratch, table
+from flowcast.llm.common import Scratch, slices, table
 from flowcast.llm.components import connected
 
 SHINGLE = 5
@@ -38,6 +39,7 @@ NO_ID = -(2**63)  # stands for a null doc_id inside
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -57,25 +59,38 @@ def _power_table(size: int) -> np.ndarray:
     return _powers
 
 
+def _word_hashes(raw: bytes, size: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where words begin and a 64-bit hash of each, for stretches of about ``size`` bytes that end between words."""
+    at = 0
+    while at < len(raw):
+        gap = _GAP.search(raw, min(at + size, len(raw)))
+        end = gap.end() if gap else len(raw)
+        data = np.frombuffer(raw, np.uint8, end - at, at)
+        blank = _BLANK[data]
+        starts = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+        if len(starts):
+            inside = np.arange(starts[0], len(data), dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+            letters = np.where(blank[starts[0]:], _U(0), data[starts[0]:].astype(_U) + _U(1))
+            yield starts + at, _mix(np.add.reduceat(letters * _power_table(int(inside.max()) + 1)[inside], starts - starts[0]))
+        at = end
+
+
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit shingle hashes of all texts, and where each text's begin (one more entry than texts).
 
     A text's hashes are in ascending order. A text of fewer words than a shingle has one for all its words, and one
     without words has none.
     """
-    raw = b"\n".join([text.encode("utf-8", "surrogatepass").lower() if text else b"" for text in texts]) + b"\n"
-    data = np.frombuffer(raw, np.uint8)
-    blank = _BLANK[data]
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    bounds = np.zeros(len(texts) + 1, np.int64)
-    if not len(starts):
+    raw = [text.encode("utf-8", "surrogatepass").lower() if text else b"" for text in texts]
+    hashes, words = [], np.zeros(len(texts), np.int64)
+    joined, lengths = b"\n".join(raw) + b"\n", np.cumsum([len(r) + 1 for r in raw])
+    for start, found in _word_hashes(joined):
+        hashes.append(found)
+        words += np.diff(np.searchsorted(start, np.append(0, lengths)))
+    hashes, bounds = np.concatenate(hashes) if hashes else np.zeros(0, _U), np.zeros(len(texts) + 1, np.int64)
+    if not len(hashes):
         return np.zeros(0, _U), bounds
-    inside = np.arange(len(data), dtype=np.int64)[starts[0]:] - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    letters = np.where(blank[starts[0]:], 0, data[starts[0]:].astype(_U) + _U(1))
-    hashes = _mix(np.add.reduceat(letters * _power_table(int(inside.max()) + 1)[inside], starts - starts[0]))
-    sizes = np.array([len(text.encode("utf-8", "surrogatepass")) if text else 0 for text in texts], np.int64) + 1
-    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))  # first word of each text, then the end
-    words = np.diff(first)
+    first = np.append(0, np.cumsum(words))  # first word of each text, then the end
     owner = np.repeat(np.arange(len(texts)), words)
     left = np.repeat(first[1:], words) - np.arange(len(hashes))  # words from here to the end of the text
     padded = np.concatenate([hashes, np.zeros(SHINGLE, _U)])
@@ -91,11 +106,6 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def _nodes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A number for each set: equal sets have the same; sets that differ do but for a 64-bit accident."""
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(value, 2))])
@@ -110,7 +120,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
     counts = np.zeros(2**SKETCH_BITS, np.uint32)
     for batch in batches:
-        for part in _slices(batch):
+        for part in slices(batch):
             value, bounds = shingle_sets(part["text"].to_pylist())
             np.add.at(counts, value >> _U(64 - SKETCH_BITS), np.uint32(1))
             n = len(bounds) - 1
@@ -176,7 +186,7 @@ def _index(shared: Broadcast):
         classes, frequent = shared.value
         seen: set[int] = set()
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 value, bounds = shingle_sets(part["text"].to_pylist())
                 keys, nodes, scores = [], [], []
                 for node, a, b in zip(_nodes(value, bounds).tolist(), bounds[:-1], bounds[1:], strict=True):
@@ -250,7 +260,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in _slices(batch):
+        for part in slices(batch):
             value, bounds = shingle_sets(part["text"].to_pylist())
             node = _nodes(value, bounds)
             own = np.flatnonzero(node == part["node"].to_numpy())  # a doc_id may stand for several texts

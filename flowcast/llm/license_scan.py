@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowcast.llm.common import table
+from flowcast.llm.common import slices, table
 
 # The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -120,8 +120,7 @@ def license_scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch):
                 rows = [{"doc_id": doc_id, **scan(text, notices)} for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 

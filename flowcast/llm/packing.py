@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowcast.llm import tokens
-from flowcast.llm.common import Scratch
+from flowcast.llm.common import Scratch, slices
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -33,8 +33,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
         encode, end = tokens.encoder(path), np.uint32(end_id).astype("<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, rows = batch.slice(at, 500), []
+            for part in slices(batch):
+                rows = []
                 for doc_id, ids in zip(part["doc_id"].to_pylist(), encode.encode(part["text"].to_pylist()), strict=True):
                     ids = memoryview(ids + end)
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):

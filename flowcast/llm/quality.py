@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowcast.llm.common import table
+from flowcast.llm.common import slices, table
 from flowcast.llm.labelled import fold, labelled_sample
 
 BITS = 18
@@ -146,8 +146,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch):
                 scores = [_sigmoid(dot(text.as_py(), weights)) for text in part["text"]]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"])
 

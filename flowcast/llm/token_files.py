@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowcast.llm import simple8b, tokens
-from flowcast.llm.common import Scratch, table
+from flowcast.llm.common import Scratch, slices, table
 
 CHUNK = 200_000
 _FILE = "range int, first long, n_ids long, doc_ids array<long>, lengths array<long>, offsets array<int>, words binary"
@@ -61,8 +61,7 @@ def _coded(path: str, end_id: int):
             ("lengths", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32())), ("words", pa.binary())])
         size = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for part in slices(batch):
                 rows = zip(part["range"].to_pylist(), part["doc_id"].to_pylist(), encode.encode(part["text"].to_pylist()), strict=True)
                 for number, doc_id, ids in rows:
                     if held and (number != at or size >= 4 * CHUNK):

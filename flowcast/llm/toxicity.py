@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowcast.llm.common import table
+from flowcast.llm.common import slices, table
 from flowcast.llm.labelled import fold, labelled_sample
 
 SAMPLE_ROWS = 4000
@@ -306,8 +306,7 @@ def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFra
         model = shared.value
         reader = Reader(model.landmarks) if model.landmarks else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch):
                 scores = score_texts(part["text"].to_pylist(), model, reader)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*names, column])
 
