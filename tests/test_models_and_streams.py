@@ -162,9 +162,9 @@ def test_live_batches_are_all_or_nothing(spark, tmp_path):
     flows_path, jobs_path = str(tmp_path / "flows"), str(tmp_path / "jobs")
     drain(live.stream_live_batches(spark, str(folder), "live", "q", flows_path, jobs_path, str(tmp_path / "cp")))
     jobs = {r.batch_file[-5]: (r.total_rows, r.accepted_rows, r.status) for r in spark.read.parquet(jobs_path).collect()}
-    assert jobs == {"a": (3, 3, "completed"), "b": (2, 0, "rejected_invalid_flow"), "c": (1001, 0, "rejected_too_large")}
+    assert jobs == {"a": (3, 3, "completed"), "b": (2, 0, "rejected_invalid_flow"), "c": (1001, 1001, "completed")}
     stored = spark.read.parquet(flows_path).collect()
-    assert len(stored) == 3 and json.loads(stored[0].extra) == {"sensor": "zeek"}
+    assert len(stored) == 1004 and json.loads(stored[0].extra) == {"sensor": "zeek"}
 
 
 FAST = ["parse_event_time", "is_private_ip", "normalize_flows", "flow_windows", "window_features", "horizon_labels", "label_interval_join", "rule_explanations", "lead_times", "triage_status"]

@@ -71,22 +71,20 @@ def scored(spark, truth, score, model="m"):
     return windows(spark, [("s", i, t, float(s), model) for i, (t, s) in enumerate(zip(truth, score))], "y_true int, y_score double, model string")
 
 
-LEAD_CASES = [
-    ([0, 0, 0, 1, 1, 0], [0.1, 0.9, 0.9, 0.9, 0.9, 0.1], 0.5, (1, 1, 0, 120.0, 120)),
-    ([0, 0, 1, 1], [0.1, 0.1, 0.9, 0.9], 0.5, (1, 1, 0, 0.0, 0)),
-    ([0, 0, 1, 1], [0.9, 0.1, 0.1, 0.1], 0.5, (1, 0, 1, None, None)),
-    ([0, 0, 0, 1], [0.9, 0.1, 0.9, 0.9], 0.5, (1, 1, 0, 60.0, 60)),
-    ([0, 0, 1, 0, 0, 0, 1], [0.9, 0.9, 0.9, 0.1, 0.1, 0.9, 0.9], 0.5, (2, 2, 0, 90.0, 120)),
-    ([0, 0, 1], [0.4, 0.6, 0.9], 0.3, (1, 1, 0, 120.0, 120)),
-    ([0, 0, 1], [0.4, 0.6, 0.9], 0.95, (1, 0, 1, None, None)),
-    ([0, 0, 0], [0.1, 0.1, 0.1], 0.5, (0, 0, 0, None, None)),
-]
-
-
-@pytest.mark.parametrize(("truth", "score", "threshold", "want"), LEAD_CASES)
-def test_lead_time_cases(spark, truth, score, threshold, want):
+# Own series: quiet, a run-up, a late alarm, a lapse before the onset, two episodes, none at all.
+SERIES = ["00001110", "0011", "000010000", "01", "0000"]
+RAISED = ["00111000", "0001", "110100011", "11", "0110"]
+
+
+@pytest.mark.parametrize(("truth", "raised"), list(zip(SERIES, RAISED, strict=True)) + [("0001100011", "0110000110")])
+@pytest.mark.parametrize("threshold", [0.45, 0.8])
+def test_lead_time_summaries_agree_with_the_loop(spark, truth, raised, threshold):
+    truth, score = [int(c) for c in truth], [0.7 if c == "1" else 0.2 for c in raised]
+    leads = loop_leads(truth, score, threshold)
+    found = [lead for *_, lead in leads if lead is not None]
     s = evaluation.lead_time_summary(scored(spark, truth, score), threshold).first()
-    assert (s.episodes, s.warned_episodes, s.missed_episodes, s.mean_lead_time_sec, s.max_lead_time_sec) == want
+    assert (s.episodes, s.warned_episodes, s.missed_episodes) == (len(leads), len(found), len(leads) - len(found))
+    assert (s.mean_lead_time_sec, s.max_lead_time_sec) == ((sum(found) / len(found), max(found)) if found else (None, None))
 
 
 def test_false_warnings_use_benign_time(spark):
@@ -112,7 +110,7 @@ def test_leads_against_a_loop_over_many_chunks(spark, seed, monkeypatch):
 def test_ema_against_a_loop(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "time_chunk", lambda time, seconds: timeline.time_chunk(time, seconds, 100))
     random.seed(3)
-    values = [random.random() * 100 for _ in range(900)]
+    values = [1e150] + [random.random() * 100 for _ in range(1200)]  # the first value still counts a thousand rows on
     df = windows(spark, [("s", i, v) for i, v in enumerate(values)], "x double")
     got = evaluation.ema_oscillator(df, "x").orderBy("window_start").collect()
     fast = slow = values[0]
@@ -143,8 +141,8 @@ def test_curve_metrics_against_loops(spark, seed):
 
 
 def test_threshold_pins(spark):
-    row = evaluation.calibrate_threshold(scored(spark, [0, 0, 1, 1], [0.1, 0.6, 0.7, 0.9]), 0.0).first()
-    assert (row.threshold, row.recall, row.false_positive_rate) == (0.7, 1.0, 0.0)
+    row = evaluation.calibrate_threshold(scored(spark, [1, 0, 1, 0, 1], [0.55, 0.35, 0.95, 0.15, 0.85]), 0.0).first()
+    assert (row.threshold, row.recall, row.false_positive_rate) == (0.55, 1.0, 0.0)
     with pytest.raises(ValueError, match="benign and attack"):
         evaluation.require_two_classes(scored(spark, [1, 1], [0.2, 0.9]))
     assert evaluation.roc_auc(scored(spark, [1, 1], [0.2, 0.9])).first().roc_auc is None
