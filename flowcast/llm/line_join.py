@@ -57,13 +57,14 @@ def index_keys(rows: DataFrame, edits: int) -> DataFrame:
 
 
 def probe_keys(rows: DataFrame, edits: int) -> DataFrame:
-    """Keys of substrings that can equal a segment of a line shorter by 0 to ``edits`` characters.
+    """Keys of substrings that can equal a segment of a line shorter by 0 to ``edits`` characters, but for the line's own
+    segments, which are index keys.
 
     With at most i edits before segment i and ``edits`` - i behind it, or the other way round, it moves no further.
     """
     return _keys(rows, [
         (shorter, i, move) for shorter in range(edits + 1) for i in range(edits + 1)
-        for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)], edits)
+        for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1) if shorter or move], edits)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -105,24 +106,40 @@ def _candidates(said: DataFrame, edits: int, shortest: int, crowded: int, scratc
     Ids are 64-bit hashes of lines. They only lead to candidates, so lines that share one are still told apart.
     """
     said = said.where(F.char_length("line") >= shortest)
-    whole = said.select(F.xxhash64("line").alias("id"), F.lit(0).cast("long").alias("parent"), F.col("line").alias("text"))
-    # Keys of more lines than that, counting repeats: they are found without moving any text.
-    hot = index_keys(whole, edits).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key")
-    hot = scratch.put(hot, "crowded")
-    # Distinct lines; equal ones meet before the shuffle.
-    lines = whole.groupBy("id", "parent", "text").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    cut, probes = index_keys(lines, edits), probe_keys(lines, edits)
 
-    def plain(rows: DataFrame, name: str) -> DataFrame:
-        return rows.join(hot, "key", "left_anti").select("key", F.col("id").alias(name))
+    def named(texts: DataFrame) -> DataFrame:
+        return texts.select(F.xxhash64("line").alias("id"), F.lit(0).cast("long").alias("parent"), F.col("line").alias("text"))
 
-    def rest(rows: DataFrame) -> DataFrame:
-        text = F.concat(F.substring("text", F.lit(1), F.col("start") - 1), F.substring(F.col("text"), F.col("start") + F.col("size"), F.char_length("text")))
-        return rows.join(hot, "key", "left_semi").select("id", F.col("key").alias("parent"), text.alias("text"))
+    # Keys of more than ``crowded`` different lines, found without moving any text: first by all occurrences, and only for
+    # what that leaves by different lines.
+    every = index_keys(named(said), edits).select("key", "id")
+    often = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    often = scratch.put(often.where((F.col("n") > crowded) & (F.col("low") < F.col("high"))).select("key"), "often")
+    hot = every.join(often, "key", "left_semi").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key")
+    hot = scratch.put(hot, "crowded")
 
-    refined = probe_keys(rest(probes), edits).select("key", F.col("id").alias("b")).join(index_keys(rest(cut), edits).select("key", F.col("id").alias("a")), "key")
-    met = plain(probes, "b").join(plain(cut, "a"), "key").select("a", "b").unionByName(refined.select("a", "b"))
-    return met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Distinct lines; equal ones meet before the shuffle.
+    lines = named(said.groupBy("line").agg(F.count(F.lit(1)).alias("n")))
+    met = _met(index_keys(lines, edits), probe_keys(lines, edits), hot)
+    if not hot.isEmpty():
+        def rest(rows: DataFrame) -> DataFrame:
+            text = F.concat(F.substring("text", F.lit(1), F.col("start") - 1), F.substring(F.col("text"), F.col("start") + F.col("size"), F.char_length("text")))
+            return rows.join(hot, "key", "left_semi").select("id", F.col("key").alias("parent"), text.alias("text"))
+
+        # A line stands for both sides: its rests are indexed where its own segment is hot, and probe there and elsewhere.
+        own = scratch.put(rest(index_keys(lines, edits)), "hot-segments")
+        moved = scratch.put(rest(probe_keys(lines, edits)), "hot-substrings")
+        fine, seek = index_keys(own, edits), probe_keys(own, edits).unionByName(probe_keys(moved, edits)).unionByName(index_keys(moved, edits))
+        met = met.unionByName(_met(fine, seek))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _met(cut: DataFrame, probes: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of ids with an index key in common, or of which one probes for an index key of the other."""
+    cut, probes = cut.select("key", F.col("id").alias("a")), probes.select("key", F.col("id").alias("b"))
+    if without is not None:
+        cut, probes = cut.join(without, "key", "left_anti"), probes.join(without, "key", "left_anti")
+    return probes.unionByName(cut.select("key", F.col("a").alias("b"))).join(cut, "key").where("a <> b").select("a", "b")
 
 
 def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, crowded: int = CROWDED) -> DataFrame:
