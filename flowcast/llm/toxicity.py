@@ -178,17 +178,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
 
 
-def _stems(text: str) -> set[str]:
+def _stems(text: str, lengths=STEMS) -> set[str]:
     units = set(map(unit_of, set(text.split())))
-    return {unit[at:at + n] for unit in units for n in STEMS for at in range(len(unit) - n + 1)}
+    return {unit[at:at + n] for unit in units for n in lengths for at in range(len(unit) - n + 1)}
 
 
 def choose_landmarks(texts: list[str], labels: np.ndarray) -> tuple[list[str], list[str]]:
     """Substrings of units that cover the toxic documents and few clean ones, then clean substrings nearest to them."""
-    toxic = [_stems(text) for text, label in zip(texts, labels, strict=True) if label]
+    toxic_texts = [text for text, label in zip(texts, labels, strict=True) if label]
     clean_texts = [text for text, label in zip(texts, labels, strict=True) if not label]
-    held = Counter(stem for stems in toxic for stem in stems)
-    held = {stem: n for stem, n in held.items() if n >= max(4, len(toxic) // 100)}
+    # A stem is only as frequent as the stems it is made of, so longer ones are counted only where both of those remain.
+    held: dict[str, int] = {}
+    for n in STEMS:
+        counts: Counter[str] = Counter()
+        for text in toxic_texts:
+            counts.update({s for s in _stems(text, (n,)) if n == STEMS[0] or (s[1:] in held and s[:-1] in held)})
+        held.update({stem: k for stem, k in counts.items() if k >= max(4, len(toxic_texts) // 100)})
+    toxic = [_stems(text) & held.keys() for text in toxic_texts]
     clean: Counter[str] = Counter()
     for text in clean_texts:
         clean.update(_stems(text) & held.keys())
