@@ -9,12 +9,14 @@ from __future__ import annotations
 import datetime
 import os
 
+import numpy as np
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.rules import EV, PARSED_CTE, upload
-from checks.testbed import events, flows, flows_sql
-from checks.windows import BY, W, labeled, query_window_features, show, split
+from checks.testbed import events, flows, flows_sql, q6, r6
+from checks.windows import BY, W, feats, labeled, query_window_features, show, split
 from flowcast import fixed_values as fv
 from flowcast.functions import dataset
 from flowcast.operators import labeling, models
@@ -31,6 +33,10 @@ def folder_for(spark) -> str:
     return f"{shared_folder(spark)}/flowcast-{os.urandom(8).hex()}"
 
 
+def r3(column):
+    return F.round(column.cast("double"), 3) + F.lit(0.0)
+
+
 def query_flexible_time(spark, sf):
     kind = F.col("event_id") % 6
     patterns = ["dd/MM/yyyy HH:mm:ss", "d/M/yyyy h:mm a", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "dd/MM/yyyy HH:mm"]
@@ -171,21 +177,39 @@ def query_leakage(spark, sf):
     return labeling.leakage_check(flows(spark, sf), "2024-01-16 00:00:00", W).groupBy(*BY).agg(F.count(F.lit(1)).alias("windows"))
 
 
-_FITTED: dict = {}
+def fitted(spark, sf):
+    """Model and split of one table."""
+    return pipeline.train(flows(spark, sf), W)
 
 
-def fitted(spark, sf):
-    """Model and split of one table, fitted once per session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FITTED:
-        _FITTED[key] = pipeline.train(flows(spark, sf), W)
-    return _FITTED[key]
+# Given parameters, so that scores can be compared: scaling (i, 1 + i % 3) and weights of feature i, and a bias per model.
+_MEAN = [float(i) for i in range(len(fv.FEATURE_NAMES))]
+_STD = [1.0 + i % 3 for i in range(len(fv.FEATURE_NAMES))]
+_RISK = [((7 * i) % 11 - 5) / 2000.0 for i in range(len(fv.FEATURE_NAMES))]
+_STAGE = [[((5 * i + 3 * k) % 13 - 6) / 3000.0 for i in range(len(fv.FEATURE_NAMES))] for k in range(len(fv.STAGES))]
+
+
+def given_model() -> models.ForecastModel:
+    """Persistence: the next window is like the newest one, every value a tenth closer to the mean."""
+    n = len(fv.FEATURE_NAMES)
+    dynamics = np.zeros((n * fv.HISTORY_WINDOWS + 1, n))
+    dynamics[-1 - n:-1] = 0.9 * np.eye(n)
+    return models.ForecastModel(
+        models.Scaling(tuple(_MEAN), tuple(_STD)), dynamics, models.LinearScore(np.array([_RISK]), np.array([-0.2])),
+        models.LinearScore(np.array(_STAGE), np.zeros(len(fv.STAGES))))
 
 
 def query_risk_model(spark, sf):
-    model, s = fitted(spark, sf)
-    scored = models.risk_scores(s.filter(F.col("split") == "test"), model.scaling, model.risk)
-    return show(scored, ["risk", "y_score"])
+    """Every window scored by the given risk model."""
+    model = given_model()
+    return show(models.risk_scores(feats(spark, sf), model.scaling, model.risk), ["y_score"])
+
+
+def query_learned(spark, sf):
+    """The learned path from features to flag: forecasts of the given model, and which newest windows lie outside its training."""
+    found = models.learned_forecasts(feats(spark, sf), given_model())
+    first = F.col("risk_timeline")[0]
+    return found.select(*BY, "is_ood", r6(first["risk_score"]).alias("first_risk"), r6(F.col("peak_risk")).alias("peak_risk"), "peak_risk_window", first["stage"].alias("first_stage"))
 
 
 def query_stage_model(spark, sf):
@@ -204,18 +228,20 @@ def query_dynamics(spark, sf):
     return spark.createDataFrame(rows, "feature string, driver string, weight double")
 
 
+def _rolled(spark, sf):
+    return models.forecast_rollout(labeling.history_sequences(split(spark, sf), W), given_model())
+
+
 def query_rollout(spark, sf):
-    model, s = fitted(spark, sf)
-    rolled = models.forecast_rollout(labeling.history_sequences(s, W), model)
-    points = rolled.select(*BY, "window_start", F.explode("risk_timeline").alias("p"))
-    return points.select(*BY, F.unix_seconds("window_start").alias("window_start"), "p.step", "p.risk_score", "p.stage", "p.stage_confidence")
+    """Five steps ahead of every window with ten before it, by the given model."""
+    points = _rolled(spark, sf).select(*BY, "window_start", F.explode("risk_timeline").alias("p"))
+    return points.select(*BY, F.unix_seconds("window_start").alias("window_start"), "p.step", r6(F.col("p.risk_score")).alias("risk_score"), "p.stage", r3(F.col("p.stage_confidence")).alias("stage_confidence"))
 
 
 def query_contributions(spark, sf):
-    model, s = fitted(spark, sf)
-    rolled = models.forecast_rollout(labeling.history_sequences(s, W), model)
-    parts = rolled.select(*BY, "window_start", F.explode("contributors").alias("c"))
-    return parts.select(*BY, F.unix_seconds("window_start").alias("window_start"), "c.feature", "c.contribution")
+    """How much of each forecast the five strongest features carry, by the given model."""
+    parts = _rolled(spark, sf).select(*BY, "window_start", F.posexplode("contributors").alias("rank", "c"))
+    return parts.select(*BY, F.unix_seconds("window_start").alias("window_start"), "rank", r6(F.col("c.contribution")).alias("contribution"))
 
 
 def query_comparison(spark, sf):
@@ -224,11 +250,13 @@ def query_comparison(spark, sf):
 
 
 def query_registry(spark, sf):
-    model, s = fitted(spark, sf)
+    """The given model with how many windows of each source it scores as risky, registered twice and kept once."""
+    model = given_model()
     path = folder_for(spark) + "/models"
-    for _ in range(2):
-        tables.register_model(spark, path, fv.LEARNED_MODEL_NAME, model.version, fv.FEATURE_SCHEMA_VERSION, "{}", NOW)
-    return spark.read.parquet(path).select("name", "version", "feature_schema_version")
+    risky = models.risk_scores(feats(spark, sf), model.scaling, model.risk).groupBy(*BY).agg(F.count_if(F.col("y_score") >= 0.5).alias("n")).orderBy(*BY).collect()
+    metrics = ",".join(f"{r.traffic_source_id}:{r.n}" for r in risky)  # one entry per source
+    new = [tables.register_model(spark, path, fv.LEARNED_MODEL_NAME, model.version, fv.FEATURE_SCHEMA_VERSION, metrics, NOW) for _ in range(2)]
+    return spark.read.parquet(path).select("name", "version", "feature_schema_version", "metrics", F.lit(new == [True, False]).alias("inserted_once"))
 
 
 # --- Streams ----------------------------------------------------------------------------------
@@ -316,6 +344,7 @@ QUERIES = {
     "upsert_tables": query_upsert,
     "leakage_check": query_leakage,
     "risk_model": query_risk_model,
+    "learned_forecasts": query_learned,
     "stage_model": query_stage_model,
     "dynamics_model": query_dynamics,
     "forecast_rollout": query_rollout,
@@ -335,6 +364,22 @@ def _sql() -> dict[str, str]:
     from checks.scores import scores_cte
     from checks.windows import SQL as W_SQL, feats_sql
 
+    z = [f"(CAST({n} AS DOUBLE) - {m}) / {s}" for n, m, s in zip(fv.FEATURE_NAMES, _MEAN, _STD)]
+    dot = lambda weights: " + ".join(f"({v}) * ({w!r})" for v, w in zip(z, weights))
+    sigmoid = lambda x: f"(1.0 / (1.0 + exp(-({x}))))"
+    logits = ", ".join(f"{dot(w)} AS g{k}" for k, w in enumerate(_STAGE))
+    base = feats_sql() + f""", lin AS (SELECT traffic_source_id, ws, {dot(_RISK)} AS r, {logits}, {" + ".join(f"(abs({v}) > {fv.OOD_Z})::INT" for v in z)} AS far,
+      {", ".join(f"abs({v}) * {abs(w)!r} AS c{i}" for i, (v, w) in enumerate(zip(z, _RISK)))},
+      row_number() OVER (PARTITION BY traffic_source_id ORDER BY ws) AS i, count(*) OVER (PARTITION BY traffic_source_id) AS n FROM feats)"""
+    # The chance of stage k after a step: softmax of the logits times 0.9 per step.
+    step = "steps AS (SELECT unnest(range(1, 6)) AS step)"
+    chances = [f"exp(pow(0.9, step) * g{k})" for k in range(len(fv.STAGES))]
+    best = "greatest(" + ", ".join(chances) + ")"
+    stage = "CASE " + " ".join(f"WHEN {c} = {best} THEN '{name}'" for c, name in zip(chances, fv.STAGES)) + " END"
+    # A sequence's history ends with the window before its target.
+    ahead = base + ", prev AS (SELECT *, lead(ws) OVER (PARTITION BY traffic_source_id ORDER BY ws) AS target FROM lin)"
+    eligible = "i >= 10 AND target IS NOT NULL"
+
     newest = feats_sql() + scores_cte() + " SELECT traffic_source_id, ws AS window_start, risk_score / 100.0 AS peak_risk, predicted_attack_type FROM fc QUALIFY ws = max(ws) OVER (PARTITION BY traffic_source_id)"
     days = "days AS (SELECT DISTINCT epoch_us(date_trunc('day', ts)) // 1000000 AS d FROM events)"
     return {
@@ -349,6 +394,11 @@ def _sql() -> dict[str, str]:
         "read_zeek_json": ZEEK_SQL,
         "read_label_timeline": f"WITH {days} SELECT * FROM (SELECT 'PortScan' AS label, count(*) AS rows, min(d) + 10800 AS first, max(d) + 18000 AS last FROM days UNION ALL SELECT 'SSH_Patator', count(*), min(d) + 14400, max(d) + 21600 FROM days UNION ALL SELECT 'DDoS_LOIC', count(*), min(d) + 14400, max(d) + 93600 FROM days)",
         "write_labeled_flows": f"WITH {flows_sql()} SELECT label, count(*) AS rows FROM flows GROUP BY label",
+        "risk_model": base + f" SELECT traffic_source_id, ws AS window_start, {q6(sigmoid('r - 0.2'))} AS y_score FROM lin",
+        "model_registry": base + f", k AS (SELECT traffic_source_id, count(*) FILTER (WHERE {sigmoid('r - 0.2')} >= 0.5) AS n FROM lin GROUP BY 1) SELECT '{fv.LEARNED_MODEL_NAME}' AS name, '{given_model().version}' AS version, '{fv.FEATURE_SCHEMA_VERSION}' AS feature_schema_version, string_agg(traffic_source_id || ':' || n, ',' ORDER BY traffic_source_id) AS metrics, true AS inserted_once FROM k",
+        "learned_forecasts": base + f" SELECT traffic_source_id, far >= {fv.OOD_MIN_FEATURES} AS is_ood, {q6(sigmoid('0.9 * r - 0.2'))} AS first_risk, {q6('CASE WHEN r < 0 THEN ' + sigmoid('pow(0.9, 5) * r - 0.2') + ' ELSE ' + sigmoid('0.9 * r - 0.2') + ' END')} AS peak_risk, CAST(CASE WHEN r < 0 THEN 5 ELSE 1 END AS INTEGER) AS peak_risk_window, {stage.replace('step', '1')} AS first_stage FROM lin WHERE i = n AND n >= 10",
+        "forecast_rollout": ahead + f", {step} SELECT traffic_source_id, target AS window_start, CAST(step AS INTEGER) AS step, {q6(sigmoid('pow(0.9, step) * r - 0.2'))} AS risk_score, {stage} AS stage, round({best} / ({' + '.join(chances)}), 3) + 0.0 AS stage_confidence FROM prev, steps WHERE {eligible}",
+        "feature_contributions": ahead + f", parts AS (SELECT traffic_source_id, target, unnest(list_slice(list_reverse_sort([{', '.join(f'c{i}' for i in range(len(fv.FEATURE_NAMES)))}]), 1, 5)) AS c, unnest(range(0, 5)) AS rank, {' + '.join(f'c{i}' for i in range(len(fv.FEATURE_NAMES)))} AS total FROM prev WHERE {eligible}) SELECT traffic_source_id, target AS window_start, CAST(rank AS INTEGER) AS rank, {q6('c / total')} AS contribution FROM parts",
         "upsert_tables": W_SQL["flow_windows"].replace("// 60 * 60", f"// {W} * {W}"),
         "leakage_check": "SELECT '' AS traffic_source_id, 0 AS windows WHERE false",
         "stream_zeek": f"WITH {flows_sql()} SELECT protocol, CASE WHEN tcp_flags = 'SYN' THEN 'SYN' ELSE 'SYN,ACK' END AS tcp_flags, coalesce(failed_connection, false) AS failed_connection, count(*) AS rows, CAST(sum(byte_count) AS BIGINT) AS bytes FROM flows GROUP BY 1, 2, 3",

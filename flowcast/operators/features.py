@@ -184,10 +184,11 @@ def window_features(flows: DataFrame, seconds: int = 60, by: Sequence[str] = SOU
     )
 
 
-def feature_violations(features: DataFrame, schema_version: str = fv.FEATURE_SCHEMA_VERSION) -> DataFrame:
+def feature_violations(features: DataFrame, schema_version: str = fv.FEATURE_SCHEMA_VERSION, given: Sequence[str] = ()) -> DataFrame:
     """Add ``violations``: every way a vector breaks the contract, in feature order.
 
-    A missing column counts as missing in every row; text columns must hold numbers.
+    A missing column counts as missing in every row; text columns must hold numbers.  ``given`` names the columns that
+    are meant as features; one that the contract does not know is a violation wherever it holds a value.
     """
     types = dict(features.dtypes)
     checks: list[Column] = []
@@ -198,13 +199,21 @@ def feature_violations(features: DataFrame, schema_version: str = fv.FEATURE_SCH
         checks.append(_violation(name, types.get(name), kind, low, high))
     if "flow_count" in types:
         checks.append(F.when(F.col("flow_count").try_cast("double") == 0, "flow_count: must be >= 1"))
+    for name in sorted(set(given) - set(fv.FEATURE_NAMES)):
+        checks.append(F.when(F.col(name).isNotNull(), f"{name}: unexpected"))
     return features.withColumn("violations", F.array_compact(F.array(*checks)))
 
 
-def _violation(name: str, dtype: str | None, kind: str, low: float | None, high: float | None) -> Column:
+def broken_vector(vector: Column) -> Column:
+    """Whether a struct of numeric features breaks the contract."""
+    problems = [_violation(name, "double", kind, low, high, vector[name]) for name, kind, low, high in fv.FEATURE_SPECS]
+    return F.coalesce(*problems, F.when(vector["flow_count"] == 0, "flow_count")).isNotNull()
+
+
+def _violation(name: str, dtype: str | None, kind: str, low: float | None, high: float | None, value: Column | None = None) -> Column:
     if dtype is None:
         return F.lit(f"{name}: missing")
-    value = F.col(name)
+    value = F.col(name) if value is None else value
     if dtype in ("string", "boolean", "timestamp", "binary"):
         return F.when(value.isNull(), f"{name}: missing").otherwise(F.lit(f"{name}: not numeric"))
     number = value.cast("double")

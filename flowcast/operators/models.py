@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowcast import fixed_values as fv
 from flowcast.operators.evaluation import calibrate_threshold, confusion_metrics, lead_time_summary, pr_auc, roc_auc
+from flowcast.operators.features import broken_vector
 from flowcast.operators.labeling import history_sequences, latest_history, scaling_stats
 from flowcast.operators.windows import SOURCE
 
@@ -222,19 +223,24 @@ def forecast_rollout(histories: DataFrame, model: ForecastModel, steps: int = fv
     return rows.mapInPandas(roll, f"{schema}, {ROLLOUT}")
 
 
-def learned_forecasts(features: DataFrame, model: ForecastModel, stats: DataFrame | None = None, by: Sequence[str] = SOURCE) -> DataFrame:
-    """Forecast of every source with enough history, in the common shape of ``forecast_policy``."""
-    from flowcast.operators.forecasts import PAYLOAD, forecast_confidence, ood_report, peak_step
+def outside_training(vector: Column, scaling: Scaling) -> Column:
+    """Whether a window lies far from the windows the model was trained on, in enough features."""
+    scores = scaled_vector(scaling, vector)
+    return F.size(F.filter(scores, lambda z: F.abs(z) > fv.OOD_Z)) >= fv.OOD_MIN_FEATURES
 
-    rolled = forecast_rollout(latest_history(features, by=by), model, keys=by)
+
+def learned_forecasts(features: DataFrame, model: ForecastModel, by: Sequence[str] = SOURCE) -> DataFrame:
+    """Forecast of every source with enough history, in the common shape of ``forecast_policy``.
+
+    A source with a vector that breaks the contract anywhere in its history gets none.  The newest window is judged
+    against the mean and deviation that the model itself was trained with.
+    """
+    from flowcast.operators.forecasts import PAYLOAD, forecast_confidence, peak_step
+
+    histories = latest_history(features, by=by).filter(~F.exists("history", broken_vector))
+    judged_newest = histories.withColumn("is_ood", outside_training(F.element_at("history", -1), model.scaling))
+    rolled = forecast_rollout(judged_newest, model, keys=[*by, "is_ood"])
     judged = forecast_confidence(peak_step(rolled))
-    if stats is None:
-        judged = judged.withColumn("is_ood", F.lit(False))
-    else:
-        ordered = Window.partitionBy(*by).orderBy(F.desc("window_start"))
-        newest = features.withColumn("_age", F.row_number().over(ordered)).filter(F.col("_age") == 1)
-        flags = ood_report(newest, stats, by).select(*by, "is_ood")
-        judged = judged.join(flags, list(by), "left")
     named = judged.withColumns({"model_name": F.lit(fv.LEARNED_MODEL_NAME), "model_version": F.lit(model.version)})
     return named.select(*by, *PAYLOAD)
 

@@ -109,3 +109,5 @@ def test_invalid_vectors_get_no_forecast(spark):
     assert rejected.pop("empty") == "NOT_ENOUGH_WINDOWS" and set(rejected.values()) == {"INVALID_FEATURES"} and len(rejected) == 6
     missing = features.feature_violations(df.filter("traffic_source_id = 'fine'").drop("packet_burst_score").withColumn("unique_dst_ports", F.lit("12"))).first()
     assert missing.violations == ["unique_dst_ports: not numeric", "packet_burst_score: missing"]
+    unknown = features.feature_violations(df.filter("traffic_source_id = 'fine'").withColumn("extra_rate", F.lit(1.0)), given=[*fv.FEATURE_NAMES, "extra_rate"]).first()
+    assert unknown.violations == ["extra_rate: unexpected"]

@@ -87,8 +87,7 @@ def test_comparison_policy_and_version(spark, traffic, trained):
     assert set(report) == {"same_window", "next_window"} and report["same_window"].support == report["next_window"].support == 80
     assert report["same_window"].roc_auc > 0.95 and report["same_window"].caveat is None
     vectors = features.window_features(traffic)
-    stats = labeling.scaling_stats(split)
-    learned = models.learned_forecasts(vectors, model, stats)
+    learned = models.learned_forecasts(vectors, model)
     from flowcast.operators.forecasts import forecast_policy
 
     chosen = forecast_policy(vectors, learned).collect()
@@ -96,6 +95,16 @@ def test_comparison_policy_and_version(spark, traffic, trained):
     few = forecast_policy(vectors.filter("window_start < timestamp'1970-01-01 00:05:00'"), learned.limit(0)).collect()
     assert {r.fallback_reason for r in few} == {"MODEL_UNAVAILABLE"} and all(r.is_fallback for r in few)
     assert model.version.startswith("sha256:") and len(model.version) == 23
+    # A newest window far from the training is flagged; a source with a broken vector in its history gets no answer.
+    last = vectors.groupBy("traffic_source_id").agg(F.max("window_start").alias("last"))
+    dated = vectors.join(last, "traffic_source_id")
+    newest, older = F.col("window_start") == F.col("last"), F.col("window_start") == F.col("last") - F.expr("INTERVAL 5 MINUTES")
+    wide = dated.withColumns({n: F.when(newest, F.col(n) * 1000 + 10**6).otherwise(F.col(n)) for n in ("packet_count", "byte_count", "flow_count", "packet_length_std")})
+    assert all(r.is_ood for r in models.learned_forecasts(wide, model).collect())
+    assert learned.count() == 2
+    one = F.col("traffic_source_id") == dated.select(F.min("traffic_source_id")).first()[0]
+    broken = dated.withColumn("syn_ratio", F.when(older & one, 7.0).otherwise(F.col("syn_ratio")))
+    assert models.learned_forecasts(broken, model).count() == 1
     with pytest.raises(ValueError):
         pipeline.train(traffic.withColumn("label", F.lit("BENIGN")))
 
