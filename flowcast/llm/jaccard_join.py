@@ -7,10 +7,9 @@ in pairs. Documents of over ``PAIRED`` shingles index frequent ones singly, and
 similar pair uses a common kind of key.
 
 Documents of a key are paired with each other only if they are few. Of more, one, the pivot (the one with the fewest rare
-shingles, most likely the source of copies), is compared with all. What that leaves open for two documents with the same best pivot is
-settled by set arithmetic: unless both overlap enough with the pivot, they can only be similar if they share a shingle
-that the pivot lacks, and those are rare. Only such pairs, and those of different pivots, are compared then, and only
-between components that are not yet connected.
+shingles, most likely the source of copies), is compared with all. What that leaves open for two others is settled by set arithmetic:
+unless both overlap enough with the pivot, they can only be similar if they share a shingle that the pivot lacks, and
+those are rare. Only such pairs are compared then, and only between components that are not yet connected.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ PERCENT = 75
 SKETCH_BITS, SLICE_BITS = 23, 18
 PAIRED = 256
 FEW = 8  # nodes of a key that are compared pair by pair
-PAIR, STAR, CROWD = 0, 1, 2
+PAIR, STAR = 0, 1
 LARGE_ROWS = 100  # rows with whole sets that pass to Python at once
 NO_ID = -(2**63)  # stands for a null doc_id inside
 _U = np.uint64
@@ -208,8 +207,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key, score and node become rows (kind, a, b, both hold frequent shingles):
 
     PAIR    two nodes of a key that at most ``FEW`` nodes share
-    STAR    the pivot and another node of a key that more share
-    CROWD   such a key and each of its nodes
+    STAR    the pivot and another node of a key that more share: of a crowd
 
     Between batches at most ``FEW`` rows and a pivot are kept, so memory does not depend on how often a key occurs.
     """
@@ -241,7 +239,6 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(~few)
         other = at[node[at] != pivots[run[at]]]
         out.append((np.full(len(other), STAR, np.int8), pivots[run[other]], node[other], odds[run[other]] & odd[other]))
-        out.append((np.full(len(at), CROWD, np.int8), key[at], node[at], np.zeros(len(at), bool)))
         kind, a, b, both = (np.concatenate(c) for c in zip(*out, strict=True))
         if len(kind):
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(both)], names=["kind", "a", "b", "both"])
@@ -323,43 +320,38 @@ def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch:
     """(node, root) of all sets that are linked with another one."""
     keys = docs.select("text").mapInArrow(_index(shared), "key long, node long, score int")
     met = scratch.put(keys.repartition("key").sortWithinPartitions("key", "score", "node").mapInArrow(_stars, "kind byte, a long, b long, both boolean"), "met")
-    crowd = met.where(F.col("kind") == CROWD).select(F.col("a").alias("key"), F.col("b").alias("node"))
     # Similar sets share two keys of their longer prefixes, or one and a pair with a frequent shingle in it. Pairs that
     # met only once among few are similar only if they meet in a crowd too, where every node gets a pivot.
-    edges = met.where(F.col("kind") != CROWD).groupBy("a", "b").agg(
+    edges = met.groupBy("a", "b").agg(
         (F.count(F.lit(1)) > 1).alias("twice"), F.max("both").alias("both"), F.max(F.col("kind") == STAR).alias("star"))
     edges = edges.where("star OR twice OR both")
     for side in ("a", "b"):
         edges = edges.join(reps.select(F.col("node").alias(side), F.col("n").alias(f"n{side}")), side)
     fit = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    edges = scratch.put(edges.where(F.col("star") | fit).select("a", "b"), "edges")
+    edges = scratch.put(edges.where(F.col("star") | fit).select("a", "b", "star"), "edges")
 
     # Sets of the nodes that met another one, each computed once from its representative.
     involved = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = reps.join(involved, "node", "left_semi").select("doc_id", "node")
     sets = scratch.put(docs.join(wanted, "doc_id").select("text", "node").mapInArrow(_set_rows, "node long, hashes binary"), "sets", LARGE_ROWS)
 
-    compared = scratch.put(_compared(edges, sets), "compared", LARGE_ROWS)
+    compared = scratch.put(_compared(edges.select("a", "b"), sets), "compared", LARGE_ROWS)
     link = _linked(F.col("common"), F.col("na"), F.col("nb"))
     roots = scratch.put(connected(compared.where(link).select("a", "b"), scratch, "first"), "first-roots")
 
-    # The best pivot of each node of a crowd; a pivot that resembles no other one is its own.
-    share = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    best = compared.select(F.col("b").alias("node"), F.col("a").alias("anchor"), "common", F.col("nb").alias("n"), share.alias("share"), F.col("na").alias("n_anchor"))
-    own = compared.select(F.col("a").alias("node"), F.col("a").alias("anchor"), F.col("na").alias("common"), F.col("na").alias("n"), F.lit(0.3).alias("share"), F.col("na").alias("n_anchor"))
-    anchors = best.unionByName(own.distinct()).groupBy("node").agg(F.max_by(F.struct("anchor", "common", "n", "n_anchor"), F.struct("share", -F.col("anchor"))).alias("p"))
-    known = anchors.select("node", "p.*").join(crowd.select("node").distinct(), "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = scratch.put(known, "known")
+    # Nodes of a crowd and what they have in common with its pivot, for every pivot that a node has met.
+    stars = compared.join(edges.where("star").select("a", "b"), ["a", "b"])
+    known = stars.select(F.col("b").alias("node"), F.col("a").alias("anchor"), "common", F.col("nb").alias("n"), F.col("na").alias("n_anchor"))
+    known = scratch.put(known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "known")
 
-    # 1: different pivots under a common key. 2: one pivot and a common shingle beyond it. 3: both close enough to it.
+    # Two nodes of a crowd share a shingle beyond its pivot, or both are close enough to it; else they are not similar.
     fit = (F.col("root_u") != F.col("root_v")) & (100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
     order = (F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    across = _between(crowd.distinct().join(known.select("node", "anchor", "root", "n"), "node"), "anchor").where(fit).select(*order)
-    withs = known.where("node <> anchor").select("node", "anchor").join(sets.select("node", F.col("hashes").alias("set_a")), "node")
+    withs = known.select("node", "anchor").join(sets.select("node", F.col("hashes").alias("set_a")), "node")
     withs = withs.join(sets.select(F.col("node").alias("anchor"), F.col("hashes").alias("set_b")), "anchor")
     residue = withs.select("node", "anchor", "set_a", "set_b").mapInArrow(_residues(shared), "key long, node long").distinct()
     residue = scratch.put(residue, "residue", LARGE_ROWS)
-    beyond = _between(residue.join(known.select("node", "root", "n"), "node"), "root").where(fit).select(*order)
+    beyond = _between(residue.join(known.select("node", "root", "n").distinct(), "node"), "root").where(fit).select(*order)
     # A node may pair with one of size m if 3/7 (n + m) <= its overlap with the pivot.
     reach = F.floor((F.col("common") * (100 + PERCENT)) / PERCENT) - F.col("n")
     near = known.withColumn("reach", reach)
@@ -369,7 +361,7 @@ def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch:
     one = near.select("anchor", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("reach").alias("reach_u"), F.col("root").alias("root_u"))
     two = loose.select("anchor", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("reach").alias("reach_v"), F.col("root").alias("root_v"))
     close = one.join(two, "anchor").where((F.col("nu") <= F.col("reach_v")) & (F.col("nv") <= F.col("reach_u")) & fit).select(*order)
-    rest = across.unionByName(beyond).unionByName(close).distinct()
+    rest = beyond.unionByName(close).distinct()
     rest = scratch.put(rest.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     late = scratch.put(_compared(rest, sets).where(link).select("a", "b"), "late", LARGE_ROWS)
     links = scratch.put(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
