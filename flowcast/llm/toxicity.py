@@ -108,7 +108,7 @@ class Landmarks:
 class Reader:
     """Turns texts into sentences of landmark values; remembers what each piece is worth."""
 
-    def __init__(self, landmarks: Landmarks, remembered: int = 500_000):
+    def __init__(self, landmarks: Landmarks, remembered: int = 200_000):
         self.landmarks, self.remembered = landmarks, remembered
         self._known: dict[str, int] = {}
         self._rows: dict[bytes, int] = {bytes(4 * len(landmarks.units)): 0}
