@@ -1,7 +1,7 @@
 """A corpus from raw documents to packed sequences.
 
-Each stage works on everything its predecessor kept and is written before the next one reads it, so a stage may number
-the rows of its input by scanning it.
+Each stage works on everything its predecessor kept and is written before the next one reads it. A stage that drops rows
+by number first stores its input with the numbers, as another scan may split files otherwise.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowcast.llm import jaccard_join, packing, positional_index, stream_dedup, toxicity
-from flowcast.llm.common import Scratch, table, without_rows
+from flowcast.llm.common import Scratch, numbered, table, without_rows
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,23 +24,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without blanks the longest stays, then the one with the smallest doc_id."""
-    found = stream_dedup.exact_duplicates(docs, locator=F.monotonically_increasing_id())
-    return without_rows(docs, found.where(~F.col("kept")).select(F.col("locator").cast("long").alias("row")))
+    docs, row = numbered(docs, Scratch(spark, "exact-dedup-rows"))
+    found = stream_dedup.exact_duplicates(docs, locator=F.col(row))
+    return without_rows(docs, found.where(~F.col("kept")).select(F.col("locator").cast("long").alias("row")), row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays; documents without words all stay."""
-    found = jaccard_join.near_duplicates(docs).where("component IS NOT NULL")
+    docs, row = numbered(docs, Scratch(spark, "near-duplicates-rows"))
+    found = jaccard_join.near_duplicates(docs, F.col(row)).where("component IS NOT NULL")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     first = found.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     others = found.join(first, "component").where(F.col("row") != F.col("first.row"))
-    return without_rows(docs, others.select("row"))
+    return without_rows(docs, others.select("row"), row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
-    found = positional_index.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without_rows(docs, found.where("contaminated").select("row"))
+    docs, row = numbered(docs, Scratch(spark, "decontamination-rows"))
+    found = positional_index.contamination(docs, table(spark, sf_dir, "benchmark"), row=F.col(row))
+    return without_rows(docs, found.where("contaminated").select("row"), row)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

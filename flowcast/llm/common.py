@@ -82,16 +82,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` (a written table) without the rows whose number is in ``dropped`` (row).
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number per row, and the name of that column.
 
-    Scanning a written table gives its rows the same numbers every time.
+    Spark sizes the splits of a scan by the cores alive when it plans it, so only a stored number is the same in two scans.
     """
     name = "_row"
     while name in docs.columns:
         name += "_"
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    return numbered.join(dropped.select(F.col("row").alias(name)), name, "left_anti").drop(name)
+    return scratch.put(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, row: str | None = None) -> DataFrame:
+    """``docs`` without the rows whose number is in ``dropped`` (row); ``row`` names the stored number, which drops out.
+
+    Without ``row`` this scan numbers the rows, which is the numbering of ``dropped`` only if both scans are split alike.
+    """
+    if row is None:
+        row = "_row"
+        while row in docs.columns:
+            row += "_"
+        docs = docs.withColumn(row, F.monotonically_increasing_id())
+    return docs.join(dropped.select(F.col("row").alias(row)), row, "left_anti").drop(row)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 500, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:

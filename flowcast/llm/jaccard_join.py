@@ -368,9 +368,10 @@ def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch:
     return connected(links, scratch, "last")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links; besides
-    component (a number per component, null without shingles) and row (the number of the row in ``docs``).
+    component (a number per component, null without shingles) and row (a number of the row: the given stored one, or one
+    that holds for this result only).
 
     Two documents link when 100 x common >= 75 x united shingles. Null, empty and blank texts have no shingles and
     are linked with nothing; texts of one to four words are one shingle. Equal sets are one node, whatever their number.
@@ -378,8 +379,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     get their row; other columns are not read; an empty table gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = scratch.put(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(_read, READ), "read")
+    number = F.monotonically_increasing_id() if row is None else row.cast("long")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), number.alias("row"))
+    read = scratch.put(docs.mapInArrow(_read, READ), "read")
     members = read.where("slice IS NULL").select("doc_id", "row", "node", "n_shingles")
     filled = members.where("n_shingles > 0")
     reps = scratch.put(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "reps")

@@ -23,10 +23,19 @@ SHORTEST = 12  # lines of fewer characters are duplicates only if equal
 CROWDED = 64  # index lines of a key beyond which it is refined
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """One row per line: doc (a number per row of ``docs``), doc_id, at, line. Blanks at its ends and blank lines drop out."""
+def rows_of(docs: DataFrame) -> DataFrame:
+    """One row per line: doc (a number per row of ``docs``), doc_id, at, line. Blanks at its ends and blank lines drop out.
+
+    Each document also has a row with at = -1 and no line, so that one scan, and its numbers, give lines and documents.
+    """
     rows = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("ls")).withColumn("doc", F.monotonically_increasing_id())
-    return rows.select("doc", "doc_id", F.posexplode("ls").alias("at", "raw")).select("doc", "doc_id", "at", F.trim("raw").alias("line")).where("line <> ''")
+    rows = rows.select("doc", "doc_id", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "ls")).alias("at", "raw"))
+    return rows.select("doc", "doc_id", (F.col("at") - 1).alias("at"), F.trim("raw").alias("line")).where("at = -1 OR line <> ''")
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """The lines alone."""
+    return rows_of(docs).where("at >= 0")
 
 
 def line_key(line: Column) -> Column:
@@ -165,7 +174,9 @@ def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, cr
     numbered = texts.select(line_key(F.col("line")).alias("id"), F.col("number").alias("node"))
     classes = roots.join(numbered, "node").select("id", "root")
 
-    light = scratch.put(said.select("doc", "doc_id", "at", line_key(F.col("line")).alias("id")), "light")
+    # The only scan whose numbers are used: another one may split files, and number documents, otherwise.
+    every = scratch.put(rows_of(docs).select("doc", "doc_id", "at", line_key(F.col("line")).alias("id")), "light")
+    light = every.where("at >= 0")
     grouped = light.join(classes, "id", "left").withColumn("class", F.struct(F.col("root"), F.when(F.col("root").isNull(), F.col("id")).alias("own")))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc", "at")
     first = grouped.groupBy("class").agg(F.min(F.struct(place.alias("place"), "id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -175,7 +186,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, cr
         F.count(F.lit(1)).alias("n_dropped"), F.sum(F.col("near").cast("long")).alias("n_near"),
         F.concat_ws(",", F.sort_array(F.collect_list("at")).cast("array<string>")).alias("dropped"))
     sizes = light.groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines"))
-    rows = docs.select("doc_id").withColumn("doc", F.monotonically_increasing_id())
+    rows = every.where("at = -1").select("doc", "doc_id")
     return scratch.keep(rows.join(sizes, "doc", "left").join(dropped, "doc", "left").select(
         "doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_dropped", "n_near")],
         F.coalesce("dropped", F.lit("")).alias("dropped")))

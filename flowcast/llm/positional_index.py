@@ -30,13 +30,14 @@ def item_words(items: DataFrame) -> DataFrame:
         "item", "item_id", "n", "at", lower_ascii(F.col("raw")).alias("word"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def build_index(docs: DataFrame, terms: DataFrame, row: Column | None = None) -> DataFrame:
     """Postings (term, doc, doc_id, position) of every word of ``docs`` that ``terms`` (word, term) names.
 
-    ``doc`` numbers the rows of ``docs``, so repeated rows and null identifiers stay apart. The posting of the pseudo
+    ``doc`` numbers the rows of ``docs`` (``row``, if they have a stored number), so repeated rows and null identifiers stay apart. The posting of the pseudo
     term carries doc_id and the number of words.
     """
-    read = docs.select("doc_id", words(F.col("text")).alias("ws")).withColumn("doc", F.monotonically_increasing_id())
+    number = F.monotonically_increasing_id() if row is None else row
+    read = docs.select("doc_id", words(F.col("text")).alias("ws"), number.alias("doc"))
     # The empty word first: it becomes the document's own posting.
     rows = read.select("doc", "doc_id", F.size("ws").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "ws")).alias("at", "raw"))
     rows = rows.select("doc", "doc_id", "n_words", "at", lower_ascii(F.col("raw")).alias("word"))
@@ -114,25 +115,26 @@ def proximity_matches(index: DataFrame, test: DataFrame, slop: int) -> DataFrame
     return spans.join(needed, "item").where("terms = needed").select("doc", "item", "anchor", "first_word", "last_word")
 
 
-def prepare(docs: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def prepare(docs: DataFrame, items: DataFrame, scratch: Scratch, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The stored index of ``docs`` over the words of ``items``, and the numbered words of the items."""
     said = scratch.put(item_words(items), "item-words")
     order = Window.orderBy("word")  # the distinct words of the test set alone
     terms = said.select("word").distinct().withColumn("term", F.row_number().over(order))
     terms = scratch.put(terms.unionByName(docs.sparkSession.createDataFrame([("", _DOCUMENT)], "word string, term int")), "terms")
     test = scratch.put(said.join(terms, "word").select("item", "item_id", "n", "at", "term"), "test")
-    return scratch.put(build_index(docs, terms), "index"), test
+    return scratch.put(build_index(docs, terms, row), "index"), test
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, row (the number of the row in ``docs``).
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, row: Column | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, row (a number of the row: the given
+    stored one, or one that holds for this result only).
 
     Null and empty texts have no words and no hits. Items without words match nothing; a null item_id counts as a hit but
     is not listed. Repeated documents and items are matched each for itself. Empty tables give no rows, or rows without
     hits. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "decontamination")
-    index, test = prepare(docs, items, scratch)
+    index, test = prepare(docs, items, scratch, row)
     runs = scratch.put(phrase_runs(index, test, scratch, window), "runs")
     hit = runs.select("doc", F.explode(F.sequence("first_word", "last_word")).alias("position")).distinct()
     hit = hit.groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit"))

@@ -161,7 +161,10 @@ def with_file_order(df: DataFrame, name: str = "row_index", by: Sequence[str] =
     Rows of one input split have consecutive numbers in ``_line``.  One row per split is summed up and staged -- its
     first number, and how many rows the splits before it hold -- and gives every row its position; the data itself is
     neither shuffled nor sorted.  Needs the columns ``_file``, ``_block`` and ``_line`` that ``read_in_order`` adds.
+    The rows are staged with them, as a second scan of the files may be split, and so numbered, otherwise.
     """
+    # By place: a table cannot hold names that differ in case alone.
+    df = staged(df.toDF(*[f"c{i}" for i in range(len(df.columns))])).toDF(*df.columns)
     splits = staged(df.groupBy("_file", "_block").agg(F.min("_line").alias("first"), F.count(F.lit(1)).alias("rows")))
     before = Window.partitionBy(*by).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = staged(splits.select("_file", "_block", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("_shift")))

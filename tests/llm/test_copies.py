@@ -177,6 +177,29 @@ def test_near_lines(spark, crowded):
     assert cases.rows_of(found, "doc_id", "n_lines", "n_dropped", "n_near", "dropped") == lines_loop(docs)
 
 
+def test_near_lines_when_a_later_scan_is_split_otherwise(spark, tmp_path, monkeypatch):
+    docs = [(i, f"the same line of words\nline {i} of its own" if i % 3 else "") for i in range(40)]
+    written = cases.written(spark, docs, tmp_path)
+    sizes = {"spark.sql.files.maxPartitionBytes": "1000000000", "spark.sql.files.openCostInBytes": "64", "spark.sql.files.minPartitionNum": "1"}
+    put = Scratch.put
+
+    def resized(self, df, name, *rest):
+        out = put(self, df, name, *rest)
+        if name == "light":
+            spark.conf.set("spark.sql.files.minPartitionNum", "30")
+        return out
+
+    monkeypatch.setattr(Scratch, "put", resized)
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    try:
+        found = line_join.near_lines(written)
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
+    assert cases.rows_of(found, "doc_id", "n_lines", "n_dropped", "n_near", "dropped") == lines_loop(docs)
+
+
 def test_lines_of_nothing(spark):
     assert line_join.near_lines(cases.frame(spark, [])).count() == 0
 

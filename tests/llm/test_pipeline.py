@@ -66,3 +66,22 @@ def test_what_is_left_is_packed(run, spark):
     before, after = run[1]["packing"]
     assert after.where("piece = 0").count() == before.count()
     assert corpus_pipeline.run(spark, f"file://{run[0]}").count() == after.count()
+
+
+@pytest.mark.parametrize("name", ["exact_dedup", "near_duplicates", "decontamination"])
+def test_rows_that_go_do_not_depend_on_the_splits_of_a_scan(run, spark, name):
+    before, after = run[1][name]
+    folder = f"file://{run[0]}"
+    path = f"{folder}/{name}-in-files"
+    before.repartition(5).write.parquet(path)
+    sizes = {"spark.sql.files.maxPartitionBytes": "1000000000", "spark.sql.files.openCostInBytes": "64", "spark.sql.files.minPartitionNum": "1"}
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    try:
+        kept = dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(path), folder)
+        spark.conf.set("spark.sql.files.minPartitionNum", "30")  # as if more executors were alive from here on
+        assert sorted((t or "" for _, t in pairs(kept))) == sorted(t or "" for _, t in pairs(after))
+        assert kept.columns == before.columns
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)

@@ -74,6 +74,19 @@ def test_archive_days_keep_every_nth_row_in_file_order(spark, tmp_path):
     assert rows[13][2] == "2017-07-03T00:00:01Z" and rows[-1][2] == "2017-07-04T00:00:00Z"
 
 
+def test_file_order_holds_when_a_later_scan_is_split_otherwise(spark, tmp_path):
+    csv(tmp_path, "Source Port,Label\n" + "".join(f"{i},BENIGN\n" for i in range(1000)), "monday.csv")
+    ordered = flow_files.with_file_order(flow_files.read_in_order(spark, str(tmp_path / "monday.csv")))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = ordered.select("row_index", "Source Port").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r[0], int(r[1])) for r in rows) == [(i, i) for i in range(1000)]
+
+
 def test_an_archive_day_of_several_files_has_one_order(spark, tmp_path):
     (tmp_path / "day").mkdir()
     for part in range(2):
