@@ -92,34 +92,32 @@ def _complete(left: _Left, room: int, waste_bound: int, nodes: int) -> list[int]
         return best
     sizes, steps = left.sizes, [nodes]
 
-    def search(room: int, limit: int, chosen: list[int], used: dict[int, int]) -> bool:
+    def search(room: int, limit: int, chosen: list[int]) -> bool:
+        # A level is one length, as often as it is used, so the depth is at most the number of different lengths that fit.
         nonlocal best, waste
-        at = bisect.bisect_right(sizes, min(room, limit)) - 1
         if room < waste:
             best, waste = list(chosen), room
             if waste <= waste_bound:
                 return True
-        while at >= 0 and steps[0] > 0:
+        at = bisect.bisect_right(sizes, min(room, limit)) - 1
+        while at >= 0:
             size = sizes[at]
-            steps[0] -= 1
-            if used.get(size, 0) < left.count[size]:
+            most = min(left.count[size], room // size)
+            for times in range(most, 0, -1):
+                if steps[0] <= 0:
+                    return False
+                steps[0] -= 1
+                rest = room - times * size
                 # One exact partner ends the branch without going through the lengths between.
-                rest = room - size
-                if rest and rest <= size and left.count.get(rest, 0) > used.get(rest, 0) + (rest == size):
-                    best, waste = [*chosen, size, rest], 0
+                if 0 < rest < size and rest in left.count:
+                    best, waste = [*chosen, *[size] * times, rest], 0
                     return True
-                used[size] = used.get(size, 0) + 1
-                chosen.append(size)
-                done = search(rest, size, chosen, used)
-                chosen.pop()
-                used[size] -= 1
-                if done:
+                if search(rest, size - 1, [*chosen, *[size] * times]):
                     return True
             at -= 1
-            # Fillings of ever shorter lengths can still be whole only if enough of them are left.
         return False
 
-    search(room, room, [], {})
+    search(room, room, [])
     return best
 
 

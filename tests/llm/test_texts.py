@@ -147,6 +147,18 @@ def test_packing(spark):
     assert packing.pack_documents(cases.frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("counts", [{3: 1, 2: 1100}, {2: 5000, 3: 3}, {1: 3000, 2: 3000}])
+def test_plans_of_very_short_pieces(counts):
+    plan = packing.plan_sequences(counts, 2048)
+    used = Counter()
+    for filling, times in plan:
+        assert sum(filling) <= 2048
+        for size in filling:
+            used[size] += times
+    assert used == counts
+    assert sum(times for _, times in plan) == -(-sum(size * n for size, n in counts.items()) // 2048)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_are_near_the_optimum(seed):
     rng = random.Random(seed)
