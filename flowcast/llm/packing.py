@@ -1,15 +1,18 @@
 """Packing token pieces into as few sequences as possible by bin completion with branch and bound.
 
 Pieces differ only by length and there are at most ``capacity`` lengths, so the search runs on a histogram whose size
-does not depend on the corpus: how many pieces of each length are left. Each step takes the longest length left and
-completes its sequence with the best filling; the filling found is used as often as the counts allow. The resulting
-plan (a few thousand patterns with multiplicities) is dealt out to the pieces by their rank within their length, which
+does not depend on the corpus: how many pieces of each length are left. The better of best fit decreasing and of a
+greedy completion is the incumbent. Unless that meets the lower bound, the search branches over the undominated fillings
+of the longest length left and how often each is used, with the incumbent and the lower bound of what is left to prune,
+within a fixed number of steps. The resulting plan (a few thousand patterns with multiplicities) is dealt out to the pieces by their rank within their length, which
 Spark computes over salted groups.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +25,7 @@ from flowcast.llm import tokens
 from flowcast.llm.common import Scratch, slices
 
 CAPACITY = 2048
+Plan = list[tuple[list[int], int]]  # fillings with their multiplicities
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -121,8 +125,8 @@ def _complete(left: _Left, room: int, waste_bound: int, nodes: int) -> list[int]
     return best
 
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3000) -> list[tuple[list[int], int]]:
-    """Fillings with their multiplicities that use every piece once. ``counts``: pieces by length."""
+def completed_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3000) -> Plan:
+    """Greedy completion: the longest length left gets its fullest filling, as often as the counts allow."""
     left, plan = _Left(counts), []
     total = sum(size * n for size, n in left.count.items())
     slack = -total % capacity  # waste that the lower bound of ceil(total / capacity) sequences allows anyway
@@ -145,7 +149,159 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     return plan
 
 
-def _slots(plan: list[tuple[list[int], int]]) -> tuple[dict[int, np.ndarray], int]:
+def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Best fit decreasing of single pieces, done for whole groups of equal sequences at once."""
+    open_: dict[int, list[tuple[list[int], int]]] = {}
+    rooms: list[int] = []
+
+    def put(room: int, filling: list[int], times: int) -> None:
+        if room not in open_:
+            bisect.insort(rooms, room)
+        open_.setdefault(room, []).append((filling, times))
+
+    for size in sorted((size for size, n in counts.items() if n), reverse=True):
+        n = counts[size]
+        while n:
+            at = bisect.bisect_left(rooms, size)
+            if at < len(rooms):
+                room = rooms[at]
+                filling, times = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            else:
+                room, filling, times = capacity, [], n  # sequences not begun yet
+            each = min(room // size, n)
+            whole = min(times, n // each)
+            put(room - each * size, filling + [size] * each, whole)
+            if times > whole and filling:
+                put(room, filling, times - whole)
+            n -= each * whole
+    return [own for groups in open_.values() for own in groups]
+
+
+def fewest(sizes: np.ndarray, count: np.ndarray, capacity: int) -> int:
+    """A lower bound of the sequences needed (Martello and Toth's L2). ``sizes`` ascend."""
+    total = int(sizes @ count)
+    bound = -(-total // capacity)
+    n, volume = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(sizes * count)])
+    half = int(np.searchsorted(sizes, capacity // 2, side="right"))
+    # Pieces under k are left out; those over capacity - k stand alone, and others of more than half have some room left.
+    k = np.concatenate([[0], sizes[:half]])
+    low, high = np.searchsorted(sizes, k), np.maximum(np.searchsorted(sizes, capacity - k, side="right"), half)
+    room = (n[high] - n[half]) * capacity - (volume[high] - volume[half])
+    over = np.maximum(0, volume[half] - volume[low] - room)
+    return max(bound, int((n[-1] - n[half] + -(-over // capacity)).max()))
+
+
+def _dominates(one: list[int], other: list[int]) -> bool:
+    """Whether the pieces of ``other`` fit into the places of ``one``, found by first fit; False may be wrong."""
+    rooms = list(one)
+    for size in other:
+        for i, room in enumerate(rooms):
+            if room >= size:
+                rooms[i] -= size
+                break
+        else:
+            return False
+    return True
+
+
+def _fillings(sizes: list[int], count: list[int], capacity: int, steps: int, most: int = 24) -> list[list[tuple[int, int]]]:
+    """Undominated fillings with the longest length left, fullest first: pairs of (index of a length, times).
+
+    At most ``steps`` steps and ``most`` fillings.
+    """
+    left = [i for i, n in enumerate(count) if n]
+    top, shortest = left[-1], sizes[left[0]]
+    found: list[tuple[int, list[tuple[int, int]]]] = []
+    # What is left to look at: fillings begun, with the place in ``left`` below which lengths may be added. An explicit stack.
+    stack = [(capacity - sizes[top], len(left) - 1, [(top, 1)])]
+    while stack and steps > 0:
+        room, at, chosen = stack.pop()
+        steps -= 1
+        if at < 0 or room < shortest:
+            # Full, unless a length that was passed over would still fit.
+            used = dict(chosen)
+            if not any(count[i] > used.get(i, 0) for i in left[:bisect.bisect_right(left, room, key=lambda i: sizes[i])]):
+                found.append((room, chosen))
+            continue
+        at = min(at, bisect.bisect_right(left, room, key=lambda i: sizes[i]) - 1)
+        i = left[at]
+        times = min(count[i] - (i == top), room // sizes[i])
+        for t in range(times + 1):  # the most copies are looked at first
+            own = [*chosen[:-1], (i, t + 1)] if i == top and t else [*chosen, (i, t)] if t else chosen
+            stack.append((room - t * sizes[i], at - 1, own))
+    found.sort(key=lambda own: (own[0], len(own[1])))
+    kept: list[list[tuple[int, int]]] = []
+    spread: list[list[int]] = []
+    for _, chosen in found[:8 * most]:
+        pieces = [sizes[i] for i, t in chosen for _ in range(t)]
+        if len(kept) < most and not any(_dominates(other, pieces) for other in spread):
+            kept.append(chosen)
+            spread.append(pieces)
+    return kept
+
+
+def _branch(counts: dict[int, int], capacity: int, nodes: int, best: Plan, bound: int) -> Plan:
+    """The best plan found within ``nodes`` steps; states that depart least from the first choices come first."""
+    sizes = sorted(size for size, n in counts.items() if n)
+    each = np.array(sizes, dtype=np.int64)
+    least = sum(times for _, times in best)
+    plan = best
+    serial = itertools.count()
+    # (departures, -depth, serial, sequences so far, counts left before the choice, choice, times, choices before)
+    heap: list = [(0, 0, next(serial), 0, np.array([counts[size] for size in sizes], dtype=np.int64), [], 0, None)]
+    seen: dict[bytes, int] = {}
+    while heap and nodes > 0 and least > bound:
+        away, depth, _, made, count, choice, times, before = heapq.heappop(heap)
+        nodes -= 1
+        count = count.copy()
+        for i, t in choice:
+            count[i] -= t * times
+        made += times
+        chosen = (choice, times, before) if times else None
+        if not count.any():
+            if made < least:
+                least, plan = made, []
+                while chosen:
+                    own, often, chosen = chosen
+                    plan.append(([sizes[i] for i, t in own for _ in range(t)], often))
+                plan.reverse()
+            continue
+        state = count.tobytes()
+        if made + fewest(each, count, capacity) >= least or seen.get(state, least) <= made:
+            continue
+        seen[state] = made
+        further = 0
+        for own in _fillings(sizes, count.tolist(), capacity, 500):
+            # Halves down to 1 are enough: a filling can be chosen again.
+            often = int(min(count[i] // t for i, t in own))
+            while often:
+                heapq.heappush(heap, (away + further, depth - 1, next(serial), made, count, own, often, chosen))
+                further, often = further + 1, often // 2
+    return plan
+
+
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3000) -> Plan:
+    """Fillings with their multiplicities that use every piece once. ``counts``: pieces by length.
+
+    Never more sequences than best fit decreasing, or than the greedy completion. The fewest possible if they meet the lower
+    bound; where they do not, the branching ends after ``nodes`` states and returns the best plan so far.
+    """
+    counts = {int(size): int(n) for size, n in counts.items() if n}
+    if not counts:
+        return []
+    sizes = sorted(counts)
+    bound = fewest(np.array(sizes, dtype=np.int64), np.array([counts[size] for size in sizes], dtype=np.int64), capacity)
+    best = best_fit_plan(counts, capacity)
+    if sum(times for _, times in best) > bound:
+        best = min(best, completed_plan(counts, capacity, nodes), key=lambda plan: sum(times for _, times in plan))
+    if sum(times for _, times in best) > bound:
+        best = _branch(counts, capacity, nodes, best, bound)
+    return best
+
+
+def _slots(plan: Plan) -> tuple[dict[int, np.ndarray], int]:
     """Per length: rows (first rank, first sequence, offset) in ascending rank; a row covers one place of a filling."""
     slots: dict[int, list[tuple[int, int, int]]] = {}
     used: dict[int, int] = {}

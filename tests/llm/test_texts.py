@@ -159,6 +159,48 @@ def test_plans_of_very_short_pieces(counts):
     assert sum(times for _, times in plan) == -(-sum(size * n for size, n in counts.items()) // 2048)
 
 
+def sequences_of(plan):
+    return sum(times for _, times in plan)
+
+
+def test_plans_are_never_worse_than_best_fit():
+    counts = {1340: 1000, 700: 1000, 354: 2000}
+    assert sequences_of(packing.best_fit_plan(counts, 2048)) == 1400
+    assert sequences_of(packing.plan_sequences(counts, 2048)) <= 1400
+
+
+def test_branching_beats_both_first_plans():
+    rng = random.Random(3)
+    wins = 0
+    for _ in range(40):
+        counts = Counter(rng.randint(15, 60) for _ in range(30))
+        first = min(sequences_of(packing.best_fit_plan(counts, 100)), sequences_of(packing.completed_plan(counts, 100)))
+        plan = packing.plan_sequences(counts, 100)
+        used = Counter()
+        for filling, times in plan:
+            assert sum(filling) <= 100
+            for size in filling:
+                used[size] += times
+        sizes = sorted(counts)
+        assert used == counts and packing.fewest(np.array(sizes), np.array([counts[s] for s in sizes]), 100) <= sequences_of(plan) <= first
+        wins += sequences_of(plan) < first
+    assert wins
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_of_groups_equals_best_fit_of_pieces(seed):
+    rng = random.Random(seed)
+    counts = Counter(rng.randint(1, 60) for _ in range(200))
+    rooms = []
+    for size in sorted(counts.elements(), reverse=True):
+        at = min((i for i, room in enumerate(rooms) if room >= size), key=lambda i: rooms[i], default=None)
+        if at is None:
+            rooms.append(100 - size)
+        else:
+            rooms[at] -= size
+    assert sequences_of(packing.best_fit_plan(counts, 100)) == len(rooms)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_are_near_the_optimum(seed):
     rng = random.Random(seed)
