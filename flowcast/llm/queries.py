@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from flowcast.llm import conversation_trie, jaccard_join, license_scan, line_join, packing, positional_index, quality, shards, stream_dedup, syncmers, token_files, toxicity
+from flowcast.llm import collocations, conversation_trie, jaccard_join, license_scan, line_join, packing, positional_index, quality, shards, stream_dedup, syncmers, token_files, toxicity
 
 QUERIES = {
     "op1_positional_index": positional_index.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.query,
     "op10_best_fit_packing": packing.query,
     "op11_prefix_trie": conversation_trie.query,
+    "op12_collocations": collocations.query,
     "op13_syncmer_prints": syncmers.query,
     "pipeline": corpus_pipeline.run,
 }
@@ -24,4 +25,5 @@ SQL = {
     "op1_positional_index": positional_index.SQL,
     "op5_stream_dedup": stream_dedup.SQL,
     "op11_prefix_trie": conversation_trie.SQL,
+    "op12_collocations": collocations.SQL,
 }
