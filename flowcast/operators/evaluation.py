@@ -12,8 +12,8 @@ from flowcast.operators.timeline import time_chunk, with_carry, with_previous
 from flowcast.operators.windows import SOURCE
 
 MODEL = ("model",)
-# Scores fall into this many equal cells; a cell is one ordered group of the score curve.
-_SCORE_CELLS = 4096
+# Distinct scores of a model that are ordered by one task, and the most such groups a model is cut into.
+_CELL_SCORES, _MOST_CELLS = 100_000, 2048
 
 
 def confusion_metrics(scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = MODEL) -> DataFrame:
@@ -48,19 +48,47 @@ def f2_score(scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = MODE
     return counted.select(*by, risk.f2(precision, recall).alias("f2"))
 
 
+def distinct_scores(scored: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
+    """Windows collapsed to distinct scores: attacks (``pos``) and benign windows (``neg``) at each."""
+    return scored.groupBy(*by, F.col("y_score").alias("score")).agg(
+        F.sum(F.col("y_true").cast("bigint")).alias("pos"), F.sum(1 - F.col("y_true").cast("bigint")).alias("neg")
+    )
+
+
+def score_cells(distinct: DataFrame, by: Sequence[str] = MODEL, rows: int = _CELL_SCORES) -> DataFrame:
+    """Add ``_cell``: the ordered group of a score, highest scores first, about ``rows`` distinct scores each.
+
+    The splitters are quantiles of the model's own distinct scores, so groups are even wherever scores crowd.  They
+    are one sorted array per model, searched by bisection.
+    """
+    steps = [2**k for k in reversed(range(_MOST_CELLS.bit_length() - 1))]
+    quantiles = F.array(*[F.lit(i / _MOST_CELLS) for i in range(1, _MOST_CELLS)])
+    sizes = distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("score", quantiles, F.lit(4 * _MOST_CELLS)).alias("_quantiles"))
+    # Every so many of the finest quantiles, as many as the model's size asks for.
+    wanted = F.least(F.ceil(F.col("_n") / F.lit(rows)), F.lit(_MOST_CELLS))
+    places = F.transform(F.sequence(F.lit(1), F.greatest(wanted - 1, F.lit(1))), lambda k: F.floor(k * _MOST_CELLS / wanted).cast("int"))
+    chosen = F.array_distinct(F.transform(places, lambda k: F.get("_quantiles", k - 1)))
+    splitters = sizes.select(*by, F.when(wanted > 1, chosen).otherwise(F.array().cast("array<double>")).alias("_splitters"))
+    keyed = splitters.withColumnsRenamed({key: f"_of_{key}" for key in by})
+    joined = distinct.join(keyed, [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in by], "left").drop(*[f"_of_{key}" for key in by])
+
+    def bisect(found: Column, step: Column) -> Column:
+        """``found`` splitters lie below the score; are ``step`` more of them?"""
+        return F.when(F.get("_splitters", found + step - 1) < F.col("score"), found + step).otherwise(found)
+
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), bisect)
+    return joined.withColumn("_cell", -below).drop("_splitters")
+
+
 def score_curve(scored: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
     """Per distinct score: attacks and benign windows at it (``pos``, ``neg``), at or above it
     (``tp``, ``fp``), and in total (``positives``, ``negatives``).
 
-    Windows are first collapsed to distinct scores; the running sums go through score cells, so no
+    The running sums go through groups of neighbouring scores and, in them, from score to score, so no
     task orders all scores.
     """
-    distinct = scored.groupBy(*by, F.col("y_score").alias("score")).agg(
-        F.sum(F.col("y_true").cast("bigint")).alias("pos"), F.sum(1 - F.col("y_true").cast("bigint")).alias("neg")
-    )
-    cell = F.floor(-F.col("score") * _SCORE_CELLS).cast("bigint")
     carried = with_carry(
-        distinct, by, [F.desc("score")], cell,
+        score_cells(distinct_scores(scored, by), by), by, [F.desc("score")], F.col("_cell"),
         {"sum:_pos_above": F.sum("pos"), "sum:_neg_above": F.sum("neg")},
         whole={"sum:positives": F.sum("pos"), "sum:negatives": F.sum("neg")},
     )
@@ -70,7 +98,7 @@ def score_curve(scored: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
             "tp": F.coalesce("_pos_above", F.lit(0)) + F.sum("pos").over(local),
             "fp": F.coalesce("_neg_above", F.lit(0)) + F.sum("neg").over(local),
         }
-    ).drop("_chunk", "_position", "_pos_above", "_neg_above")
+    ).drop("_cell", "_chunk", "_position", "_pos_above", "_neg_above")
 
 
 def roc_auc(scored: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
@@ -102,7 +130,7 @@ def calibrate_threshold(scored: DataFrame, max_false_positive_rate: float = 0.05
     ``require_two_classes``.
     """
     if not 0.0 <= max_false_positive_rate <= 1.0:
-        raise ValueError("max_false_positive_rate must be between 0 and 1")
+        raise ValueError("the share of false alarms allowed lies between 0 and 1")
     recall = F.col("tp") / F.col("positives")
     rate = F.col("fp") / F.col("negatives")
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)

@@ -1,9 +1,10 @@
 """Ordered operators over long timelines, cut into chunks.
 
 A plain ``Window.partitionBy(source).orderBy(time)`` sorts a whole source in one task, so a
-source that holds a third of all rows holds up the job.  The three helpers below give the
-same answers with bounded groups: rows are ordered inside (source, chunk) groups, and only a
-few seam rows per chunk are ordered across chunks.
+source that holds a third of all rows holds up the job.  The helpers below give the same answers
+with bounded groups: rows move once, to their (source, chunk) group, and are ordered there.  Across
+chunks go only a chunk's totals, which come back by a join for which the rows already lie right, or
+its first and last few rows (its halo).
 
 ``by`` are the timeline columns, ``order`` is unique inside a timeline, and ``chunk`` is any
 expression that never decreases along ``order``.
@@ -28,6 +29,19 @@ def _local(by: Sequence[str], order: Sequence[Column]):
     return Window.partitionBy(*by, "_chunk").orderBy(*order)
 
 
+def _dealt(df: DataFrame, by: Sequence[str], chunk: Column) -> DataFrame:
+    """Every row in its chunk's group: the one exchange of the rows, which all that follows shares."""
+    return df.withColumn("_chunk", chunk).repartition(*by, "_chunk")
+
+
+def _back(rows: DataFrame, per_chunk: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The columns of ``per_chunk`` on every row of the chunk; a NULL names a timeline like any other value."""
+    keys = [*by, "_chunk"]
+    other = per_chunk.withColumnsRenamed({key: f"_of_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
+    return rows.join(other, same, "left").drop(*[f"_of_{key}" for key in keys])
+
+
 def with_previous(
     df: DataFrame,
     by: Sequence[str],
@@ -42,28 +56,24 @@ def with_previous(
 
     With ``following`` the rows just after are taken, nearest first.
 
-    Rows with ``depth`` neighbours inside their chunk are done after the first pass.  The others
-    -- at most ``depth`` at each end of a chunk -- meet in one seam group per timeline, where the
-    last rows of the earlier chunks directly precede them.
+    Rows with ``depth`` neighbours inside their chunk are done where they lie.  Only the others -- at most
+    ``depth`` at each end of a chunk, its halo -- are exchanged again: they meet in one group per timeline,
+    where the last rows of the earlier chunks directly precede them.
     """
     payload = F.struct(*[F.col(f) for f in fields])
     local = _local(by, [F.col(order)])
-    before = local.rowsBetween(-depth, -1)
-    after = local.rowsBetween(1, depth)
+    before, after = local.rowsBetween(-depth, -1), local.rowsBetween(1, depth)
     near_frame, far_frame = (after, before) if following else (before, after)
-    staged = (
-        df.withColumn("_chunk", chunk)
-        .withColumn("_near", F.collect_list(payload).over(near_frame))
-        .withColumn("_others", F.count(F.lit(1)).over(far_frame))
+    placed = _dealt(df, by, chunk).withColumns(
+        {"_near": F.collect_list(payload).over(near_frame), "_others": F.count(F.lit(1)).over(far_frame)}
     )
     interior = (F.size("_near") == depth) & (F.col("_others") == depth)
-    seam = Window.partitionBy(*by, "_seam").orderBy(order)
+    seam = Window.partitionBy(*by).orderBy(order)
     seam_frame = seam.rowsBetween(1, depth) if following else seam.rowsBetween(-depth, -1)
-    joined = staged.withColumn("_seam", F.when(interior, F.col("_chunk"))).withColumn(
-        "_far", F.collect_list(payload).over(seam_frame)
-    )
-    complete = F.when(F.size("_near") == depth, F.col("_near")).otherwise(F.col("_far"))
-    return joined.withColumn(name, complete).drop("_chunk", "_near", "_others", "_seam", "_far")
+    done = placed.filter(interior).withColumnRenamed("_near", name)
+    far = F.collect_list(payload).over(seam_frame)
+    outer = placed.filter(~interior).withColumn(name, F.when(F.size("_near") == depth, F.col("_near")).otherwise(far)).drop("_near")
+    return done.unionByName(outer).drop("_chunk", "_others")
 
 
 def with_carry(
@@ -75,7 +85,8 @@ def with_carry(
     following: bool = False,
     whole: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add ``_chunk`` and, per entry of ``totals``, what the earlier chunks of the timeline add up to.
+    """Add ``_chunk``, the row's ``_position`` in it and, per entry of ``totals``, what the earlier chunks of the
+    timeline add up to (NULL for the first one).
 
     ``totals`` are aggregates that add over chunks with themselves, named by ``sum:``/``min:``/``max:``
     prefixes, e.g. ``{"sum:offset": F.count(...)}``.  With ``following`` the later chunks are taken.
@@ -83,28 +94,27 @@ def with_carry(
     """
     combine = {"sum": F.sum, "min": F.min, "max": F.max}
     whole = whole or {}
-    local = _local(by, order)
+    dealt = _dealt(df, by, chunk)
+    rows = dealt.withColumn("_position", F.row_number().over(_local(by, order)))
+    if not totals and not whole:
+        return rows
+    everything = {**totals, **whole}
     group = Window.partitionBy(*by, "_chunk")
-    staged = df.withColumn("_chunk", chunk).withColumn("_position", F.row_number().over(local))
-    for key, aggregate in {**totals, **whole}.items():
-        staged = staged.withColumn("_total_" + key.split(":")[1], aggregate.over(group))
-    # One row per chunk -- its first -- carries the chunk's totals across the seams.
-    first = F.col("_position") == 1
-    staged = staged.withColumn("_seam", F.when(~first, F.col("_chunk")))
-    seam = Window.partitionBy(*by, "_seam").orderBy("_chunk")
+    sums = rows.withColumns({"_total_" + key.split(":")[1]: total.over(group) for key, total in everything.items()})
+    # Reading every column keeps this side on the very exchange of the rows; with fewer columns it would be made anew.
+    read = [F.to_json(F.col(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
+    same = F.hash(*read) >= -(2**31)
+    sums = sums.filter((F.col("_position") == 1) & same).select(*by, "_chunk", *["_total_" + key.split(":")[1] for key in everything])
+    across = Window.partitionBy(*by).orderBy("_chunk")
     unbounded = Window.unboundedFollowing if following else Window.unboundedPreceding
-    frame = seam.rowsBetween(1, unbounded) if following else seam.rowsBetween(unbounded, -1)
-    every = seam.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for key in totals:
-        how, name = key.split(":")
-        staged = staged.withColumn("_carry_" + name, F.when(first, combine[how]("_total_" + name).over(frame)))
-    for key in whole:
-        how, name = key.split(":")
-        staged = staged.withColumn("_carry_" + name, F.when(first, combine[how]("_total_" + name).over(every)))
-    for key in {**totals, **whole}:
-        name = key.split(":")[1]
-        staged = staged.withColumn(name, F.max("_carry_" + name).over(group)).drop("_total_" + name, "_carry_" + name)
-    return staged.drop("_seam")
+    frame = across.rowsBetween(1, unbounded) if following else across.rowsBetween(unbounded, -1)
+    every = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = []
+    for entries, span in ((totals, frame), (whole, every)):
+        for key in entries:
+            how, name = key.split(":")
+            carried.append(combine[how]("_total_" + name).over(span).alias(name))
+    return _back(rows, sums.select(*by, "_chunk", *carried), by)
 
 
 def with_row_index(df: DataFrame, by: Sequence[str], order: str, chunk: Column, name: str = "row_index", total: str | None = None) -> DataFrame:

@@ -43,6 +43,66 @@ def test_row_index_and_next_value(spark, size):
     assert all(r.row_index == r.want and r.total == r["all"] for r in rows)
 
 
+def ran(df):
+    """The plan as it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def exchanges(plan):
+    """Exchanges made, reads of one that was there already, and scans."""
+    lines = plan.splitlines()
+    reused = [line for line in lines if "ReusedExchange" in line]
+    return len([line for line in lines if " Exchange " in line]) - len(reused), len(reused), plan.count("FileScan")
+
+
+def test_rows_move_once(spark, tmp_path):
+    path = f"file://{tmp_path}/rows"
+    spark.range(20_000).selectExpr("concat('s', id % 3) traffic_source_id", "timestamp_seconds(60 * id) window_start", "id n", "id % 7 x", "rand(1) payload").write.parquet(path)
+    df = spark.read.parquet(path)
+    chunk = F.floor(F.col("n") / 500).cast("long")
+    carried = timeline.with_carry(df, ["traffic_source_id"], [F.col("window_start")], chunk, {"sum:before": F.sum("x")}, whole={"sum:all": F.sum("x")})
+    previous = timeline.with_previous(df, ["traffic_source_id"], "window_start", ["x"], 3, chunk)
+    for out in (carried, previous):
+        plan = ran(out)
+        # One exchange of the rows; another of chunk totals or of the halo; the second branch reads the first exchange again.
+        assert exchanges(plan) == (2, 1, 1), plan
+    rows = carried.orderBy("traffic_source_id", "window_start").collect()
+    seen = {}
+    for r in rows:
+        total, at = seen.get(r.traffic_source_id, (0, None))
+        if r._chunk != at:
+            assert (r.before or 0) == total
+        seen[r.traffic_source_id] = (total + r.x, r._chunk)
+    assert all(r["all"] == seen[r.traffic_source_id][0] for r in rows)
+
+
+def test_score_groups_stay_even_when_scores_crowd(spark):
+    """Nine of ten scores within a ten-thousandth of each other, two models of very different size."""
+    n = 40_000
+    score = F.when(F.col("id") % 10 < 9, 0.7 + F.rand(3) / 10_000).otherwise(F.rand(4))
+    scored = spark.range(n).select(F.when(F.col("id") % 40 == 0, "small").alias("model"), score.alias("y_score"), (F.rand(5) < 0.3).cast("int").alias("y_true"))
+    cells = evaluation.score_cells(evaluation.distinct_scores(scored), rows=1_000).groupBy("model", "_cell").agg(F.count("*").alias("n"), F.max("score").alias("high"), F.min("score").alias("low")).orderBy("model", "_cell").collect()
+    large = [c for c in cells if c.model is None]
+    mean = sum(c.n for c in large) / len(large)
+    assert 30 <= len(large) <= 50 and max(c.n for c in large) <= 2 * mean
+    assert all(b.high < a.low for a, b in zip(large, large[1:]))
+    curve = evaluation.score_curve(scored).orderBy("model", F.desc("score")).collect()
+    seen = {}
+    for r in curve:
+        tp, fp = seen.get(r.model, (0, 0))
+        seen[r.model] = (tp + r.pos, fp + r.neg)
+        assert (r.tp, r.fp) == seen[r.model]
+    assert all((r.positives, r.negatives) == seen[r.model] for r in curve)
+
+
+def test_null_timelines_carry_too(spark):
+    df = spark.createDataFrame([(None, i, 1) for i in range(10)] + [("a", i, 2) for i in range(10)], "traffic_source_id string, n long, x long")
+    chunk = F.floor(F.col("n") / 3).cast("long")
+    rows = timeline.with_carry(df, ["traffic_source_id"], [F.col("n")], chunk, {"sum:before": F.sum("x")}).collect()
+    assert len(rows) == 20 and all((r.before or 0) == (2 if r.traffic_source_id else 1) * (r.n // 3) * 3 for r in rows)
+
+
 def loop_episodes(truth):
     runs, start = [], None
     for i, value in enumerate([*truth, 0]):
