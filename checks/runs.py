@@ -321,8 +321,7 @@ def _feature_stream(spark, sf) -> str:
 
 
 def query_stream_features(spark, sf):
-    shown = show(spark.read.parquet(_feature_stream(spark, sf) + "/features"), fv.FEATURE_NAMES)
-    return shown.withColumns({"feature_schema_version": F.lit("v1"), "is_complete": F.lit(True)})
+    return show(spark.read.parquet(_feature_stream(spark, sf) + "/features"), [*fv.FEATURE_NAMES, "feature_schema_version", "is_complete"])
 
 
 def query_stream_scores(spark, sf):

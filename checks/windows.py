@@ -134,9 +134,7 @@ def group_query(name):
 
 
 def query_window_features(spark, folder):
-    full = feats(spark, folder)
-    shown = show(full, fv.FEATURE_NAMES)
-    return shown.withColumns({"feature_schema_version": F.lit(fv.FEATURE_SCHEMA_VERSION), "is_complete": F.lit(True)})
+    return show(feats(spark, folder), [*fv.FEATURE_NAMES, "feature_schema_version", "is_complete"])
 
 
 def query_flow_windows(spark, folder):

@@ -171,7 +171,11 @@ def base_features(flows: DataFrame, seconds: int = 60, by: Sequence[str] = SOURC
 
 def window_features(flows: DataFrame, seconds: int = 60, by: Sequence[str] = SOURCE, min_history: int = 1) -> DataFrame:
     """All 37 features in contract order, with schema version and completeness."""
-    full = with_momentum(base_features(flows, seconds, by), seconds, by, min_history)
+    return contract_columns(with_momentum(base_features(flows, seconds, by), seconds, by, min_history), seconds, by)
+
+
+def contract_columns(full: DataFrame, seconds: int, by: Sequence[str] = SOURCE, *others: str) -> DataFrame:
+    """Keys, window bounds, the features in contract order and type, schema version and completeness."""
     casts = {"integer": "bigint", "number": "double"}
     return full.select(
         *by,
@@ -181,6 +185,7 @@ def window_features(flows: DataFrame, seconds: int = 60, by: Sequence[str] = SOU
         F.lit(fv.FEATURE_SCHEMA_VERSION).alias("feature_schema_version"),
         F.lit(True).alias("is_complete"),
         F.array().cast("array<string>").alias("missing_fields"),
+        *others,
     )
 
 

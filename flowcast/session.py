@@ -58,6 +58,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+class Staging:
+    """Tables of one step in the shared folder, deleted when the step is done.
+
+    ``put`` writes rows once and reads them back: made once, and of a size that Spark knows when it plans the next step.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.tables = spark, f"{shared_folder(spark)}/step-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        remove(self.spark, self.root)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.root}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The same rows from a written table: made once, and of a size that Spark knows when it plans the next step."""
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from flowcast.session import staged
+from flowcast.session import Staging, exists
 
 
 def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -21,25 +22,56 @@ def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _rewrite(merged: DataFrame, path: str, partitions: Sequence[str]) -> None:
+    # Rebalancing keeps one file per small partition and lets adaptive execution split a hot one.
+    writer = merged.hint("rebalance", *partitions)
+    writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def _merged(rows: DataFrame, old: DataFrame, keys: Sequence[str], touched: DataFrame, partitions: Sequence[str]) -> DataFrame:
+    affected = old.join(touched, list(partitions), "left_semi")
+    return affected.join(rows.select(*keys), list(keys), "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
 def upsert_table(rows: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str]) -> None:
     """Replace rows with the same key, insert the others.  A repeat run leaves the same table.
 
     Only the partitions that ``rows`` touches are read and rewritten: the list of touched partitions
     prunes the old table, and dynamic overwrite replaces just these directories when the job commits.
-    The rows are staged, so they are made once, and their true size decides how they are joined.
+    The rows are staged, so they are made once, and their true size decides how they are joined; the
+    staged copies go when the table is written.
     """
     spark = rows.sparkSession
     old = table_or_none(spark, path)
-    merged = rows
-    if old is not None:
-        merged = rows = staged(rows)
-        touched = staged(rows.select(*partitions).distinct())
-        affected = old.join(touched, list(partitions), "left_semi")
-        kept = affected.join(rows.select(*keys), list(keys), "left_anti")
-        merged = kept.unionByName(rows, allowMissingColumns=True)
-    # Rebalancing keeps one file per small partition and lets adaptive execution split a hot one.
-    writer = merged.hint("rebalance", *partitions)
-    writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    if old is None:
+        return _rewrite(rows, path, partitions)
+    with Staging(spark) as stage:
+        fresh = stage.put(rows)
+        touched = stage.put(fresh.select(*partitions).distinct())
+        _rewrite(_merged(fresh, old, keys, touched, partitions), path, partitions)
+
+
+def dated_rows(spark: SparkSession, path: str, schema: StructType, column: str, dates: Iterable) -> DataFrame:
+    """The rows of some dates of a table whose first partition column is ``column``.
+
+    Only these dates' folders are listed and read, so the cost does not grow with the table's history.
+    """
+    folders = [f"{path}/{column}={date}" for date in sorted(set(dates))]
+    there = [folder for folder in folders if exists(spark, folder)]
+    if not there:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*there)
+
+
+def upsert_dates(rows: DataFrame, path: str, keys: Sequence[str], column: str, by: Sequence[str]) -> None:
+    """``upsert_table`` for a table partitioned by a date, then by ``by``: the old rows are found by the dates
+    of the new ones alone, without a look at any other folder.  ``rows`` should be stored."""
+    spark, partitions = rows.sparkSession, [column, *by]
+    dates = [r[0] for r in rows.select(column).distinct().collect()]  # as many as the rows span
+    old = dated_rows(spark, path, rows.schema, column, dates)
+    with Staging(spark) as stage:
+        touched = stage.put(rows.select(*partitions).distinct())
+        _rewrite(_merged(rows, old, keys, touched, partitions), path, partitions)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -11,16 +11,20 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from flowcast import fixed_values as fv
-from flowcast.operators.features import base_features, valid_features, with_momentum
+from flowcast.operators.features import base_features, contract_columns, valid_features, with_momentum
 from flowcast.operators.forecasts import rule_payload
 from flowcast.operators.normalize import parse_flows
+from flowcast.operators.timeline import time_chunk, with_previous
 from flowcast.operators.windows import SOURCE, latest_window, window_start
+from flowcast.session import Staging
 from flowcast.sources.flow_files import SENSOR_SCHEMA, sensor_rows
-from flowcast.sources.tables import table_or_none, upsert_table
+from flowcast.sources.tables import dated_rows, upsert_dates, upsert_table
 
 LOOKBACK = fv.BURST_LOOKBACK + 1
+DAY_BUCKETS = 64  # folders of the index of stored dates
 
 
 def stream_records(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -102,77 +106,107 @@ def stream_live_batches(spark: SparkSession, folder: str, source: str, query: st
     return raw.writeStream.queryName(query).option("checkpointLocation", checkpoint).foreachBatch(sink)
 
 
-def _around(base: DataFrame, touched: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Windows from the fourth one before a source's first touched window to the fourth one after its last.
+def _period(time: str | Column, unit: str) -> Column:
+    """Directory a row is stored in: its ``day`` or ``month``."""
+    return F.to_date(F.date_trunc(unit, F.col(time) if isinstance(time, str) else time))
+
+
+def _days_path(base_path: str) -> str:
+    return f"{base_path}_days"
+
+
+def _bucket(by: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(DAY_BUCKETS)).cast("int")
+
 
-    Non-empty windows count, however far away they are, so late and sparse traffic is exact.
+def near_dates(spark: SparkSession, touched: DataFrame, base_path: str, by: Sequence[str] = SOURCE) -> DataFrame:
+    """The (source, date) folders that hold a touched window, the up to four windows before or the four after it.
+
+    Found in the index of stored dates: one row per source and date with its number of windows.  Dates without
+    windows have no row, so the neighbours of sparse traffic are found however far away they are.
     """
-    bounds = touched.groupBy(*by).agg(F.min("window_start").alias("_low"), F.max("window_start").alias("_high"))
-    near = base.join(bounds, list(by))
-    side = F.when(F.col("window_start") < F.col("_low"), "before").when(F.col("window_start") > F.col("_high"), "after").otherwise("in")
-    distance = F.abs(F.unix_seconds("window_start") - F.unix_seconds(F.when(F.col("window_start") < F.col("_low"), F.col("_low")).otherwise(F.col("_high"))))
-    ranked = near.withColumn("_side", side).withColumn("_distance", distance)
-    outside = Window.partitionBy(*by, "_side").orderBy("_distance")
-    outer = ranked.filter(F.col("_side") != "in").withColumn("_rank", F.row_number().over(outside)).filter(F.col("_rank") <= LOOKBACK)
-    return ranked.filter(F.col("_side") == "in").unionByName(outer.drop("_rank")).drop("_low", "_high", "_distance")
+    hit = touched.select(*by, "window_date").distinct().withColumn("_hit", F.lit(True))
+    buckets = [r[0] for r in hit.select(_bucket(by)).distinct().collect()]  # at most DAY_BUCKETS
+    index = spark.read.parquet(_days_path(base_path)).filter(F.col("_bucket").isin(buckets))
+    index = index.join(hit.select(*by).distinct(), list(by), "left_semi").join(hit, [*by, "window_date"], "left")
+    line = Window.partitionBy(*by).orderBy("window_date")
+    summed = index.withColumn("_until", F.sum("windows").over(line))
+    day = F.struct("_hit", "windows", "_until")
+    beside = summed.withColumns(
+        {"_ahead": F.collect_list(day).over(line.rowsBetween(1, LOOKBACK)), "_behind": F.collect_list(day).over(line.rowsBetween(-LOOKBACK, -1))}
+    )
+    before = F.exists("_ahead", lambda d: d["_hit"] & (d["_until"] - d["windows"] - F.col("_until") < LOOKBACK))
+    after = F.exists("_behind", lambda d: d["_hit"] & (F.col("_until") - F.col("windows") - d["_until"] < LOOKBACK))
+    wanted = F.coalesce(F.col("_hit"), F.lit(False)) | F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+    return beside.filter(wanted).select(*by, "window_date")
 
 
-def _period(time: str, unit: str) -> Column:
-    """Directory a row is stored in: its ``day`` or ``month``."""
-    return F.to_date(F.date_trunc(unit, time))
+def around_touched(spark: SparkSession, touched: DataFrame, near: DataFrame, base_path: str, schema: StructType, by: Sequence[str] = SOURCE) -> DataFrame:
+    """The stored one-window features of the ``near`` dates; ``_touched`` marks the windows that the batch changes."""
+    dates = [r[0] for r in near.select("window_date").distinct().collect()]
+    stored = dated_rows(spark, base_path, schema, "window_date", dates).join(near, [*by, "window_date"], "left_semi")
+    mark = touched.select(*by, "window_start", F.lit(True).alias("_touched"))
+    return stored.join(mark, [*by, "window_start"], "left").withColumn("_touched", F.coalesce("_touched", F.lit(False)))
 
 
 def refresh_features(
-    spark: SparkSession, batch: DataFrame, flows_path: str, base_path: str, features_path: str, seconds: int = 60,
+    stage: Staging, batch: DataFrame, flows_path: str, base_path: str, features_path: str, seconds: int = 60,
     by: Sequence[str] = SOURCE, period: str = "day",
 ) -> DataFrame:
-    """Recompute the windows a batch of flows touches, and the up to four windows after them.
+    """Recompute the windows a stored batch of flows touches, and the up to four windows after each.
 
-    Reads only the flows of touched windows (source and period directories prune the rest) and the
-    stored one-window features around them; returns the stored feature rows from the first touched
-    window of each source on.
+    Work and reading depend on the batch alone: flows, one-window features and features are looked up by the dates
+    of the touched windows and of their neighbours.  Returns the refreshed rows.
     """
-    touched = batch.select(*by, window_start(seconds).alias("window_start")).distinct()
-    days = touched.select(*by, _period("window_start", period).alias("flow_date")).distinct()
-    stored = spark.read.parquet(flows_path).join(days, [*by, "flow_date"], "left_semi")
-    flows = stored.withColumn("_start", window_start(seconds))
-    renamed = touched.withColumnRenamed("window_start", "_start")
-    flows = flows.join(renamed, [*by, "_start"], "left_semi").drop("_start")
-    base = base_features(flows, seconds, by).withColumn("window_date", _period("window_start", period))
-    upsert_table(base, base_path, [*by, "window_start"], [*by, "window_date"])
-    around = _around(table_or_none(spark, base_path), touched, by)
-    full = with_momentum(around, seconds, by).filter(F.col("_side") != "before")
-    kinds = {"integer": "bigint", "number": "double"}
-    refreshed = full.select(
-        *by, "window_start", F.timestamp_seconds(F.unix_seconds("window_start") + seconds).alias("window_end"),
-        *[F.col(n).cast(kinds[kind]).alias(n) for n, kind, _, _ in fv.FEATURE_SPECS],
-        F.lit(fv.FEATURE_SCHEMA_VERSION).alias("feature_schema_version"), "window_date",
-    )
-    upsert_table(refreshed, features_path, [*by, "window_start"], [*by, "window_date"])
-    first = touched.groupBy(*by).agg(F.min("window_start").alias("_low"))
-    stored_features = spark.read.parquet(features_path).join(first, list(by))
-    return stored_features.filter(
-        (F.col("window_date") >= _period("_low", period)) & (F.col("window_start") >= F.col("_low"))
-    ).drop("_low")
+    spark, keys = batch.sparkSession, [*by, "window_start"]
+    touched = batch.select(*by, window_start(seconds).alias("window_start")).distinct().withColumn("window_date", _period("window_start", period))
+    touched = stage.put(touched)
+    # A window may reach into the next date.
+    last = F.timestamp_micros(F.unix_micros("window_start") + seconds * 1_000_000 - 1)
+    dates = touched.select(F.explode(F.array("window_date", _period(last, period)))).distinct().collect()
+    flows = dated_rows(spark, flows_path, batch.schema, "flow_date", [r[0] for r in dates]).withColumn("_start", window_start(seconds))
+    flows = flows.join(touched.select(*by, F.col("window_start").alias("_start")), [*by, "_start"], "left_semi").drop("_start")
+    base = stage.put(base_features(flows, seconds, by).withColumn("window_date", _period("window_start", period)))
+    upsert_dates(base, base_path, keys, "window_date", by)
+
+    hit = touched.select(*by, "window_date").distinct()
+    stored = dated_rows(spark, base_path, base.schema, "window_date", [r[0] for r in hit.select("window_date").distinct().collect()])
+    counts = stored.join(hit, [*by, "window_date"], "left_semi").groupBy(*by, "window_date").agg(F.count(F.lit(1)).alias("windows"))
+    upsert_table(counts.withColumn("_bucket", _bucket(by)), _days_path(base_path), [*by, "window_date"], ["_bucket"])
+
+    near = stage.put(near_dates(spark, touched, base_path, by))
+    around = around_touched(spark, touched, near, base_path, base.schema, by)
+    # A window is refreshed if it or one of the four before it changed.  At the far end of the loaded dates stand four
+    # untouched windows, so no window is taken for the follower of one that it does not follow.
+    around = with_previous(around, by, "window_start", ["_touched"], LOOKBACK, time_chunk(F.col("window_start"), seconds), "_before")
+    changed = F.col("_touched") | F.exists("_before", lambda w: w["_touched"])
+    full = with_momentum(around.withColumn("_changed", changed).drop("_before"), seconds, by).filter("_changed")
+    refreshed = stage.put(contract_columns(full, seconds, by, "window_date"))
+    upsert_dates(refreshed, features_path, keys, "window_date", by)
+    return refreshed
 
 
 def feature_sink(query: str, flows_path: str, base_path: str, features_path: str, scores_path: str | None = None, seconds: int = 60, by: Sequence[str] = SOURCE, period: str = "day") -> Callable[[DataFrame, int], None]:
-    """Sink that stores the flows, refreshes the features and, if wanted, scores each newest refreshed window."""
+    """Sink that stores the flows, refreshes the features and, if wanted, scores each newest refreshed window.
+
+    All tables are partitioned by date first, so a batch finds what it needs without a look at the history.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if batch.isEmpty():
             return
-        rows = batch.withColumns(
-            {"extra": F.to_json("extra"), "flow_date": _period("observed_at", period), "query": F.lit(query), "batch_id": F.lit(batch_id).cast("bigint")}
-        )
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*by, "flow_date", "query", "batch_id").parquet(flows_path)
-        refreshed = refresh_features(spark, batch, flows_path, base_path, features_path, seconds, by, period)
-        if scores_path is not None:
-            newest = latest_window(valid_features(refreshed), by)
-            scores = rule_payload(newest, by).withColumn("window_date", _period("window_start", period))
-            upsert_table(scores, scores_path, [*by, "window_start"], [*by, "window_date"])
+        with Staging(spark) as stage:
+            rows = stage.put(batch.withColumns(
+                {"extra": F.to_json("extra"), "flow_date": _period("observed_at", period), "query": F.lit(query), "batch_id": F.lit(batch_id).cast("bigint")}
+            ))
+            writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("flow_date", *by, "query", "batch_id").parquet(flows_path)
+            refreshed = refresh_features(stage, rows, flows_path, base_path, features_path, seconds, by, period)
+            if scores_path is not None:
+                newest = latest_window(valid_features(refreshed), by)
+                scores = stage.put(rule_payload(newest, by).withColumn("window_date", _period("window_start", period)))
+                upsert_dates(scores, scores_path, [*by, "window_start"], "window_date", by)
 
     return write
 

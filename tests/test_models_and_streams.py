@@ -161,6 +161,44 @@ def test_late_flows_refresh_the_windows_that_look_back(spark, traffic, tmp_path)
     assert spark.read.parquet(root + "/scores").select("traffic_source_id").distinct().count() == 2
 
 
+def test_a_batch_reads_the_dates_it_touches_and_their_neighbours(spark, tmp_path):
+    """Forty days of history; sources with one, two or ten windows a day, one with weeks between its windows."""
+    day, rng = 86_400, np.random.default_rng(5)
+    plan = {"one": [(d, 1) for d in range(40)], "two": [(d, 2) for d in range(40)], "ten": [(d, 10) for d in range(40)], "007": [(d, 1) for d in (0, 1, 9, 20, 21, 39)]}
+    rows = [flow(d * day + 60 * w * 7 + i, source, sport=int(rng.integers(1, 999)), packets=int(rng.integers(1, 9)), flags="SYN") for source, days in plan.items() for d, n in days for w in range(n) for i in range(3)]
+    old = flows(spark, *rows).withColumn("extra", F.create_map().cast("map<string,string>"))
+    new = flows(spark, *[flow(20 * day + 5, s, packets=50, flags="SYN") for s in ("one", "ten", "007")], flow(25 * day + 61, "ten", packets=7)).withColumn("extra", F.create_map().cast("map<string,string>"))
+    root = f"file://{tmp_path}"
+    sink = live.feature_sink("q", root + "/flows", root + "/base", root + "/features", root + "/scores")
+    sink(old, 0)
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.glob("features/**/*.parquet")}
+    sink(new, 1)
+    kept = {f.parts[-3].split("=")[1] for f, t in before.items() if f.exists() and f.stat().st_mtime_ns == t}
+    assert len(kept) == 40 and not [f for f in before if "ten" in str(f) and "=1970-01-21" in str(f) and f.exists()]
+
+    names = ["traffic_source_id", "window_start", *fv.FEATURE_NAMES]
+    key = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    got = sorted(key(r) for r in spark.read.schema("traffic_source_id string").parquet(root + "/features").select("traffic_source_id").distinct().collect())
+    assert [r[0] for r in got] == ["007", "one", "ten", "two"]
+    full = features.window_features(old.unionByName(new))
+    stored = spark.read.schema(full.schema).parquet(root + "/features")
+    assert sorted(key(r) for r in stored.select(*names).collect()) == sorted(key(r) for r in full.select(*names).collect())
+    scored = spark.read.schema("traffic_source_id string, window_start timestamp").parquet(root + "/scores")
+    newest = {r[0]: r[1] for r in scored.groupBy("traffic_source_id").agg(F.max("window_start")).collect()}
+    assert newest == {r[0]: r[1] for r in full.groupBy("traffic_source_id").agg(F.max("window_start")).collect()}
+
+    touched = new.select("traffic_source_id", windows.window_start(60).alias("window_start")).distinct().withColumn("window_date", F.to_date("window_start"))
+    near = live.near_dates(spark, touched, root + "/base")
+    days = {}
+    for r in near.collect():
+        days.setdefault(r.traffic_source_id, []).append((r.window_date - datetime.date(1970, 1, 1)).days)
+    assert {s: sorted(d) for s, d in days.items()} == {"one": list(range(16, 25)), "ten": [19, 20, 21, 24, 25, 26], "007": [0, 1, 9, 20, 21, 39]}
+    schema = features.base_features(new).withColumn("window_date", F.lit(None).cast("date")).schema
+    files = live.around_touched(spark, touched, near, root + "/base", schema).inputFiles()
+    assert {f.split("window_date=")[1][:10] for f in files if "/base/" in f} == {str(datetime.date(1970, 1, 1) + datetime.timedelta(d)) for x in days.values() for d in x}
+    assert not list(tmp_path.glob("step-*"))
+
+
 def test_live_batches_are_all_or_nothing(spark, tmp_path):
     good = {"ts": 1726000000.5, "uid": "C", "id.orig_h": "10.0.0.12", "id.resp_h": "8.8.8.8", "proto": "udp", "orig_pkts": 2, "resp_pkts": 1, "history": "D"}
     bad = {**good, "id.resp_h": "nowhere"}
