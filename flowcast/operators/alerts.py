@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowcast import fixed_values as fv
@@ -92,11 +92,61 @@ def alerts(
 # --- Triage -------------------------------------------------------------------------------
 
 
-def _next_status(current: Column, requested: Column) -> Column:
-    """Requested status if the move is allowed, else the current one."""
-    moves = F.concat_ws(">", current, requested)
-    allowed = [f"{a}>{b}" for a, targets in fv.TRANSITIONS.items() for b in targets]
-    return F.when(moves.isin(*allowed), requested).otherwise(current)
+# A map "from each status, where does it lead" is one number: the digit at a status's place is the status it leads to.
+_DIGIT = (len(fv.STATUSES) - 1).bit_length()
+_ONES = (1 << _DIGIT) - 1
+_STAY = sum(i << (_DIGIT * i) for i in range(len(fv.STATUSES)))
+
+
+def _request_map(requested: Column) -> Column:
+    """What a request does to each status: the requested one where the move is allowed, else the same."""
+    result = F.lit(_STAY)
+    for target, name in enumerate(fv.STATUSES):
+        ends = [target if name in fv.TRANSITIONS.get(status, ()) else i for i, status in enumerate(fv.STATUSES)]
+        result = F.when(requested == name, F.lit(sum(end << (_DIGIT * i) for i, end in enumerate(ends)))).otherwise(result)
+    return result
+
+
+def _applied(code: Column, status: Column) -> Column:
+    return F.call_function("shiftright", code, status * _DIGIT).bitwiseAND(F.lit(_ONES))
+
+
+def _then(first: Column, second: Column) -> Column:
+    """The map of one walk after another."""
+    digits = [F.shiftleft(_applied(second, F.shiftright(first, _DIGIT * i).bitwiseAND(F.lit(_ONES))), _DIGIT * i) for i in range(len(fv.STATUSES))]
+    total = digits[0]
+    for digit in digits[1:]:
+        total = total.bitwiseOR(digit)
+    return total
+
+
+def _walked(rows: DataFrame, order: str, size: int) -> DataFrame:
+    """Add ``_walk``, the composed map from the first row of each (alert, ``_chunk``) group up to and with the row.
+
+    By doubling: after every step a row's map spans twice as many rows.  All steps share one order of the group.
+    """
+    group = Window.partitionBy("alert_id", "_chunk").orderBy(order)
+    walked, span = rows.withColumn("_walk", F.col("_map")), 1
+    while span < size:
+        walked = walked.withColumn("_earlier", F.lag("_walk", span, _STAY).over(group)).withColumn("_walk", _then(F.col("_earlier"), F.col("_walk")))
+        span *= 2
+    return walked.drop("_earlier")
+
+
+def _first_status(maps: DataFrame, start: int, chunk: int, groups: int) -> DataFrame:
+    """(alert_id, place, first) for the maps (alert_id, place, _map) of an alert's groups: the status each starts from.
+
+    ``groups`` bounds the places.  Too many for one chunk are chunked in turn, so no task has all maps of an alert.
+    """
+    chunk = max(chunk, 2)
+    walked = _walked(maps.withColumn("_chunk", F.floor(F.col("place") / chunk).cast("bigint")), "place", chunk)
+    group = Window.partitionBy("alert_id", "_chunk").orderBy("place")
+    before = F.lag("_walk", 1, _STAY).over(group)
+    if groups <= chunk:
+        return walked.withColumn("_before", before).select("alert_id", "place", _applied(F.col("_before"), F.lit(start)).alias("first"))
+    wholes = walked.groupBy("alert_id", F.col("_chunk").alias("place")).agg(F.max_by("_walk", "place").alias("_map"))
+    firsts = _first_status(wholes, start, chunk, -(-groups // chunk)).select("alert_id", F.col("place").alias("_chunk"), F.col("first").alias("_first"))
+    return walked.withColumn("_before", before).join(firsts, ["alert_id", "_chunk"]).select("alert_id", "place", _applied(F.col("_before"), F.col("_first")).alias("first"))
 
 
 def triage_status(requests: DataFrame, start: str = "open", chunk: int = TRIAGE_CHUNK) -> DataFrame:
@@ -105,71 +155,26 @@ def triage_status(requests: DataFrame, start: str = "open", chunk: int = TRIAGE_
     Adds ``from_status``, ``accepted``, ``status`` after the request, and the statuses ``allowed``
     from ``from_status``.
 
-    A replay is a walk through four states, and walks compose: each chunk of requests is first
-    reduced to "from each status, where does it end".  These small maps are chained per alert to
-    find every chunk's first status, and each chunk is then replayed on its own.  So an alert
-    with very many requests never sits in one group.
+    A replay is a walk through four states, and walks compose: a request is a map "from each status, where
+    does it lead", and so is any number of them in a row.  Requests are composed inside chunks, chunks inside
+    chunks of chunks, as many levels as the numbers ask for; then each chunk learns its first status from the
+    level above.  So an alert with very many requests never sits in one group.
     """
-    keyed = requests.withColumn("_chunk", F.floor(F.col("seq") / chunk).cast("bigint"))
-    others = [c for c in requests.columns if c not in ("alert_id",)]
-    listed = keyed.groupBy("alert_id", "_chunk").agg(F.sort_array(F.collect_list(F.struct("seq", *[c for c in others if c != "seq"]))).alias("_rows"))
-
-    def walk(first: Column) -> Column:
-        return F.aggregate("_rows", first, lambda state, r: _next_status(state, r["requested_status"]))
-
-    ends = F.struct(*[walk(F.lit(s)).alias(s) for s in fv.STATUSES])
-    mapped = listed.withColumn("_ends", ends)
-    chain = mapped.groupBy("alert_id").agg(F.sort_array(F.collect_list(F.struct("_chunk", "_ends"))).alias("_maps"))
-
-    def step(state: Column, m: Column) -> Column:
-        result = None
-        for s in fv.STATUSES:
-            hit = state == s
-            result = F.when(hit, m["_ends"][s]) if result is None else result.when(hit, m["_ends"][s])
-        return result
-
-    # Prefix of the chain: the status each chunk starts from.
-    starts = chain.select(
-        "alert_id",
-        F.explode(
-            F.aggregate(
-                "_maps",
-                F.struct(F.lit(start).alias("state"), F.array().cast("array<struct<_chunk:bigint,_first:string>>").alias("seen")),
-                lambda acc, m: F.struct(
-                    step(acc["state"], m).alias("state"),
-                    F.array_append(acc["seen"], F.struct(m["_chunk"].alias("_chunk"), acc["state"].alias("_first"))).alias("seen"),
-                ),
-                lambda acc: acc["seen"],
-            )
-        ).alias("_start"),
-    ).select("alert_id", "_start._chunk", "_start._first")
-    replay_type = "array<struct<seq:bigint,from_status:string,status:string>>"
-    replayed = mapped.join(starts, ["alert_id", "_chunk"]).withColumn(
-        "_steps",
-        F.aggregate(
-            "_rows",
-            F.struct(F.col("_first").alias("state"), F.array().cast(replay_type).alias("steps")),
-            lambda acc, r: F.struct(
-                _next_status(acc["state"], r["requested_status"]).alias("state"),
-                F.array_append(
-                    acc["steps"],
-                    F.struct(
-                        r["seq"].cast("bigint").alias("seq"), acc["state"].alias("from_status"),
-                        _next_status(acc["state"], r["requested_status"]).alias("status"),
-                    ),
-                ).alias("steps"),
-            ),
-            lambda acc: acc["steps"],
-        ),
-    )
-    rows = replayed.select("alert_id", F.explode(F.arrays_zip("_rows", "_steps")).alias("_r"))
-    return rows.select(
-        "alert_id",
-        *[F.col(f"_r._rows.{c}").alias(c) for c in others],
-        F.col("_r._steps.from_status").alias("from_status"),
-        (F.col("_r._steps.from_status") != F.col("_r._steps.status")).alias("accepted"),
-        F.col("_r._steps.status").alias("status"),
-        F.array_join(F.sort_array(lookup_allowed(F.col("_r._steps.from_status"))), ",").alias("allowed"),
+    span = requests.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    low, high = span.low or 0, span.high or 0
+    placed = requests.withColumn("_chunk", F.floor((F.col("seq") - F.lit(low)) / chunk).cast("bigint")).withColumn("_map", _request_map(F.col("requested_status")))
+    walked = _walked(placed, "seq", chunk)
+    wholes = walked.groupBy("alert_id", F.col("_chunk").alias("place")).agg(F.max_by("_walk", "seq").alias("_map"))
+    firsts = _first_status(wholes, fv.STATUSES.index(start), chunk, (high - low) // chunk + 1)
+    group = Window.partitionBy("alert_id", "_chunk").orderBy("seq")
+    before = walked.withColumn("_before", F.lag("_walk", 1, _STAY).over(group))
+    joined = before.join(firsts.select("alert_id", F.col("place").alias("_chunk"), F.col("first").alias("_first")), ["alert_id", "_chunk"])
+    joined = joined.withColumn("_from", _applied(F.col("_before"), F.col("_first")))
+    name = lambda code: F.element_at(F.array(*map(F.lit, fv.STATUSES)), code.cast("int") + 1)
+    named = joined.withColumns({"from_status": name(F.col("_from")), "status": name(_applied(F.col("_map"), F.col("_from")))})
+    return named.select(
+        *requests.columns, "from_status", (F.col("from_status") != F.col("status")).alias("accepted"), "status",
+        F.array_join(F.sort_array(lookup_allowed(F.col("from_status"))), ",").alias("allowed"),
     )
 
 

@@ -108,3 +108,29 @@ def test_peak_takes_the_first_of_equal_steps(spark):
     row = forecasts.forecast_confidence(forecasts.peak_step(spark.range(1).select(steps.alias("risk_timeline")))).first()
     assert (row.peak_risk_window, row.peak_risk_stage, row.peak_risk_level, row.predicted_attack_type) == (2, "Impact", "critical", "DoS")
     assert row.confidence_score == 0.8 and not row.is_uncertain
+
+
+@pytest.mark.parametrize("chunk", [2, 4, 16])
+def test_many_levels_of_chunks_replay_like_a_loop(spark, chunk):
+    """One alert with thousands of requests among small ones; numbers with gaps, also below zero."""
+    rng = random.Random(chunk)
+    names = [*fv.STATUSES, "nonsense"]
+    rows = [("hot", seq, rng.choice(names)) for seq in sorted(rng.sample(range(-500, 9000), 3000))]
+    rows += [(f"a{n}", seq, rng.choice(names)) for n in range(40) for seq in rng.sample(range(50), 3)]
+    df = spark.createDataFrame(rows, "alert_id string, seq long, requested_status string").repartition(3)
+    status, want = {}, {}
+    for alert, seq, asked in sorted(rows):
+        now = status.get(alert, "open")
+        after = asked if asked in fv.TRANSITIONS[now] else now
+        want[(alert, seq)] = (now, now != after, after)
+        status[alert] = after
+    replayed = alerts.triage_status(df, chunk=chunk)
+    assert {(r.alert_id, r.seq): (r.from_status, r.accepted, r.status) for r in replayed.collect()} == want
+    # No array is built, so no row and no group grows with an alert.
+    plan = replayed._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_append" not in plan
+
+
+def test_no_requests(spark):
+    df = spark.createDataFrame([], "alert_id string, seq long, requested_status string")
+    assert alerts.triage_status(df).count() == 0
