@@ -14,6 +14,7 @@ of fixed size; a bit that several prefixes share costs counting, never a count.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -29,11 +30,16 @@ from flowcast.llm.common import Scratch, slices, table
 
 LIMIT, LEAST, KEPT = 2000, 30, 80  # phrases per language, least count, percentage of a phrase that a longer one must hold
 BITS = 1 << 26
-CHUNK = 1_000_000  # bytes of a text, or words, that a task works on at once
-REMEMBERED = 500_000
-_TOKEN = re.compile(rb"[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
+CHUNK = 1_000_000  # bytes of a text that a task works on at once
+PHRASES = 400_000  # words among which phrases are counted at once
+BATCH_ROWS = 1_000  # rows that pass to Python at once
+REMEMBERED = 200_000
+_MARKS = b".,;:!?\n\x0b\x0c\r"
 _GAP = re.compile(rb"[ \t.,;:!?\n-\r]")
-_BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
+_BREAK = b"\n"
+_UPPER, _LOWER = string.ascii_uppercase.encode(), string.ascii_lowercase.encode()
+_MARKED = bytes.maketrans(_MARKS + b"\t" + _UPPER, _BREAK * len(_MARKS) + b" " + _LOWER)
+_SPACED = bytes.maketrans(_MARKS + b"\t" + _UPPER, b" " * len(_MARKS) + b" " + _LOWER)
 _NEXT = 3  # words before a phrase's last one, at most
 # The primes of the 64-bit xxHash, by which Spark hashes columns.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -59,21 +65,26 @@ def _parts(text: bytes) -> Iterator[tuple[bytes, bool]]:
         gap = _GAP.search(text, at + CHUNK)
         end = gap.end() if gap else len(text)
         yield text[at:end], goes_on
-        goes_on = text[end - 1] not in _BREAKS
+        goes_on = text[end - 1] not in _MARKS
         at = end
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
-    """lang and text in UTF-8, A-Z in lower case; nulls are empty."""
+    """lang and text in UTF-8; nulls are empty."""
     for part in slices(batch):
-        yield from zip(part["lang"].to_pylist(), ((x or b"").lower() for x in part["text"].cast(pa.binary()).to_pylist()))
+        yield from zip(part["lang"].to_pylist(), (x or b"" for x in part["text"].cast(pa.binary()).to_pylist()))
+
+
+def _tokens(part: bytes) -> list[bytes]:
+    """Words with A-Z in lower case, and a line break for every mark."""
+    return list(filter(None, part.translate(_MARKED).replace(_BREAK, b" \n ").split(b" ")))
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}
 
     def given() -> pa.RecordBatch:
-        rows = [(lang, word, n) for lang, words in counts.items() for word, n in words.items() if word not in _MARKS]
+        rows = [(lang, word, n) for lang, words in counts.items() for word, n in words.items()]
         counts.clear()
         langs, words, ns = zip(*rows) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())], ["lang", "word", "n"])
@@ -82,16 +93,13 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in _texts(batch):
             mine = counts.setdefault(lang, Counter())
             for part, _ in _parts(text):
-                mine.update(_TOKEN.findall(part))
+                mine.update(part.translate(_SPACED).split())
                 if sum(map(len, counts.values())) > REMEMBERED:
                     yield given()
                     mine = counts.setdefault(lang, Counter())
     yield given()
 
 
-_MARKS = frozenset(bytes([b]) for b in _BREAKS)
-
-
 class _Codes(dict):
     """Code of a word; marks and words that are rare for sure have 0."""
 
@@ -103,7 +111,7 @@ class _Codes(dict):
         if len(self) > REMEMBERED:
             self.clear()
         code = 0
-        if word not in _MARKS:
+        if word != _BREAK:
             code = xxhash.xxh64_intdigest(word, self.seed)
             cell = code & (BITS - 1)
             if not int(self.bits[cell >> 6]) >> (cell & 63) & 1:
@@ -125,7 +133,7 @@ def code_texts(seed: int, bits) -> Callable:
                 for lang, text in _texts(part):
                     tail = np.zeros(0, np.int64)
                     for piece, goes_on in _parts(text):
-                        tokens = _TOKEN.findall(piece)
+                        tokens = _tokens(piece)
                         found = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
                         tail = tail[-_NEXT:] if goes_on else tail[:0]
                         row = np.concatenate([tail, found])
@@ -165,7 +173,7 @@ def count_phrases(size: int, heads=None, tails=None, done=None) -> Callable:
         ends, at = np.cumsum(lengths), 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            end = min(batch.num_rows, max(at + 1, int(np.searchsorted(ends, before + CHUNK, side="right"))))
+            end = min(batch.num_rows, max(at + 1, int(np.searchsorted(ends, before + PHRASES, side="right"))))
             yield batch.slice(at, end - at)
             at = end
 
@@ -252,7 +260,7 @@ class Growth:
 
     def _put(self, df: DataFrame) -> DataFrame:
         self.steps += 1
-        return self.scratch.put(df, f"growth-{self.steps}")
+        return self.scratch.put(df, f"growth-{self.steps}", BATCH_ROWS)
 
     def _bits(self, df: DataFrame, size: int) -> np.ndarray:
         return bit_set(df, F.xxhash64("lang", *[f"w{i + 1}" for i in range(size)]))
@@ -346,7 +354,7 @@ def coded_corpus(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     words = texts.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    words = scratch.put(words, "words")
+    words = scratch.put(words, "words", BATCH_ROWS)
     salt = 0
     while True:
         code = F.xxhash64(F.lit(salt).cast("long"), "word")
@@ -358,10 +366,8 @@ def coded_corpus(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     bits = spark.sparkContext.broadcast(bit_set(words.where(F.col("f") >= LEAST), F.col("code")))
     seed = xxhash.xxh64_intdigest(salt.to_bytes(8, "little"), 42)
     coded = texts.mapInArrow(code_texts(seed, bits), "lang string, lead int, ids array<long>")
-    path = scratch.path("coded")
     # Frequent words repeat a lot: a larger dictionary keeps their codes at a few bits each.
-    coded.write.option("parquet.dictionary.page.size", 4 << 20).parquet(path)
-    return spark.read.parquet(path), words
+    return scratch.put(coded, "coded", BATCH_ROWS, {"parquet.dictionary.page.size": 4 << 20}), words
 
 
 def collocations(docs: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -52,14 +52,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/work/{name}"
 
-    def put(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-        """``batch_rows`` limits what passes to Python at once, for steps whose rows are large."""
+    def put(self, df: DataFrame, name: str, batch_rows: int | None = None, options: dict | None = None) -> DataFrame:
+        """``batch_rows`` limits what passes to Python at once, for steps whose rows are large; ``options`` go to the writer."""
         path, limit = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(limit)
         if batch_rows:
             self.spark.conf.set(limit, batch_rows)
         try:
-            df.write.parquet(path)
+            df.write.options(**(options or {})).parquet(path)
         finally:
             self.spark.conf.set(limit, before)
         return self.spark.read.parquet(path)

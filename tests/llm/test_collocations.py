@@ -77,7 +77,7 @@ def test_texts_in_parts(spark, monkeypatch):
 
     def small(function):  # tasks import the module anew, so the size is set where they run
         def run(batches):
-            collocations.CHUNK = 40
+            collocations.CHUNK = collocations.PHRASES = 40
             return function(batches)
         return run
 
