@@ -20,7 +20,7 @@ from checks.windows import BY, W, feats, labeled, query_window_features, show, s
 from flowcast import fixed_values as fv
 from flowcast.functions import dataset
 from flowcast.operators import labeling, models
-from flowcast.plans import pipeline
+from flowcast.session import cut_lineage
 from flowcast.session import shared_folder
 from flowcast.sources import flow_files, tables
 from flowcast.streaming import live
@@ -177,9 +177,10 @@ def query_leakage(spark, sf):
     return labeling.leakage_check(flows(spark, sf), "2024-01-16 00:00:00", W).groupBy(*BY).agg(F.count(F.lit(1)).alias("windows"))
 
 
-def fitted(spark, sf):
-    """Model and split of one table."""
-    return pipeline.train(flows(spark, sf), W)
+def training(spark, sf):
+    """The labelled and split windows, made once, and the scaling of their training part."""
+    s = cut_lineage(split(spark, sf))
+    return s, models.fit_scaling(s)
 
 
 # Given parameters, so that scores can be compared: scaling (i, 1 + i % 3) and weights of feature i, and a bias per model.
@@ -212,20 +213,48 @@ def query_learned(spark, sf):
     return found.select(*BY, "is_ood", r6(first["risk_score"]).alias("first_risk"), r6(F.col("peak_risk")).alias("peak_risk"), "peak_risk_window", first["stage"].alias("first_stage"))
 
 
+def _zero(value):
+    """Three digits, and no negative zero."""
+    return F.round(value, 3) + F.lit(0.0)
+
+
+def _parameter(place, names=tuple(fv.FEATURE_NAMES)):
+    return F.coalesce(F.get(F.array(*map(F.lit, names)), place.cast("int")), F.lit("bias"))
+
+
+def query_risk_fit(spark, sf):
+    """Optimality of both risk fits -- on one window, and on the ten windows before -- per parameter."""
+    s, scaling = training(spark, sf)
+    out = None
+    for name, rows, history in (("window", s, False), ("history", cut_lineage(labeling.history_sequences(s, W)), True)):
+        found = models.risk_gradients(rows, scaling, models.fit_risk(rows, scaling, history), history)
+        n = len(fv.FEATURE_NAMES)
+        last = n * fv.HISTORY_WINDOWS if history else n
+        lag = F.when(F.col("place") == last, 0).otherwise(fv.HISTORY_WINDOWS - F.floor(F.col("place") / n)) if history else F.lit(0)
+        parameter = F.when(F.col("place") == last, "bias").otherwise(_parameter(F.col("place") % n))
+        part = found.select(F.lit(name).alias("input"), lag.cast("int").alias("lag"), parameter.alias("parameter"), "rows", _zero(F.col("gradient")).alias("gradient"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def query_stage_model(spark, sf):
-    model, s = fitted(spark, sf)
-    samples = labeling.history_sequences(s, W)
-    rolled = models.forecast_rollout(samples, model, steps=1, keys=[*BY, "stage"])
-    first = F.col("risk_timeline")[0]
-    return rolled.groupBy("stage", first["stage"].alias("predicted")).agg(F.count(F.lit(1)).alias("windows"))
+    """Optimality of the stage fit per stage and parameter, with the stage's training windows."""
+    s, scaling = training(spark, sf)
+    found = models.stage_gradients(s, scaling, models.fit_stage(s, scaling))
+    windows = s.filter("split = 'train'").groupBy("stage").agg(F.count(F.lit(1)).alias("windows"))
+    return found.join(windows, "stage").select(F.col("stage").cast("int").alias("stage"), _parameter(F.col("place")).alias("parameter"), "windows", "rows", _zero(F.col("gradient")).alias("gradient"))
 
 
 def query_dynamics(spark, sf):
-    """Coefficients of the dynamics model: one row per feature with its largest driver."""
-    model, _ = fitted(spark, sf)
-    strongest = abs(model.dynamics[:-1]).argmax(axis=0)
-    rows = [(n, fv.FEATURE_NAMES[int(j) % len(fv.FEATURE_NAMES)], float(abs(model.dynamics[j, i]))) for i, (n, j) in enumerate(zip(fv.FEATURE_NAMES, strongest))]
-    return spark.createDataFrame(rows, "feature string, driver string, weight double")
+    """What is left of the dynamics fit's normal equations, per target, input and lag."""
+    s, scaling = training(spark, sf)
+    samples = cut_lineage(labeling.history_sequences(s, W))
+    found = models.dynamics_residuals(samples, scaling, models.fit_dynamics(samples, scaling))
+    n = len(fv.FEATURE_NAMES)
+    bias = F.col("place") == n * fv.HISTORY_WINDOWS
+    return found.select(
+        _parameter(F.col("target")).alias("target"), F.when(bias, "bias").otherwise(_parameter(F.col("place") % n)).alias("input"),
+        F.when(bias, 0).otherwise(fv.HISTORY_WINDOWS - F.floor(F.col("place") / n)).cast("int").alias("lag"), "rows", _zero(F.col("residual")).alias("residual"))
 
 
 def _rolled(spark, sf):
@@ -245,8 +274,10 @@ def query_contributions(spark, sf):
 
 
 def query_comparison(spark, sf):
-    model, s = fitted(spark, sf)
-    return models.model_comparison(s, model, seconds=W)
+    """The given model's two scorers on the held-out windows."""
+    found = models.model_comparison(training(spark, sf)[0], given_model(), seconds=W)
+    measures = ("precision", "recall", "f1", "false_positive_rate", "roc_auc", "pr_auc", "calibrated_threshold")
+    return found.select("model", "tn", "fp", "fn", "tp", "support", "positive_support", *[r6(F.col(c)).alias(c) for c in measures], "episodes", "warned_episodes", "max_lead_time_sec", "caveat")
 
 
 def query_registry(spark, sf):
@@ -343,6 +374,7 @@ QUERIES = {
     "upsert_tables": query_upsert,
     "leakage_check": query_leakage,
     "risk_model": query_risk_model,
+    "risk_fit": query_risk_fit,
     "learned_forecasts": query_learned,
     "stage_model": query_stage_model,
     "dynamics_model": query_dynamics,
@@ -360,8 +392,8 @@ QUERIES = {
 
 
 def _sql() -> dict[str, str]:
-    from checks.scores import scores_cte
-    from checks.windows import SQL as W_SQL, feats_sql
+    from checks.scores import LEADS, THRESHOLD, scores_cte, zero
+    from checks.windows import SQL as W_SQL, feats_sql, split_sql
 
     z = [f"(CAST({n} AS DOUBLE) - {m}) / {s}" for n, m, s in zip(fv.FEATURE_NAMES, _MEAN, _STD)]
     dot = lambda weights: " + ".join(f"({v}) * ({w!r})" for v, w in zip(z, weights))
@@ -380,6 +412,27 @@ def _sql() -> dict[str, str]:
     eligible = "i >= 10 AND target IS NOT NULL"
 
     newest = feats_sql() + scores_cte() + " SELECT traffic_source_id, ws AS window_start, risk_score / 100.0 AS peak_risk, predicted_attack_type FROM fc QUALIFY ws = max(ws) OVER (PARTITION BY traffic_source_id)"
+    names = "[" + ", ".join(f"'{n}'" for n in fv.FEATURE_NAMES) + "]"
+    fit = split_sql() + f""", train AS (SELECT * FROM sp WHERE split = 'train'), f AS (SELECT unnest({names}) AS f), lags AS (SELECT unnest(range(1, {fv.HISTORY_WINDOWS} + 1)) AS lag),
+      inputs AS (SELECT f AS parameter, CAST(lag AS INTEGER) AS lag FROM f, lags UNION ALL SELECT 'bias', 0), own AS (SELECT f AS parameter FROM f UNION ALL SELECT 'bias'),
+      k AS (SELECT count(*) AS rows, count(*) FILTER (WHERE row_index >= {fv.HISTORY_WINDOWS}) AS samples FROM train)"""
+    half = LEADS.replace(f">= {THRESHOLD}", ">= 0.5")
+    both = split_sql() + f""", z AS (SELECT *, lag(r) OVER (PARTITION BY traffic_source_id ORDER BY ws) AS r0 FROM (SELECT traffic_source_id, ws, risk, split, row_index AS pos, {dot(_RISK)} AS r FROM sp)),
+      held AS (SELECT * FROM z WHERE split = 'test' AND pos >= {fv.HISTORY_WINDOWS}),
+      two AS (SELECT 'same_window' AS model, traffic_source_id AS src, ws, risk AS y, {sigmoid('r - 0.2')} AS s FROM held UNION ALL SELECT 'next_window', traffic_source_id, ws, risk, {sigmoid('0.9 * r0 - 0.2')} FROM held),
+      sco AS (SELECT model, src || '/' || model AS traffic_source_id, ws, y, s, row_number() OVER (PARTITION BY model, src ORDER BY ws) - 1 AS row_index FROM two)"""
+    compared = both + half + f""", c AS (SELECT model, count(*) FILTER (y = 0 AND s < 0.5) AS tn, count(*) FILTER (y = 0 AND s >= 0.5) AS fp, count(*) FILTER (y = 1 AND s < 0.5) AS fn, count(*) FILTER (y = 1 AND s >= 0.5) AS tp FROM sco GROUP BY 1),
+      d AS (SELECT model, s, count(*) FILTER (y = 0) AS n, count(*) FILTER (y = 1) AS p FROM sco GROUP BY 1, 2),
+      up AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY model ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n + p) OVER w AS alln, sum(p) OVER w AS hits FROM d WINDOW w AS (PARTITION BY model ORDER BY s DESC)),
+      area AS (SELECT model, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) AS roc, sum(p * hits / alln) / sum(p) AS pr FROM up GROUP BY 1),
+      cand AS (SELECT DISTINCT model, s AS t FROM sco UNION SELECT DISTINCT model, 0.0 FROM sco UNION SELECT DISTINCT model, 1.0 FROM sco),
+      tried AS (SELECT c.model, t, avg(CASE WHEN s >= t THEN 1.0 ELSE 0.0 END) FILTER (y = 0) AS fpr, avg(CASE WHEN s >= t THEN 1.0 ELSE 0.0 END) FILTER (y = 1) AS rec FROM cand c JOIN sco USING (model) GROUP BY ALL),
+      cal AS (SELECT model, round_even(CAST(arg_max(t, (rec, t)) AS DOUBLE), 4) AS threshold FROM tried WHERE fpr <= 0.05 GROUP BY 1),
+      led AS (SELECT string_split(traffic_source_id, '/')[-1] AS model, count(*) AS episodes, count(lead_time_sec) AS warned_episodes, max(lead_time_sec) AS max_lead_time_sec FROM leads GROUP BY 1)
+      SELECT c.*, tn + fp + fn + tp AS support, fn + tp AS positive_support, {q6('round_even(' + zero('tp', '(tp + fp)') + ', 4)')} AS precision, {q6('round_even(' + zero('tp', '(tp + fn)') + ', 4)')} AS recall,
+      {q6('round_even(' + zero('2 * tp', '(2 * tp + fp + fn)') + ', 4)')} AS f1, {q6('round_even(' + zero('fp', '(fp + tn)') + ', 4)')} AS false_positive_rate, {q6('roc')} AS roc_auc, {q6('pr')} AS pr_auc,
+      {q6('threshold')} AS calibrated_threshold, episodes, warned_episodes, max_lead_time_sec, CASE WHEN fn + tp IN (0, tn + fp + fn + tp) THEN 'the held-out windows hold a single class' END AS caveat
+      FROM c JOIN area USING (model) JOIN cal USING (model) JOIN led USING (model)"""
     days = "days AS (SELECT DISTINCT epoch_us(date_trunc('day', ts)) // 1000000 AS d FROM events)"
     return {
         "read_flow_csv": PARSED_CTE + " SELECT CAST(CASE WHEN problems = '' THEN 0 ELSE len(string_split(problems, ',')) END AS INTEGER) AS problems, count(*) AS rows, CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(byte_count) AS BIGINT) AS bytes FROM judged GROUP BY 1",
@@ -394,6 +447,10 @@ def _sql() -> dict[str, str]:
         "read_label_timeline": f"WITH {days} SELECT * FROM (SELECT 'PortScan' AS label, count(*) AS rows, min(d) + 10800 AS first, max(d) + 18000 AS last FROM days UNION ALL SELECT 'SSH_Patator', count(*), min(d) + 14400, max(d) + 21600 FROM days UNION ALL SELECT 'DDoS_LOIC', count(*), min(d) + 14400, max(d) + 93600 FROM days)",
         "write_labeled_flows": f"WITH {flows_sql()} SELECT label, count(*) AS rows FROM flows GROUP BY label",
         "risk_model": base + f" SELECT traffic_source_id, ws AS window_start, {q6(sigmoid('r - 0.2'))} AS y_score FROM lin",
+        "risk_fit": fit + " SELECT 'window' AS input, 0 AS lag, parameter, rows, CAST(0 AS DOUBLE) AS gradient FROM own, k UNION ALL SELECT 'history', lag, parameter, samples, CAST(0 AS DOUBLE) FROM inputs, k",
+        "stage_model": fit + ", st AS (SELECT CAST(stage AS INTEGER) AS stage, count(*) AS windows FROM train GROUP BY 1) SELECT stage, parameter, windows, rows, CAST(0 AS DOUBLE) AS gradient FROM st, own, k",
+        "dynamics_model": fit + " SELECT f AS target, parameter AS input, lag, samples AS rows, CAST(0 AS DOUBLE) AS residual FROM f, inputs, k",
+        "model_comparison": compared,
         "model_registry": base + f", k AS (SELECT traffic_source_id, count(*) FILTER (WHERE {sigmoid('r - 0.2')} >= 0.5) AS n FROM lin GROUP BY 1) SELECT '{fv.LEARNED_MODEL_NAME}' AS name, '{given_model().version}' AS version, '{fv.FEATURE_SCHEMA_VERSION}' AS feature_schema_version, string_agg(traffic_source_id || ':' || n, ',' ORDER BY traffic_source_id) AS metrics, true AS inserted_once FROM k",
         "learned_forecasts": base + f" SELECT traffic_source_id, far >= {fv.OOD_MIN_FEATURES} AS is_ood, {q6(sigmoid('0.9 * r - 0.2'))} AS first_risk, {q6('CASE WHEN r < 0 THEN ' + sigmoid('pow(0.9, 5) * r - 0.2') + ' ELSE ' + sigmoid('0.9 * r - 0.2') + ' END')} AS peak_risk, CAST(CASE WHEN r < 0 THEN 5 ELSE 1 END AS INTEGER) AS peak_risk_window, {stage.replace('step', '1')} AS first_stage FROM lin WHERE i = n AND n >= 10",
         "forecast_rollout": ahead + f", {step} SELECT traffic_source_id, target AS window_start, CAST(step AS INTEGER) AS step, {q6(sigmoid('pow(0.9, step) * r - 0.2'))} AS risk_score, {stage} AS stage, round({best} / ({' + '.join(chances)}), 3) + 0.0 AS stage_confidence FROM prev, steps WHERE {eligible}",

@@ -26,6 +26,7 @@ from flowcast.operators.labeling import history_sequences, latest_history, scali
 from flowcast.operators.windows import SOURCE
 
 N = len(fv.FEATURE_NAMES)
+STAGE_PENALTY = 1e-4
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,7 @@ def fit_stage(split: DataFrame, scaling: Scaling) -> LinearScore:
     train = _training_vectors(split, scaling, False)
     data = train.select(F.col("stage").cast("double").alias("label"), "features")
     seen = [int(r.label) for r in data.select("label").distinct().collect()]  # at most six stages
-    fitted = LogisticRegression(family="multinomial", regParam=1e-4, standardization=False, maxIter=100).fit(data)
+    fitted = LogisticRegression(family="multinomial", regParam=STAGE_PENALTY, standardization=False, maxIter=500, tol=1e-10).fit(data)
     classes = len(fv.STAGES)
     weights, bias = np.zeros((classes, N)), np.full(classes, -1e9)
     matrix, intercept = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
@@ -90,6 +91,91 @@ def fit_stage(split: DataFrame, scaling: Scaling) -> LinearScore:
     return LinearScore(weights, bias)
 
 
+# --- Certificates: what a fit must satisfy, one row per parameter, computed from the data once more --------------------
+
+
+def _dot(x: Column, weights: Sequence[float]) -> Column:
+    products = F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b)
+    return F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
+
+
+def _gradients(rows: DataFrame, errors: Sequence[Column], penalties: np.ndarray) -> DataFrame:
+    """(place, rows, gradient) of a penalised log-loss: the weighted mean of error times input, plus the penalty's part.
+
+    ``rows`` hold ``x`` (inputs and a last 1 for the bias) and ``weight``; places go through the parameters of one
+    class after the other.  Sums are combined on the cluster to one vector.
+    """
+    def pulled(error: Column) -> Column:
+        return F.transform("x", lambda v: v * error * F.col("weight"))
+
+    part = F.flatten(F.array(*map(pulled, errors)))
+    sums = rows.select(array_to_vector(part).alias("g"), "weight").agg(
+        Summarizer.sum(F.col("g")).alias("g"), F.sum("weight").alias("weights"), F.count(F.lit(1)).alias("rows")
+    )
+    placed = sums.select("weights", "rows", F.posexplode(vector_to_array("g")).alias("place", "g"))
+    own = F.get(F.array(*[F.lit(float(v)) for v in penalties.ravel()]), F.col("place"))
+    return placed.select("place", "rows", (F.col("g") / F.col("weights") + own).alias("gradient"))
+
+
+def _with_bias(weights: np.ndarray, penalty: float) -> np.ndarray:
+    """The penalty's gradient; the bias has none."""
+    return np.hstack([weights * penalty, np.zeros((len(weights), 1))])
+
+
+def risk_gradients(rows: DataFrame, scaling: Scaling, score: LinearScore, history: bool = False) -> DataFrame:
+    """Gradient of the balanced risk fit on the training rows, per parameter: zero at the optimum."""
+    train = _training_vectors(rows, scaling, history)
+    counts = train.agg(F.count(F.lit(1)).alias("n"), F.sum("risk").alias("p")).first()
+    weight = F.when(F.col("risk") == 1, counts.n / (2.0 * counts.p)).otherwise(counts.n / (2.0 * (counts.n - counts.p)))
+    x = vector_to_array("features")
+    chance = 1.0 / (1.0 + F.exp(-(_dot(x, score.weights[0]) + float(score.bias[0]))))
+    data = train.select(F.concat(x, F.array(F.lit(1.0))).alias("x"), weight.alias("weight"), (chance - F.col("risk")).alias("error"))
+    return _gradients(data, [F.col("error")], _with_bias(score.weights, 1.0 / counts.n))
+
+
+def stage_gradients(split: DataFrame, scaling: Scaling, score: LinearScore) -> DataFrame:
+    """Gradient of the stage fit on the training rows, per stage and parameter: zero at the optimum of every seen stage."""
+    train = _training_vectors(split, scaling, False)
+    x = vector_to_array("features")
+    seen = [k for k, bias in enumerate(score.bias) if bias > -1e8]
+    logits = F.array(*[_dot(x, score.weights[k]) + float(score.bias[k]) for k in seen])
+    data = train.select(x.alias("x"), "stage", logits.alias("z")).withColumn("top", F.array_max("z"))
+    data = data.withColumn("z", F.transform("z", lambda v: F.exp(v - F.col("top")))).withColumn("total", F.aggregate("z", F.lit(0.0), lambda t, v: t + v))
+    errors = F.array(*[F.get("z", F.lit(i)) / F.col("total") - (F.col("stage") == k).cast("double") for i, k in enumerate(seen)])
+    data = data.select(F.concat("x", F.array(F.lit(1.0))).alias("x"), errors.alias("error"), F.lit(1.0).alias("weight"))
+    found = _gradients(data, [F.get("error", F.lit(i)) for i in range(len(seen))], _with_bias(score.weights[seen], STAGE_PENALTY))
+    stage = F.get(F.array(*[F.lit(k) for k in seen]), F.floor(F.col("place") / (N + 1)).cast("int"))
+    return found.select(stage.alias("stage"), (F.col("place") % (N + 1)).alias("place"), "rows", "gradient")
+
+
+def dynamics_residuals(samples: DataFrame, scaling: Scaling, dynamics: np.ndarray, ridge: float = 1.0) -> DataFrame:
+    """What is left of the normal equations of the ridge fit, per input and target, as a share of the lengths of both: zero at
+    the solution.  Returns place (of the input; the last is the bias), target, rows and residual."""
+    width = N * fv.HISTORY_WINDOWS + 1
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, inputs, targets, rows = np.zeros((width, N)), np.zeros(width), np.zeros(N), 0
+        for batch in batches:
+            x = np.stack(batch["x"].to_numpy())
+            x = np.hstack([x, np.ones((len(x), 1))])
+            y = np.stack(batch["y"].to_numpy())
+            left += x.T @ (y - x @ dynamics)
+            inputs, targets, rows = inputs + (x**2).sum(axis=0), targets + (y**2).sum(axis=0), rows + len(x)
+        yield pd.DataFrame({"place": np.arange(width), "left": list(left), "inputs": inputs, "targets": [targets] * width, "rows": rows})
+
+    data = samples.filter(F.col("split") == "train").select(scaled_history(scaling).alias("x"), scaled_vector(scaling).alias("y"))
+    parts = data.mapInPandas(partial, "place int, left array<double>, inputs double, targets array<double>, rows long")
+    summed = parts.groupBy("place").agg(
+        Summarizer.sum(array_to_vector("left")).alias("left"), F.sum("inputs").alias("inputs"),
+        Summarizer.sum(array_to_vector("targets")).alias("targets"), F.sum("rows").alias("rows"),
+    )
+    penalty = np.vstack([dynamics[:-1] * ridge, np.zeros((1, N))])
+    pulls = data.sparkSession.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(penalty)], "place int, pull array<double>")
+    each = summed.join(pulls, "place").select("place", "inputs", "rows", F.posexplode(F.arrays_zip(vector_to_array("left").alias("left"), vector_to_array("targets").alias("y2"), "pull")).alias("target", "v"))
+    scale = F.sqrt(F.col("inputs") * F.col("v.y2")) + 1e-12
+    return each.select("place", "target", "rows", ((F.col("v.left") - F.col("v.pull")) / scale).alias("residual"))
+
+
 def _training_vectors(split: DataFrame, scaling: Scaling, history: bool) -> DataFrame:
     vector = scaled_history(scaling) if history else scaled_vector(scaling)
     train = split.filter(F.col("split") == "train")
