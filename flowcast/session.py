@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -47,6 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="flowcast-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
     return "file://" + _local[0]
 
 
