@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,29 +13,25 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowcast.session import remove, shared_folder
+
 # Runs of characters that are not ASCII separators; letters of both cases belong to a word.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # The same words once A-Z are lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_local: list[str] = []
-
+_owners: list[list[Scratch]] = []
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), one local folder for the process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="flowcast-llm-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return "file://" + _local[0]
 
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+@contextmanager
+def scratch_removed() -> Iterator[None]:
+    """Whatever scratch tables are made inside are removed at the end, the kept results of operators too."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        for made in _owners.pop():
+            remove(made.spark, made.root)
 
 
 class Scratch:
@@ -48,6 +43,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/llm/{label}-{uuid.uuid4().hex}"
+        if _owners:
+            _owners[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/work/{name}"
@@ -106,13 +103,32 @@ def without_rows(docs: DataFrame, dropped: DataFrame, row: str | None = None) ->
     return docs.join(dropped.select(F.col("row").alias(row)), row, "left_anti").drop(row)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of at most ``rows`` rows whose ``text`` has about ``size`` bytes (or one longer text), so that what
-    is made from a part stays small however long texts are."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+def _cuts(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
-    while at < batch.num_rows:
+    while at < len(texts):
         before = ends[at - 1] if at else 0
         end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
-        yield batch.slice(at, end - at)
+        yield at, end - at
         at = end
+
+
+def slices(batch: pa.RecordBatch, rows: int = 500, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows whose ``text`` has about ``size`` bytes (or one longer text), so that what
+    is made from a part stays small however long texts are."""
+    for at, n in _cuts(batch["text"], rows, size):
+        yield batch.slice(at, n)
+
+
+def parts_of(texts: pa.Array, rows: int = 500, size: int = 1_000_000) -> Iterator[pa.Array]:
+    """The same parts of a column of texts."""
+    for at, n in _cuts(texts, rows, size):
+        yield texts.slice(at, n)
+
+
+def release_memory() -> None:
+    """Give what a finished task no longer uses back to the machine: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there in glibc only
+    if trim:
+        trim(0)

@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowcast.llm.common import slices, table
+from flowcast.llm.common import parts_of, release_memory, table
 from flowcast.llm.labelled import fold, labelled_sample
 
 SAMPLE_ROWS = 4000
@@ -31,7 +31,7 @@ WINDOW, STEP = 9, 3  # longer units are read in overlapping windows
 STEMS = range(4, 9)  # lengths of the substrings that may become landmarks
 LANDMARKS, LOOKALIKES, COVER = 40, 16, 3
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_LEET = str.maketrans("0134579", "oieasth"[:4] + "stg")
+_LEET = str.maketrans("0134579", "oieastg")
 _ENDS = (".", "!", "?")
 
 
@@ -110,8 +110,20 @@ class Reader:
 
     def __init__(self, landmarks: Landmarks, remembered: int = 200_000):
         self.landmarks, self.remembered = landmarks, remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pieces and the value rows they point to go together; row 0 has no values."""
+        none = bytes(4 * len(self.landmarks.units))
         self._known: dict[str, int] = {}
-        self._rows: dict[bytes, int] = {bytes(4 * len(landmarks.units)): 0}
+        self._rows: dict[bytes, int] = {none: 0}
+        self._table = np.frombuffer(none, dtype=np.float32)[None, :]
+
+    def _values(self) -> np.ndarray:
+        """The distinct rows of values, stacked anew only when there are more of them."""
+        if len(self._table) < len(self._rows):
+            self._table = np.frombuffer(b"".join(self._rows), dtype=np.float32).reshape(len(self._rows), -1)
+        return self._table
 
     def _learn(self, pieces: list[str]) -> None:
         units = [unit_of(piece) for piece in pieces]
@@ -126,13 +138,13 @@ class Reader:
         """Per text its sentences with any value, one row of landmark values each."""
         split = [text.split() for text in texts]
         if len(self._known) > self.remembered:
-            self._known.clear()
+            self._forget()
         known = self._known
         self._learn([piece for piece in set().union(*split) if piece not in known])
         codes = [np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)) for pieces in split]
         joined = [self._spelled(pieces, code) for pieces, code in zip(split, codes, strict=True)]
         self._learn(list({unit for runs in joined for _, unit in runs} - known.keys()))
-        table = np.stack([np.frombuffer(row, dtype=np.float32) for row in self._rows])
+        table = self._values()
         out = []
         for code, runs in zip(codes, joined, strict=True):
             at = np.flatnonzero(code >> 2)
@@ -297,27 +309,30 @@ def score_texts(texts: list[str | None], model: Model, reader: Reader | None) ->
     return [model.score(model.margin(s)) for s in reader.sentences([text or "" for text in texts])]
 
 
-def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` with one more column: the score in 0..1 of each whole text, the higher the likelier label 1.
-
-    Null, empty and blank texts score like a text without any known unit. Rows that repeat are scored each; every other
-    column passes through untouched, but for one that is already called ``column``, which is replaced. An empty table stays
-    empty.
-    """
-    docs = docs.drop(column)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
+    """The score of each whole text as a column. Only the text goes to Python and only the number comes back."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         reader = Reader(model.landmarks) if model.landmarks else None
         for batch in batches:
-            for part in slices(batch):
-                scores = score_texts(part["text"].to_pylist(), model, reader)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*names, column])
+            scores = [score for part in parts_of(batch) for score in score_texts(part.to_pylist(), model, reader)]
+            yield pa.array(scores, pa.float64())
+        del reader
+        release_memory()
 
-    fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, `{column}` double")
+    return F.arrow_udf(run, "double")(text.cast("string"))
+
+
+def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` with one more column: the score in 0..1 of each whole text, the higher the likelier label 1.
+
+    Null, empty and blank texts score like a text without any known unit. Rows that repeat are scored each; every other
+    column stays as it is and never leaves the JVM, but for one that is already called ``column``, which is replaced. An
+    empty table stays empty.
+    """
+    return docs.drop(column).withColumn(column, score_of(F.col("text"), model, docs.sparkSession))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
