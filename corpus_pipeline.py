@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowcast.llm import jaccard_join, packing, positional_index, stream_dedup, toxicity
-from flowcast.llm.common import Scratch, numbered, table, without_rows
+from flowcast.llm.common import Scratch, numbered, scratch_removed, table, without_rows
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again. What a stage stores besides its rows is removed when it is done."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
-        docs = scratch.put(stage(spark, docs, sf_dir), f"{number}-{name}")
+        with scratch_removed():
+            docs = scratch.put(stage(spark, docs, sf_dir), f"{number}-{name}")
         if number:
             scratch.drop(f"{number - 1}-{STAGES[number - 1][0]}")
     return docs
