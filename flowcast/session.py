@@ -20,6 +20,8 @@ def build_session(app: str = "flowcast", master: str | None = None, **settings:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # A checkpoint's files go with the last reference to it.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Building large column expressions is several times faster without call-site capture.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
@@ -61,14 +63,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def located(spark: SparkSession, path: str):
+    """A path and its file system, as Spark sees them."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target, system = located(spark, path)
+    system.delete(target, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    target, system = located(spark, path)
+    return system.exists(target)
 
 
 class Staging:
@@ -93,8 +101,15 @@ class Staging:
         return self.spark.read.parquet(path)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The same rows from a written table: made once, and of a size that Spark knows when it plans the next step."""
+def staged(df: DataFrame, stage: Staging | None = None) -> DataFrame:
+    """The same rows from a written table: made once, and of a size that Spark knows when it plans the next step.
+
+    ``stage`` owns the table and deletes it; without one it lives as long as the session's process.
+    """
+    if stage is not None:
+        return stage.put(df)
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target, system = located(df.sparkSession, path)
+    system.deleteOnExit(target)
     return df.sparkSession.read.parquet(path)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from flowcast.functions.addresses import decimal_ipv4
 from flowcast.functions.labels import dataset_label, dataset_label_or_null, timeline_label
 from flowcast.functions.rows import epoch_time, iso_time, stripped
 from flowcast.operators.normalize import parse_flows
-from flowcast.session import staged
+from flowcast.session import Staging, located, staged
 
 
 class FlowFileError(ValueError):
@@ -49,16 +50,37 @@ def flow_headers(names: Sequence[str]) -> list[str]:
     return [n if n and n not in canonical[i + 1:] else f"_unused_{i}" for i, n in enumerate(canonical)]
 
 
-def files_by_header(spark: SparkSession, path: str | Sequence[str]) -> list[list[str]]:
-    """The CSV files under ``path``, those with the same header line together.
-
-    Only the first split of a file and its first line count.  The driver receives the file names, as for any read.
+def _header_line(spark: SparkSession, file: str) -> str | None:
+    """The first line of a file that is not blank; NULL if there is none."""
+    jvm = spark._jvm
+    path, system = located(spark, file)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(path)
+    stream = system.open(path)
+    try:
+        text = stream if codec is None else codec.createInputStream(stream)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8"))
+        line = lines.readLine()
+        while line is not None and not line.strip():
+            line = lines.readLine()
+        return line
+    finally:
+        stream.close()
+
+
+def files_by_header(spark: SparkSession, path: str | Sequence[str], at_once: int = 32) -> list[list[str]]:
+    """The CSV files under ``path``, those with the same header line together; files without a line are left out.
+
+    Spark lists the files, as for any read, and each one is opened for its first line only, ``at_once`` at a time.
+    The data is not read.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    headers = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
-    return sorted(row.files for row in groups)
+    jvm = spark._jvm
+    files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString() for f in spark.read.text(path).inputFiles()]
+    groups = defaultdict(list)
+    with ThreadPoolExecutor(at_once) as pool:
+        for file, header in zip(files, pool.map(lambda f: _header_line(spark, f), files)):
+            if header is not None:
+                groups[header].append(file)
+    return sorted(sorted(group) for group in groups.values())
 
 
 def _read_text_columns(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -112,6 +134,10 @@ def rename_dataset_columns(raw: DataFrame) -> DataFrame:
     return raw.toDF(*final)
 
 
+def _time_text(time: Column) -> Column:
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def map_dataset_flows(raw: DataFrame, time: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Wide dataset rows (text columns) -> the twelve labelled flow columns.
 
@@ -139,7 +165,7 @@ def map_dataset_flows(raw: DataFrame, time: Column | None = None, keep: Sequence
     )
     return raw.select(
         *keep,
-        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        _time_text(stamp).alias("timestamp"),
         address("Source IP", "Src IP dec", fv.DATASET_DEFAULT_SRC_IP).alias("src_ip"),
         address("Destination IP", "Dst IP dec", fv.DATASET_DEFAULT_DST_IP).alias("dst_ip"),
         dataset.clipped_port(column("Source Port")).alias("src_port"),
@@ -155,19 +181,19 @@ def map_dataset_flows(raw: DataFrame, time: Column | None = None, keep: Sequence
     )
 
 
-def with_file_order(df: DataFrame, name: str = "row_index", by: Sequence[str] = ("_file",)) -> DataFrame:
+def with_file_order(df: DataFrame, name: str = "row_index", by: Sequence[str] = ("_file",), stage: Staging | None = None) -> DataFrame:
     """Add the 0-based line position inside each file (or, without ``by``, over all files in the order of their names).
 
     Rows of one input split have consecutive numbers in ``_line``.  One row per split is summed up and staged -- its
     first number, and how many rows the splits before it hold -- and gives every row its position; the data itself is
     neither shuffled nor sorted.  Needs the columns ``_file``, ``_block`` and ``_line`` that ``read_in_order`` adds.
-    The rows are staged with them, as a second scan of the files may be split, and so numbered, otherwise.
+    The rows are staged with them (see ``staged``), as a second scan of the files may be split, and so numbered, otherwise.
     """
     # By place: a table cannot hold names that differ in case alone.
-    df = staged(df.toDF(*[f"c{i}" for i in range(len(df.columns))])).toDF(*df.columns)
-    splits = staged(df.groupBy("_file", "_block").agg(F.min("_line").alias("first"), F.count(F.lit(1)).alias("rows")))
+    df = staged(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), stage).toDF(*df.columns)
+    splits = staged(df.groupBy("_file", "_block").agg(F.min("_line").alias("first"), F.count(F.lit(1)).alias("rows")), stage)
     before = Window.partitionBy(*by).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = staged(splits.select("_file", "_block", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("_shift")))
+    shifts = staged(splits.select("_file", "_block", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("_shift")), stage)
     return df.join(shifts, ["_file", "_block"]).withColumn(name, (F.col("_line") + F.col("_shift")).cast("bigint")).drop("_shift", "_block", "_line")
 
 
@@ -182,23 +208,40 @@ def read_in_order(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+_ORDER = ("_file", "_block", "_line")
+
+
 def _renamed(ordered: DataFrame) -> DataFrame:
-    keys = ("_file", "_block", "_line")
-    data = [c for c in ordered.columns if c not in keys]
+    data = [c for c in ordered.columns if c not in _ORDER]
     names = rename_dataset_columns(ordered.select(*[F.col(f"`{c}`") for c in data])).columns
-    return ordered.toDF(*names, *keys)
+    return ordered.toDF(*names, *_ORDER)
+
+
+def _mapped_in_order(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """Labelled flows without times, with the file's own time as text in ``_stamp`` and the keys of the source order.
+
+    Only these few columns of a wide file are staged for its order.
+    """
+    wide = _renamed(read_in_order(spark, files))
+    stamp = F.col("Timestamp") if "Timestamp" in wide.columns else F.lit(None).cast("string")
+    return map_dataset_flows(wide.withColumn("_stamp", stamp), F.lit(None).cast("timestamp"), (*_ORDER, "_stamp"))
+
+
+def _timed(rows: DataFrame, time: Column, keep: Sequence[Column] = ()) -> DataFrame:
+    """Flows in their final columns, with their times filled in."""
+    return rows.withColumn("timestamp", _time_text(time)).select(*fv.LABELED_FLOW_COLUMNS, "unknown_label", *keep)
 
 
 _MINUTE_SECOND = r"^[0-9]{1,2}:[0-9]{2}(\.[0-9]+)?$"
 
 
-def replay_times(df: DataFrame, step_ms: int = 20, by: Sequence[str] = ("_file",)) -> DataFrame:
+def replay_times(df: DataFrame, step_ms: int = 20, by: Sequence[str] = ("_file",), column: str = "Timestamp", stage: Staging | None = None) -> DataFrame:
     """Add ``replay_time``: if every timestamp of a file is only ``mm:ss``, times by row position, else the
-    timestamp as read.  Needs ``row_index`` and ``Timestamp``."""
-    short = F.bool_and(stripped(F.col("Timestamp")).rlike(_MINUTE_SECOND)).alias("_short")
-    files = staged(df.groupBy(*by).agg(short))  # one row per file
+    timestamp as read.  Needs ``row_index`` and the time's text in ``column``."""
+    short = F.bool_and(stripped(F.col(column)).rlike(_MINUTE_SECOND)).alias("_short")
+    files = staged(df.groupBy(*by).agg(short), stage)  # one row per file
     made = replay_timeline(F.col("row_index"), fv.REPLAY_BASE, step_ms)
-    time = F.when(F.col("_short"), made).otherwise(dataset.flexible_time(F.col("Timestamp")))
+    time = F.when(F.col("_short"), made).otherwise(dataset.flexible_time(F.col(column)))
     return df.join(files, list(by)).withColumn("replay_time", time).drop("_short")
 
 
@@ -207,32 +250,41 @@ def replay_timeline(index: Column, base: str, step_ms: int) -> Column:
     return F.timestamp_seconds(F.unix_seconds(F.lit(base).cast("timestamp")) + F.floor(index * step_ms / 1000))
 
 
-def read_cicids_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Wide labelled CSVs (both dataset years and the compact archive form, also mixed) -> labelled flows."""
+def read_cicids_csv(spark: SparkSession, path: str | Sequence[str], stage: Staging | None = None) -> DataFrame:
+    """Wide labelled CSVs (both dataset years and the compact archive form, also mixed) -> labelled flows.
+
+    Every file is scanned once.  What is staged for the order of its rows belongs to ``stage`` (see ``staged``).
+    """
     flows = []
     for files in files_by_header(spark, path) or [path]:
-        df = _renamed(read_in_order(spark, files))
-        if "Timestamp" not in df.columns:
-            flows.append(map_dataset_flows(df.drop("_block", "_line", "_file")))
+        wide = _renamed(read_in_order(spark, files))
+        if "Timestamp" not in wide.columns:
+            flows.append(map_dataset_flows(wide.drop(*_ORDER)))
         else:
-            flows.append(map_dataset_flows(replay_times(with_file_order(df)), F.col("replay_time")))
+            rows = replay_times(with_file_order(_mapped_in_order(spark, files), stage=stage), column="_stamp", stage=stage)
+            flows.append(_timed(rows, F.col("replay_time")))
     return _united(flows)
 
 
-def read_archive_days(spark: SparkSession, folder: str, stride: int = 4, files: Sequence[str] = fv.ARCHIVE_DAYS) -> DataFrame:
+def read_archive_days(
+    spark: SparkSession, folder: str, stride: int = 4, files: Sequence[str] = fv.ARCHIVE_DAYS, stage: Staging | None = None
+) -> DataFrame:
     """Day files -> labelled flows: every ``stride``-th row in source order, day d on its own replay day.
 
-    A day of several part files has one order over all of them.
+    A day of several part files has one order over all of them.  Every file is scanned once, see ``read_cicids_csv``.
     """
     if stride < 1:
         raise ValueError("stride must be at least 1")
     days = []
     for day, name in enumerate(files):
-        ordered = with_file_order(_united([_renamed(read_in_order(spark, own)) for own in files_by_header(spark, f"{folder}/{name}")]), by=())
+        parts = [_mapped_in_order(spark, own) for own in files_by_header(spark, f"{folder}/{name}")]
+        if not parts:
+            raise FlowFileError(f"{name} has no header line")
+        ordered = with_file_order(_united(parts), by=(), stage=stage)
         kept = ordered.filter(F.col("row_index") % stride == 0)
         position = F.floor(F.col("row_index") / stride)
         base = f"2017-07-{3 + day:02d} 00:00:00"
-        days.append(map_dataset_flows(kept, replay_timeline(position, base, 80)).withColumn("day", F.lit(day)))
+        days.append(_timed(kept, replay_timeline(position, base, 80), [F.lit(day).alias("day")]))
     return _united(days)
 
 

@@ -1,5 +1,8 @@
 import datetime
+import gzip
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from flowcast.operators import labeling
 from flowcast.operators.normalize import normalize_flows
 from flowcast.plans import pipeline
+from flowcast.session import Staging, shared_folder
 from flowcast.sources import flow_files, tables
 
 NOW = datetime.datetime(2026, 9, 1)
@@ -48,6 +52,42 @@ def test_flow_csv_header_errors():
         flow_files.flow_headers(["timestamp", "time", "src_ip", "dst_ip", "protocol", "packets", "bytes"])
 
 
+def test_headers_are_found_without_reading_the_data(spark, tmp_path):
+    for i in range(3):
+        csv(tmp_path, "\n  \na,b\n1,2\n" if i else "b,a\n1,2\n", f"f {i}.csv")
+    csv(tmp_path, "", "empty.csv")
+    with gzip.open(tmp_path / "packed.csv.gz", "wt", encoding="utf-8") as out:
+        out.write("a,b\n5,6\n")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        groups = flow_files.files_by_header(spark, str(tmp_path))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [[os.path.basename(f) for f in group] for group in groups] == [["f 0.csv"], ["f 1.csv", "f 2.csv", "packed.csv.gz"]]
+    assert list(jobs) == []
+    assert spark.read.option("header", True).csv(groups[1]).count() == 3
+
+
+def test_ordered_readers_stage_few_columns_and_clean_up(spark, tmp_path):
+    wide = [f"Extra {i}" for i in range(40)]
+    csv(tmp_path, ",".join(["Timestamp", "Source Port", "Label", *wide]) + "\n" + "".join(",".join(["05:00.1", str(i), "BENIGN", *["x"] * 40]) + "\n" for i in range(60)), "day.csv")
+    with Staging(spark) as stage:
+        rows = flow_files.read_cicids_csv(spark, str(tmp_path / "day.csv"), stage)
+        days = flow_files.read_archive_days(spark, str(tmp_path), 4, ["day.csv"], stage)
+        assert sorted((r.src_port, r.timestamp[-3:]) for r in rows.collect()) == [(i, f"{i * 20 // 1000:02d}Z") for i in range(60)]
+        assert sorted(r.src_port for r in days.collect()) == list(range(0, 60, 4))
+        assert rows.columns == days.columns[:-1]
+        stored = [spark.read.parquet(f"{stage.root}/{i + 1}") for i in range(stage.tables)]
+        assert max(len(t.columns) for t in stored) < 20
+        assert all("Scan csv" not in df._jdf.queryExecution().toString() for df in (rows, days))  # the files are read once, by the staging
+    assert not os.path.exists(stage.root.removeprefix("file://"))
+    assert stage.root.startswith(shared_folder(spark))
+    csv(tmp_path, "", "none.csv")
+    with pytest.raises(flow_files.FlowFileError, match="no header line"):
+        flow_files.read_archive_days(spark, str(tmp_path), 4, ["none.csv"])
+
+
 def test_dataset_short_headers_and_defaults(spark, tmp_path):
     text = "Label,TotLen Bwd Pkts,TotLen Fwd Pkts,Tot Bwd Pkts,Tot Fwd Pkts,Flow Duration,Timestamp,Protocol,Dst Port,Src Port,Dst IP,Src IP\n"
     text += "SSH-Bruteforce,77,1200,1,11,2500000,22/11/2019 07:08:09,6,22,61001,203.0.113.9,198.51.100.9\n"
@@ -160,6 +200,43 @@ def test_repeated_load_is_skipped_and_tables_are_rewritten_by_key(spark, tmp_pat
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("p", "k", "v").collect()) == [("x", 1, 1), ("x", 2, 5), ("y", 1, 1), ("z", 9, 5)]
 
 
+def test_loads_and_models_of_several_callers_at_once_are_kept_once(spark, tmp_path):
+    good = "2025-03-04T05:06:07.089Z,198.51.100.30,203.0.113.31,50505,993,TCP,21,6543,87.5,ACK,CLEAN,BENIGN\n"
+    path = csv(tmp_path, HEADER + good + "bad" + good + good.replace("-04T", "-05T"))
+    where = (str(tmp_path / "flows"), str(tmp_path / "loads"), NOW)
+    with ThreadPoolExecutor(4) as pool:
+        loads = list(pool.map(lambda _: tables.load_flows(flow_files.read_raw_flows(spark, path), "a/b", *where), range(4)))
+    assert sorted(load["duplicate"] for load in loads) == [False, True, True, True]
+    assert len({load["load_id"] for load in loads}) == 1 and all(load["total_rows"] == 3 for load in loads)
+    assert sorted(str(r.flow_date) for r in spark.read.parquet(where[0]).collect()) == ["2025-03-04", "2025-03-05"]
+    assert spark.read.parquet(where[1]).count() == 1 and os.listdir(tmp_path / "flows" / "_incoming") == []
+    with ThreadPoolExecutor(4) as pool:
+        new = list(pool.map(lambda i: tables.register_model(spark, str(tmp_path / "models"), "m", "1", "s", str(i), NOW), range(4)))
+    assert sorted(new) == [False, False, False, True] and tables.register_model(spark, str(tmp_path / "models"), "m", "2", "s", "", NOW)
+    assert sorted(r.version for r in spark.read.parquet(str(tmp_path / "models")).collect()) == ["1", "2"]
+
+
+def test_a_load_left_behind_is_taken_over_and_an_empty_one_is_recorded(spark, tmp_path):
+    good = "2025-03-04T05:06:07.089Z,198.51.100.30,203.0.113.31,50505,993,TCP,21,6543,87.5,ACK,CLEAN,BENIGN\n"
+    raw = flow_files.read_raw_flows(spark, csv(tmp_path, HEADER + good))
+    where = (str(tmp_path / "flows"), str(tmp_path / "loads"), NOW)
+
+    def fails():
+        raise RuntimeError("no room")
+
+    load_id = tables.load_flows(raw, "a", str(tmp_path / "f"), str(tmp_path / "l"), NOW)["load_id"]
+    for _ in range(2):  # a failure gives its claim back
+        with pytest.raises(RuntimeError):
+            tables.put_once(spark, where[1], load_id, fails)
+    claims = tmp_path / "loads" / "_claims" / next((tmp_path / "loads" / "_claims").iterdir()).name
+    (claims / "0").touch()  # a maker that died after it moved a part of the rows
+    (tmp_path / "flows" / "traffic_source_id=a" / f"load_id={load_id}" / "flow_date=2025-03-04").mkdir(parents=True)
+    load = tables.load_flows(raw, "a", *where, lease=0.1)
+    assert not load["duplicate"] and load["load_id"] == load_id and spark.read.parquet(where[0]).count() == 1
+    none = [tables.load_flows(raw.limit(0), "a", *where) for _ in range(2)]
+    assert [(n["duplicate"], n["total_rows"]) for n in none] == [(False, 0), (True, 0)]
+
+
 def test_written_labelled_flows_come_back(spark, tmp_path):
     good = "2025-03-04T05:06:07.089Z,198.51.100.30,203.0.113.31,50505,993,TCP,21,6543,87.5,\"SYN,ACK\",CLEAN,BENIGN\n"
     parsed = flow_files.read_flow_csv(spark, csv(tmp_path, HEADER + good)).withColumn("label", F.col("extra")["label"])
