@@ -20,8 +20,7 @@ from checks.windows import BY, W, feats, labeled, query_window_features, show, s
 from flowcast import fixed_values as fv
 from flowcast.functions import dataset
 from flowcast.operators import labeling, models
-from flowcast.session import cut_lineage
-from flowcast.session import shared_folder
+from flowcast.session import cut_lineage, shared_folder
 from flowcast.sources import flow_files, tables
 from flowcast.streaming import live
 
@@ -51,25 +50,42 @@ def query_replay_timeline(spark, sf):
     return events(spark, sf).select("event_id", F.unix_seconds(made).alias("seconds"))
 
 
-def _written_csv(spark, sf) -> str:
-    path = folder_for(spark) + "/upload"
-    upload(spark, sf).drop("event_id").write.option("header", True).option("escape", '"').csv(path)
-    return path
+def _written_csv(spark, sf) -> list[str]:
+    """The upload in two folders: odd events under other names of the columns, in another order."""
+    root, rows = folder_for(spark), upload(spark, sf)
+    other = {"timestamp": "Time", "src_ip": "Source IP", "dst_ip": "Destination IP", "packets": "packet_count", "bytes": "byte_count"}
+    halves = [rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1").withColumnsRenamed(other)]
+    halves[1] = halves[1].select(*reversed(halves[1].columns))
+    for i, half in enumerate(halves):
+        half.write.option("header", True).option("escape", '"').csv(f"{root}/upload-{i}")
+    return [f"{root}/upload-{i}" for i in range(2)]
+
+
+PARSED_SHOWN = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet_count", "byte_count", "duration_ms", "tcp_flags", "failed_connection")
 
 
 def query_read_flow_csv(spark, sf):
+    """Every row by event: its values, or the columns at fault."""
     parsed = flow_files.read_flow_csv(spark, _written_csv(spark, sf), "upload")
-    return parsed.groupBy(F.size("problems").alias("problems")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("packet_count").alias("packets"), F.sum("byte_count").alias("bytes")
-    )
+    good = F.size("problems") == 0
+    shown = {"observed_us": F.unix_micros("observed_at"), **{c: F.col(c) for c in PARSED_SHOWN}, "label": F.try_element_at("extra", F.lit("label"))}
+    return parsed.select(
+        F.try_element_at("extra", F.lit("event_id")).cast("bigint").alias("event_id"), F.array_join("problems", ",").alias("problems"),
+        "traffic_source_id", *[F.when(good, c).alias(n) for n, c in shown.items()])
 
 
-def _written_dataset(spark, sf, short: bool = False) -> str:
-    """The flows as a wide dataset file with the headers of the first or second dataset year."""
+_PARSED_SQL = {"src_port": "sp", "dst_port": "dp", "label": "nullif(label, '')"}
+READ_SQL = PARSED_CTE + " SELECT event_id, problems, 'upload' AS traffic_source_id, " + ", ".join(
+    f"CASE WHEN problems = '' THEN {_PARSED_SQL.get(c, c)} END AS {c}" for c in ("observed_us", *PARSED_SHOWN, "label")) + " FROM judged"
+
+
+def _wide(spark, sf, short: bool = False):
+    """The flows with the headers of the first dataset year; ``short`` times are ``mm:ss`` only."""
     f = flows(spark, sf)
     stamp = F.date_format("observed_at", "mm:ss.S" if short else "dd/MM/yyyy HH:mm:ss")
     has = lambda flag: (F.find_in_set(F.lit(flag), "tcp_flags") > 0).cast("int")
-    wide = f.select(
+    return f.select(
+        "event_id",
         F.col("src_ip").alias(" Source IP"), F.col("src_port").alias(" Source Port"), F.col("dst_ip").alias(" Destination IP"),
         F.col("dst_port").alias(" Destination Port"), F.when(F.col("protocol") == "UDP", 17).when(F.col("protocol") == "ICMP", 1).otherwise(6).alias(" Protocol"),
         stamp.alias(" Timestamp"), (F.col("duration_ms") * 1000).alias(" Flow Duration"), F.col("packet_count").alias(" Total Fwd Packets"),
@@ -77,30 +93,35 @@ def _written_dataset(spark, sf, short: bool = False) -> str:
         has("SYN").alias(" SYN Flag Count"), has("ACK").alias(" ACK Flag Count"), has("FIN").alias("FIN Flag Count"), has("RST").alias(" RST Flag Count"),
         F.col("label").alias(" Label"),
     )
-    path = folder_for(spark) + "/dataset"
-    wide.write.option("header", True).csv(path)
-    return path
-
-
-DATASET_SHOWN = ["protocol", "flags", "failed_conn_info", "label"]
 
 
 def query_read_cicids(spark, sf):
-    df = flow_files.read_cicids_csv(spark, _written_dataset(spark, sf))
-    return df.groupBy(*DATASET_SHOWN).agg(F.count(F.lit(1)).alias("rows"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.min("timestamp").alias("first"))
+    """Every row of a dataset whose even events lie in files with long headers, odd ones in files with short headers."""
+    root, wide = folder_for(spark), _wide(spark, sf)
+    short = {long: name for name, long in fv.DATASET_ALIASES.items()}
+    odd = wide.filter("event_id % 2 = 1").drop("event_id")
+    odd = odd.toDF(*[short.get(c.strip(), c.strip()) for c in odd.columns])
+    for name, half in (("long", wide.filter("event_id % 2 = 0").drop("event_id")), ("short", odd)):
+        half.write.option("header", True).csv(f"{root}/{name}")
+    return flow_files.read_cicids_csv(spark, [f"{root}/long", f"{root}/short"])
 
 
-DATASET_SQL = f"""WITH {flows_sql()} SELECT protocol, CASE tcp_flags WHEN 'PSH,ACK' THEN 'ACK' ELSE tcp_flags END AS flags,
-  CASE WHEN protocol <> 'TCP' THEN 'NA' WHEN contains(tcp_flags, 'RST') THEN 'RST_ABORT' WHEN tcp_flags = 'SYN' THEN 'SYN_NO_ACK' ELSE 'CLEAN' END AS failed_conn_info, label,
-  count(*) AS rows, CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(byte_count) AS BIGINT) AS bytes, strftime(date_trunc('second', min(ts)), '%Y-%m-%dT%H:%M:%SZ') AS first FROM flows GROUP BY 1, 2, 3, 4"""
+_DATASET_COLUMNS = """src_ip, dst_ip, src_port, dst_port, protocol, packet_count AS packets, byte_count AS bytes, CAST(duration_ms AS DOUBLE) AS duration_ms,
+  CASE tcp_flags WHEN 'PSH,ACK' THEN 'ACK' ELSE tcp_flags END AS flags,
+  CASE WHEN protocol <> 'TCP' THEN 'NA' WHEN contains(tcp_flags, 'RST') THEN 'RST_ABORT' WHEN tcp_flags = 'SYN' THEN 'SYN_NO_ACK' ELSE 'CLEAN' END AS failed_conn_info, label, false AS unknown_label"""
+DATASET_SQL = f"""WITH {flows_sql()} SELECT strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, {_DATASET_COLUMNS} FROM flows"""
 
 
 def query_archive(spark, sf):
-    """Two archive days: the whole table each, every fourth row kept."""
-    path = _written_dataset(spark, sf, short=True)
-    name = os.path.basename(path)
-    df = flow_files.read_archive_days(spark, os.path.dirname(path), 4, [name, name])
-    return df.groupBy("day").agg(F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    """Two archive days of several files in the order of events: the whole table each, every fourth row kept."""
+    root = folder_for(spark)
+    _wide(spark, sf, short=True).orderBy("event_id").drop("event_id").write.option("header", True).csv(f"{root}/day")
+    return flow_files.read_archive_days(spark, root, 4, ["day", "day"])
+
+
+ARCHIVE_SQL = f"""WITH {flows_sql()}, placed AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM flows), days AS (SELECT unnest([0, 1]) AS day)
+  SELECT CAST(day AS INTEGER) AS day, strftime(make_timestamp((1499040000::BIGINT + day * 86400 + i // 4 * 80 // 1000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, {_DATASET_COLUMNS}
+  FROM placed, days WHERE i % 4 = 0"""
 
 
 def _written_log(spark, sf, files: int = 1) -> str:
@@ -121,14 +142,12 @@ def _record():
 
 
 def query_read_zeek(spark, sf):
-    raw = flow_files.read_zeek_json(spark, _written_log(spark, sf))
-    return raw.groupBy("protocol", "flags", "failed_conn_info").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.col("packets").cast("bigint")).alias("packets"), F.sum(F.col("bytes").cast("bigint")).alias("bytes")
-    )
+    return flow_files.read_zeek_json(spark, _written_log(spark, sf))
 
 
-ZEEK_SQL = f"""WITH {flows_sql()} SELECT protocol, CASE WHEN tcp_flags = 'SYN' THEN 'SYN' ELSE 'SYN,ACK' END AS flags, CASE WHEN failed_connection THEN 'SYN_NO_ACK' ELSE 'CLEAN' END AS failed_conn_info,
-  count(*) AS rows, CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(byte_count) AS BIGINT) AS bytes FROM flows GROUP BY 1, 2, 3"""
+ZEEK_SQL = f"""WITH {flows_sql()} SELECT 'C' || event_id AS uid, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS timestamp, src_ip, dst_ip, CAST(src_port AS VARCHAR) AS src_port, CAST(dst_port AS VARCHAR) AS dst_port,
+  protocol, CAST(packet_count AS VARCHAR) AS packets, CAST(byte_count AS VARCHAR) AS bytes, CAST(CAST(trunc(CAST(duration_ms AS DOUBLE) / 1000 * 1000) AS BIGINT) AS VARCHAR) AS duration_ms,
+  CASE WHEN tcp_flags = 'SYN' THEN 'SYN' ELSE 'SYN,ACK' END AS flags, CASE WHEN failed_connection THEN 'SYN_NO_ACK' ELSE 'CLEAN' END AS failed_conn_info FROM flows"""
 
 
 def query_read_timeline(spark, sf):
@@ -144,7 +163,7 @@ def query_read_timeline(spark, sf):
 def query_write_labeled(spark, sf):
     path = folder_for(spark) + "/labeled"
     flow_files.write_labeled_flows(flow_files.labeled_columns(flows(spark, sf)), path)
-    return spark.read.option("header", True).csv(path).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    return spark.read.option("header", True).csv(path)
 
 
 def query_manifest(spark, sf):
@@ -308,15 +327,16 @@ def query_stream_zeek(spark, sf):
 
 
 def query_stream_live(spark, sf):
-    """One file per day of the log; a day with a record that has no responder is refused whole."""
+    """One file per day of the log and one without any record; a day with a record that has no responder is refused whole."""
     root = folder_for(spark)
     path = folder_for(spark) + "/log"
     day = F.to_date("observed_at")
     broken = (F.dayofmonth("observed_at") % 5 == 2) & (F.col("event_id") % 97 == 3)
     rows = flows(spark, sf).withColumn("dst_ip", F.when(broken, "nowhere").otherwise(F.col("dst_ip"))).withColumn("day", day)
     rows.select("day", F.to_json(_record()).alias("value")).repartition("day").write.partitionBy("day").text(path)
+    rows.limit(1).select(F.lit("no record").alias("value")).write.text(f"{path}/day=none")
     _drain(live.stream_live_batches(spark, path + "/*", "live", "q", root + "/flows", root + "/jobs", root + "/cp"))
-    jobs = spark.read.parquet(root + "/jobs").groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("total_rows").alias("total_rows"), F.sum("accepted_rows").alias("accepted_rows"))
+    jobs = live.live_jobs(spark, root + "/jobs").groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("total_rows").alias("total_rows"), F.sum("accepted_rows").alias("accepted_rows"))
     stored = spark.read.parquet(root + "/flows").agg(F.count(F.lit(1)).alias("stored_rows")).withColumn("status", F.lit("completed"))
     return jobs.join(stored, "status", "left")
 
@@ -435,17 +455,19 @@ def _sql() -> dict[str, str]:
       FROM c JOIN area USING (model) JOIN cal USING (model) JOIN led USING (model)"""
     days = "days AS (SELECT DISTINCT epoch_us(date_trunc('day', ts)) // 1000000 AS d FROM events)"
     return {
-        "read_flow_csv": PARSED_CTE + " SELECT CAST(CASE WHEN problems = '' THEN 0 ELSE len(string_split(problems, ',')) END AS INTEGER) AS problems, count(*) AS rows, CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(byte_count) AS BIGINT) AS bytes FROM judged GROUP BY 1",
+        "read_flow_csv": READ_SQL,
         "load_manifest": PARSED_CTE + ", c AS (SELECT count(*) AS n, count(*) FILTER (problems = '') AS k FROM judged) SELECT n AS total_rows, k AS accepted_rows, n - k AS skipped_rows, 'completed' AS status, true AS second_is_duplicate, false AS shifted_is_duplicate, k AS stored_rows FROM c",
-        "stream_live_batches": f"{EV}, d AS (SELECT date_trunc('day', ts) AS day, count(*) AS n, count(*) FILTER (WHERE day(ts) % 5 = 2 AND event_id % 97 = 3) AS bad FROM events GROUP BY 1) SELECT CASE WHEN bad = 0 THEN 'completed' ELSE 'rejected_invalid_flow' END AS status, count(*) AS files, CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(CASE WHEN bad = 0 THEN n ELSE 0 END) AS BIGINT) AS accepted_rows, CAST(sum(CASE WHEN bad = 0 THEN n END) AS BIGINT) AS stored_rows FROM d GROUP BY 1",
+        "stream_live_batches": f"{EV}, d AS (SELECT date_trunc('day', ts) AS day, count(*) AS n, count(*) FILTER (WHERE day(ts) % 5 = 2 AND event_id % 97 = 3) AS bad FROM events GROUP BY 1 UNION ALL SELECT NULL, 0, 0) SELECT CASE WHEN bad = 0 THEN 'completed' ELSE 'rejected_invalid_flow' END AS status, count(*) AS files, CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(CASE WHEN bad = 0 THEN n ELSE 0 END) AS BIGINT) AS accepted_rows, CAST(sum(CASE WHEN bad = 0 THEN n END) AS BIGINT) AS stored_rows FROM d GROUP BY 1",
         "stream_flow_windows": W_SQL["flow_windows"].replace("// 60 * 60", f"// {W} * {W}") + f" WHERE (ws + {W}) * 1000000 <= (SELECT max(us) FROM flows) - 120000000",
         "parse_flexible_time": f"{EV} SELECT event_id, CASE event_id % 6 WHEN 1 THEN us // 60000000 * 60 WHEN 4 THEN us // 60000000 * 60 WHEN 5 THEN NULL ELSE us // 1000000 END AS seconds FROM ev",
         "replay_timeline": f"{EV} SELECT event_id, 1499040000 + event_id * 20 // 1000 AS seconds FROM ev",
         "read_cicids_csv": DATASET_SQL,
-        "read_archive_days": f"{EV}, n AS (SELECT count(*) AS c, (count(*) + 3) // 4 AS k FROM ev), d AS (SELECT unnest([0, 1]) AS day) SELECT CAST(day AS INTEGER) AS day, k AS rows, strftime(make_timestamp((1499040000::BIGINT + day * 86400) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS first, strftime(make_timestamp((1499040000::BIGINT + day * 86400 + (k - 1) * 80 // 1000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS last FROM n, d",
+        "read_archive_days": ARCHIVE_SQL,
         "read_zeek_json": ZEEK_SQL,
         "read_label_timeline": f"WITH {days} SELECT * FROM (SELECT 'PortScan' AS label, count(*) AS rows, min(d) + 10800 AS first, max(d) + 18000 AS last FROM days UNION ALL SELECT 'SSH_Patator', count(*), min(d) + 14400, max(d) + 21600 FROM days UNION ALL SELECT 'DDoS_LOIC', count(*), min(d) + 14400, max(d) + 93600 FROM days)",
-        "write_labeled_flows": f"WITH {flows_sql()} SELECT label, count(*) AS rows FROM flows GROUP BY label",
+        "write_labeled_flows": f"""WITH {flows_sql()} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS timestamp, src_ip, dst_ip, CAST(src_port AS VARCHAR) AS src_port, CAST(dst_port AS VARCHAR) AS dst_port, protocol,
+          CAST(packet_count AS VARCHAR) AS packets, CAST(byte_count AS VARCHAR) AS bytes, CAST(duration_ms AS VARCHAR) AS duration_ms, tcp_flags AS flags,
+          CASE WHEN failed_connection THEN 'SYN_NO_ACK' WHEN NOT failed_connection THEN 'CLEAN' ELSE 'NA' END AS failed_conn_info, label FROM flows""",
         "risk_model": base + f" SELECT traffic_source_id, ws AS window_start, {q6(sigmoid('r - 0.2'))} AS y_score FROM lin",
         "risk_fit": fit + " SELECT 'window' AS input, 0 AS lag, parameter, rows, CAST(0 AS DOUBLE) AS gradient FROM own, k UNION ALL SELECT 'history', lag, parameter, samples, CAST(0 AS DOUBLE) FROM inputs, k",
         "stage_model": fit + ", st AS (SELECT CAST(stage AS INTEGER) AS stage, count(*) AS windows FROM train GROUP BY 1) SELECT stage, parameter, windows, rows, CAST(0 AS DOUBLE) AS gradient FROM st, own, k",

@@ -11,7 +11,7 @@ from flowcast import fixed_values as fv
 from flowcast.functions.labels import label_severity, label_stage, stage_name
 from flowcast.functions.risk import ratio
 from flowcast.operators.features import window_features
-from flowcast.operators.timeline import time_chunk, with_carry, with_previous, with_row_index
+from flowcast.operators.timeline import explode_range, time_chunk, with_carry, with_previous, with_row_index
 from flowcast.operators.windows import SOURCE, window_start
 
 _DAY_MICROS = 86_400_000_000
@@ -48,7 +48,7 @@ def label_interval_join(flows: DataFrame, timeline: DataFrame, benign_fill: bool
     or, with ``benign_fill``, count as BENIGN.
 
     Intervals are disjoint and matched by hour, so a flow meets the few intervals of its hour.  Spark broadcasts a small
-    timeline by itself, and splits an hour that holds too many flows.
+    timeline by itself, and splits an hour that holds too many flows.  A long interval is cut into hours block by block.
     """
     intervals = effective_intervals(timeline)
     keyed = flows.withColumn("_us", F.unix_micros("observed_at")).withColumn(
@@ -56,9 +56,7 @@ def label_interval_join(flows: DataFrame, timeline: DataFrame, benign_fill: bool
     )
     first = F.floor(F.col("from_us") / _HOUR_MICROS).cast("bigint")
     last = F.floor((F.col("end_us") - 1) / _HOUR_MICROS).cast("bigint")
-    hourly = intervals.select(
-        F.explode(F.sequence(first, last)).alias("_hour"), "from_us", "end_us", F.col("label").alias("_label")
-    )
+    hourly = explode_range(intervals.withColumnRenamed("label", "_label"), first, last, "_hour")
     inside = (keyed["_hour"] == hourly["_hour"]) & (F.col("_us") >= F.col("from_us")) & (F.col("_us") < F.col("end_us"))
     joined = keyed.join(hourly, inside, "left" if benign_fill else "inner")
     label = F.coalesce("_label", F.lit("BENIGN")) if benign_fill else F.col("_label")

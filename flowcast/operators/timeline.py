@@ -123,3 +123,18 @@ def with_row_index(df: DataFrame, by: Sequence[str], order: str, chunk: Column,
     carried = with_carry(df, by, [F.col(order)], chunk, {"sum:_offset": F.count(F.lit(1))}, whole=whole)
     index = F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_position") - 1
     return carried.withColumn(name, index.cast("bigint")).drop("_chunk", "_position", "_offset")
+
+
+def explode_range(df: DataFrame, first: Column, last: Column, name: str, blocks: Sequence[int] = (1_000_000, 1_000)) -> DataFrame:
+    """One row per whole number from ``first`` to ``last`` (none if it is smaller), in ``name``.
+
+    A range is cut into blocks, those into smaller ones, and those into numbers, so no array is longer than a thousand
+    for ranges up to a billion: a span of many years costs no more memory than one of a day.
+    """
+    df = df.withColumns({"_first": first.cast("bigint"), "_last": last.cast("bigint")}).filter("_first <= _last")
+    for size in (*blocks, 1):
+        unit = lambda c: F.floor(F.col(c) / size).cast("bigint")  # noqa: E731, B023 - used in this turn only
+        df = df.withColumn("_unit", F.explode(F.sequence(unit("_first"), unit("_last"))))
+        low = F.col("_unit") * size
+        df = df.withColumns({"_first": F.greatest("_first", low), "_last": F.least("_last", low + (size - 1))})
+    return df.withColumnRenamed("_first", name).drop("_last", "_unit")

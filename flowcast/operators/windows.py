@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowcast import fixed_values as fv
 from flowcast.functions.addresses import is_private_ip
-from flowcast.operators.timeline import time_chunk, with_previous
+from flowcast.operators.timeline import explode_range, time_chunk, with_previous
 
 SOURCE = ("traffic_source_id",)
 _FIVE_TUPLE = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
@@ -79,15 +79,15 @@ def sliding_windows(flows: DataFrame, profile: str = "macro", by: Sequence[str]
 def incomplete_windows(windows: DataFrame, seconds: int = 60, by: Sequence[str] = SOURCE) -> DataFrame:
     """The empty windows between the first and the last one of a source, with the reason.
 
-    Found from the gap before each window, so only missing windows are generated.
+    Found from the gap before each window, so only missing windows are generated, a long gap in blocks.
     """
     chunk = time_chunk(F.col("window_start"), seconds)
     lagged = with_previous(windows.select(*by, "window_start"), by, "window_start", ["window_start"], 1, chunk)
     before = F.unix_seconds(F.col("_previous")[0]["window_start"])
-    gap = F.unix_seconds("window_start") - before
-    missing = lagged.filter((F.size("_previous") == 1) & (gap > seconds)).select(
-        *by, F.explode(F.sequence(before + seconds, F.unix_seconds("window_start") - seconds, F.lit(seconds).cast("bigint"))).alias("s")
+    gaps = lagged.filter(F.size("_previous") == 1).select(
+        *by, before.alias("_before"), (F.floor((F.unix_seconds("window_start") - before) / seconds) - 1).alias("_missing")
     )
+    missing = explode_range(gaps, F.lit(1), F.col("_missing"), "_n").withColumn("s", F.col("_before") + F.col("_n") * seconds)
     return missing.select(
         *by,
         F.timestamp_seconds("s").alias("window_start"),

@@ -73,17 +73,34 @@ def _overwrite_batch(rows: DataFrame, path: str, query: str, batch_id: int) -> N
     writer.partitionBy("query", "batch_id").parquet(path)
 
 
+_LISTED = "path string, modificationTime timestamp, length long, content binary"
+
+
+def stream_files(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
+    """The name of each new log file, also of one without any record.  The files are listed, not read.
+
+    A file of no bytes at all is the exception: Spark's file source passes over it.
+    """
+    reader = spark.readStream.format("binaryFile").schema(_LISTED).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(folder).select(F.col("_metadata.file_path").alias("batch_file"))
+
+
 def live_batch_sink(query: str, flows_path: str, jobs_path: str) -> Callable[[DataFrame, int], None]:
     """Sink that treats each file as one batch: one bad flow rejects it whole, whatever its size.
 
-    Every batch leaves a job row with its counts.  A file without any row never reaches the sink.
+    Every file leaves a job row with its counts, see ``live_jobs``.  ``raw`` holds the records and, with ``is_file``,
+    one row per file.
     """
 
     def write(raw: DataFrame, batch_id: int) -> None:
-        parsed = parse_flows(raw, ["traffic_source_id", "uid", "batch_file"]).persist()
+        files = raw.filter("is_file").select("traffic_source_id", "batch_file")
+        records = raw.filter("NOT is_file").drop("is_file")
+        parsed = parse_flows(records, ["traffic_source_id", "uid", "batch_file"]).persist()
         try:
-            jobs = parsed.groupBy("traffic_source_id", "batch_file").agg(
-                F.count(F.lit(1)).alias("total_rows"), F.count_if(F.size("problems") > 0).alias("bad_rows")
+            counted = parsed.select("traffic_source_id", "batch_file", F.lit(1).alias("row"), (F.size("problems") > 0).cast("int").alias("bad"))
+            listed = files.select("*", F.lit(0).alias("row"), F.lit(0).alias("bad"))
+            jobs = counted.unionByName(listed).groupBy("traffic_source_id", "batch_file").agg(
+                F.sum("row").alias("total_rows"), F.sum("bad").alias("bad_rows")
             )
             accepted = F.col("bad_rows") == 0
             status = F.when(accepted, "completed").otherwise("rejected_invalid_flow")
@@ -101,11 +118,23 @@ def live_batch_sink(query: str, flows_path: str, jobs_path: str) -> Callable[[Da
 
 
 def stream_live_batches(spark: SparkSession, folder: str, source: str, query: str, flows_path: str, jobs_path: str, checkpoint: str) -> DataStreamWriter:
-    raw = stream_records(spark, folder).withColumn("traffic_source_id", F.lit(source))
+    records = stream_records(spark, folder).withColumn("is_file", F.lit(False))
+    files = stream_files(spark, folder).withColumn("is_file", F.lit(True))
+    raw = records.unionByName(files, allowMissingColumns=True).withColumn("traffic_source_id", F.lit(source))
     sink = live_batch_sink(query, flows_path, jobs_path)
     return raw.writeStream.queryName(query).option("checkpointLocation", checkpoint).foreachBatch(sink)
 
 
+def live_jobs(spark: SparkSession, jobs_path: str) -> DataFrame:
+    """One job row per file.  A file's name and its records are listed apart, so they may come in two micro-batches
+    and leave two rows; the one with the records counts."""
+    jobs = spark.read.parquet(jobs_path)
+    keys = ["query", "traffic_source_id", "batch_file"]
+    facts = ["total_rows", "bad_rows", "accepted_rows", "status", "batch_id"]
+    best = jobs.groupBy(*keys).agg(F.max_by(F.struct(*facts), "total_rows").alias("job"))
+    return best.select(*keys, "job.*")
+
+
 def _period(time: str | Column, unit: str) -> Column:
     """Directory a row is stored in: its ``day`` or ``month``."""
     return F.to_date(F.date_trunc(unit, F.col(time) if isinstance(time, str) else time))

@@ -206,10 +206,12 @@ def test_live_batches_are_all_or_nothing(spark, tmp_path):
     folder.mkdir()
     for name, records in (("a", [good] * 3), ("b", [good, bad]), ("c", [good] * 1001)):
         (folder / f"{name}.log").write_text("\n".join(json.dumps(r) for r in records))
+    (folder / "d.log").write_text("\n")
+    (folder / "e.log").write_text("no record\n\n")
     flows_path, jobs_path = str(tmp_path / "flows"), str(tmp_path / "jobs")
     drain(live.stream_live_batches(spark, str(folder), "live", "q", flows_path, jobs_path, str(tmp_path / "cp")))
-    jobs = {r.batch_file[-5]: (r.total_rows, r.accepted_rows, r.status) for r in spark.read.parquet(jobs_path).collect()}
-    assert jobs == {"a": (3, 3, "completed"), "b": (2, 0, "rejected_invalid_flow"), "c": (1001, 1001, "completed")}
+    jobs = {r.batch_file[-5]: (r.total_rows, r.accepted_rows, r.status) for r in live.live_jobs(spark, jobs_path).collect()}
+    assert jobs == {"a": (3, 3, "completed"), "b": (2, 0, "rejected_invalid_flow"), "c": (1001, 1001, "completed"), "d": (0, 0, "completed"), "e": (0, 0, "completed")}
     stored = spark.read.parquet(flows_path).collect()
     assert len(stored) == 1004 and json.loads(stored[0].extra) == {"sensor": "zeek"}
 

@@ -222,3 +222,16 @@ def test_gaps_are_listed(spark):
     df = windows(spark, [("a", 1, 0), ("a", 2, 0), ("a", 5, 0), ("b", 9, 0)], "x int")
     got = win.incomplete_windows(df, 60).collect()
     assert sorted(r.window_start.timestamp() / 60 for r in got) == [3, 4] and got[0].missing_fields == ["no_flows_reject"]
+
+
+def test_long_gaps_and_intervals_are_cut_in_blocks(spark):
+    ranges = spark.createDataFrame([("a", 998, 3005), ("b", -1500, -1498), ("c", 5, 4), ("d", 7, 7), ("e", 999_999, 1_000_001), ("n", None, 3)], "k string, a long, b long")
+    got = timeline.explode_range(ranges, F.col("a"), F.col("b"), "n").groupBy("k").agg(F.sort_array(F.collect_list("n")).alias("n")).collect()
+    assert {r.k: r.n for r in got} == {"a": list(range(998, 3006)), "b": [-1500, -1499, -1498], "d": [7], "e": [999_999, 1_000_000, 1_000_001]}
+    years = 10 * 365 * 1440
+    gap = win.incomplete_windows(windows(spark, [("a", 1, 0), ("a", years, 0)], "x int"), 60).agg(F.count(F.lit(1)), F.min("window_start"), F.max("window_end")).first()
+    assert gap[0] == years - 2 and (gap[1].timestamp(), gap[2].timestamp()) == (120, years * 60)
+    moments = F.timestamp_seconds(F.col("id") * 86400 * 365)
+    flows = spark.range(12).select("id", moments.alias("observed_at"))
+    span = spark.range(1).select(F.timestamp_seconds(F.lit(86400)).alias("start"), F.timestamp_seconds(F.lit(86400 * 3650)).alias("end"), F.lit("Bot").alias("label"), F.lit(1).alias("line_no"))
+    assert sorted(r.id for r in labeling.label_interval_join(flows, span).collect()) == list(range(1, 10))
