@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowcast.operators import alerts, forecasts, labeling, models, windows
-from flowcast.operators.features import window_features
 from flowcast.operators.windows import SOURCE
 from flowcast.operators.normalize import normalize_flows
+from flowcast.session import Staging
 from flowcast.sources import flow_files
 from flowcast.sources.flow_files import read_raw_flows
-from flowcast.sources.tables import load_flows, upsert_table
+from flowcast.sources.tables import load_flows, table_or_none, upsert_dates
+from flowcast.streaming import live
 
 
 def ingest_csv(spark: SparkSession, path: str | Sequence[str], source: str, root: str, loaded_at) -> dict:
@@ -30,13 +31,32 @@ def label_capture(spark: SparkSession, log: str, timeline: str, out: str, benign
     return counts
 
 
-def build_windows(spark: SparkSession, root: str, seconds: int = 60) -> None:
-    """Windows and features of all stored flows, written by (source, day).  A repeat run changes nothing."""
+def build_windows(spark: SparkSession, root: str, seconds: int = 60) -> int:
+    """Windows and features of the loads that were not built yet; returns how many loads that are.
+
+    Only the windows that these loads touch are made anew, from all of their flows, and the features of the up to
+    four windows after each.  Tables are partitioned by date first, so other dates are neither read nor rewritten.
+    A load counts as built once all is written; a build that died is repeated and leaves the same tables.
+    """
+    known, built = table_or_none(spark, f"{root}/loads"), table_or_none(spark, f"{root}/built")
+    if known is None:
+        return 0
+    fresh = known.filter("accepted_rows > 0").select("load_id").distinct()
+    if built is not None:
+        fresh = fresh.join(built.filter(F.col("seconds") == seconds), "load_id", "left_anti")
+    new = [r.load_id for r in fresh.collect()]  # one name per load since the last build
+    if not new:
+        return 0
     flows = spark.read.parquet(f"{root}/flows")
-    keys, parts = [*SOURCE, "window_start"], [*SOURCE, "window_date"]
-    dated = lambda df: df.withColumn("window_date", F.to_date("window_start"))
-    upsert_table(dated(windows.flow_windows(flows, seconds)), f"{root}/windows", keys, parts)
-    upsert_table(dated(window_features(flows, seconds)), f"{root}/features", keys, parts)
+    with Staging(spark) as stage:
+        touched = live.touched_windows(stage, flows.filter(F.col("load_id").isin(new)), seconds)
+        own = live.flows_of_windows(touched, lambda dates: flows.filter(F.col("flow_date").isin(dates)), seconds)
+        made = stage.put(windows.flow_windows(own, seconds).withColumn("window_date", F.to_date("window_start")))
+        upsert_dates(made, f"{root}/windows", [*SOURCE, "window_start"], "window_date", SOURCE)
+        live.refresh_features(stage, touched, own, f"{root}/base", f"{root}/features", seconds)
+    done = spark.createDataFrame([(load_id, seconds) for load_id in new], "load_id string, seconds int")
+    done.coalesce(1).write.mode("append").parquet(f"{root}/built")
+    return len(new)
 
 
 def forecast_and_alert(

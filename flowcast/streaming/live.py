@@ -178,23 +178,33 @@ def around_touched(spark: SparkSession, touched: DataFrame, near: DataFrame, bas
     return stored.join(mark, [*by, "window_start"], "left").withColumn("_touched", F.coalesce("_touched", F.lit(False)))
 
 
+def touched_windows(stage: Staging, batch: DataFrame, seconds: int = 60, by: Sequence[str] = SOURCE, period: str = "day") -> DataFrame:
+    """The windows that a batch of flows touches, with the date they are stored under."""
+    starts = batch.select(*by, window_start(seconds).alias("window_start")).distinct()
+    return stage.put(starts.withColumn("window_date", _period("window_start", period)))
+
+
+def flows_of_windows(
+    touched: DataFrame, stored: Callable[[list], DataFrame], seconds: int = 60, by: Sequence[str] = SOURCE, period: str = "day"
+) -> DataFrame:
+    """All stored flows of the touched windows.  ``stored`` gives the flows of some dates."""
+    # A window may reach into the next date.
+    last = F.timestamp_micros(F.unix_micros("window_start") + seconds * 1_000_000 - 1)
+    dates = touched.select(F.explode(F.array("window_date", _period(last, period)))).distinct().collect()
+    flows = stored([r[0] for r in dates]).withColumn("_start", window_start(seconds))
+    return flows.join(touched.select(*by, F.col("window_start").alias("_start")), [*by, "_start"], "left_semi").drop("_start")
+
+
 def refresh_features(
-    stage: Staging, batch: DataFrame, flows_path: str, base_path: str, features_path: str, seconds: int = 60,
+    stage: Staging, touched: DataFrame, flows: DataFrame, base_path: str, features_path: str, seconds: int = 60,
     by: Sequence[str] = SOURCE, period: str = "day",
 ) -> DataFrame:
-    """Recompute the windows a stored batch of flows touches, and the up to four windows after each.
+    """Recompute the touched windows from all of their flows, and the up to four windows after each.
 
-    Work and reading depend on the batch alone: flows, one-window features and features are looked up by the dates
-    of the touched windows and of their neighbours.  Returns the refreshed rows.
+    Work and reading depend on the touched windows alone: one-window features and features are looked up by their
+    dates and the dates of their neighbours.  Returns the refreshed rows.
     """
-    spark, keys = batch.sparkSession, [*by, "window_start"]
-    touched = batch.select(*by, window_start(seconds).alias("window_start")).distinct().withColumn("window_date", _period("window_start", period))
-    touched = stage.put(touched)
-    # A window may reach into the next date.
-    last = F.timestamp_micros(F.unix_micros("window_start") + seconds * 1_000_000 - 1)
-    dates = touched.select(F.explode(F.array("window_date", _period(last, period)))).distinct().collect()
-    flows = dated_rows(spark, flows_path, batch.schema, "flow_date", [r[0] for r in dates]).withColumn("_start", window_start(seconds))
-    flows = flows.join(touched.select(*by, F.col("window_start").alias("_start")), [*by, "_start"], "left_semi").drop("_start")
+    spark, keys = touched.sparkSession, [*by, "window_start"]
     base = stage.put(base_features(flows, seconds, by).withColumn("window_date", _period("window_start", period)))
     upsert_dates(base, base_path, keys, "window_date", by)
 
@@ -231,7 +241,9 @@ def feature_sink(query: str, flows_path: str, base_path: str, features_path: str
             ))
             writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("flow_date", *by, "query", "batch_id").parquet(flows_path)
-            refreshed = refresh_features(stage, rows, flows_path, base_path, features_path, seconds, by, period)
+            touched = touched_windows(stage, rows, seconds, by, period)
+            flows = flows_of_windows(touched, lambda dates: dated_rows(spark, flows_path, rows.schema, "flow_date", dates), seconds, by, period)
+            refreshed = refresh_features(stage, touched, flows, base_path, features_path, seconds, by, period)
             if scores_path is not None:
                 newest = latest_window(valid_features(refreshed), by)
                 scores = stage.put(rule_payload(newest, by).withColumn("window_date", _period("window_start", period)))

@@ -127,6 +127,30 @@ def test_csv_to_alerts_end_to_end(spark, tmp_path):
     assert predicted.count() == 1 and alert.target_host.startswith("10.0.0.") and alert.status == "open" and alert.recommended_actions
 
 
+def test_a_second_load_rewrites_only_the_dates_it_touches(spark, tmp_path):
+    root, header = str(tmp_path / "store"), "timestamp,src_ip,dst_ip,src_port,dst_port,protocol,packets,bytes,duration_ms,flags\n"
+    line = lambda day, minute, i: f"2025-06-{day:02d}T23:{minute:02d}:05Z,198.51.100.{i},203.0.113.{i % 3},4{i:03d},443,TCP,{i + 1},{100 + i},{i},SYN\n"
+
+    def load(name, *lines):
+        (tmp_path / name).write_text(header + "".join(lines))
+        assert not pipeline.ingest_csv(spark, str(tmp_path / name), "src", root, NOW)["duplicate"]
+        return pipeline.build_windows(spark, root)
+
+    written = lambda: {str(f): f.stat().st_mtime_ns for kind in ("windows", "features", "base") for f in (tmp_path / "store" / kind).rglob("*.parquet")}
+    assert load("one.csv", *[line(day, m, i) for day in (1, 2, 9) for m in range(50, 60) for i in range(3)]) == 1
+    before = written()
+    assert pipeline.build_windows(spark, root) == 0 and written() == before
+    assert load("two.csv", line(2, 52, 7), line(2, 58, 8)) == 1
+    kept = {f for f, when in written().items() if before.get(f) == when}
+    assert {f for f in before if "window_date=2025-06-01" in f} <= kept and all("window_date=2025-06-02" not in f for f in kept)
+    assert {f for f in before if "window_date=2025-06-09" in f and "/features/" not in f} <= kept  # features there look back at a changed window
+    stored = spark.read.parquet(f"{root}/flows")
+    for kind, want in (("features", features.window_features(stored, 60)), ("windows", windows.flow_windows(stored, 60))):
+        got = spark.read.parquet(f"{root}/{kind}").select(want.columns)
+        shown = lambda df: sorted(str(r) for r in df.collect())
+        assert shown(got) == shown(want)
+
+
 def drain(writer):
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
