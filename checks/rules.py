@@ -272,8 +272,8 @@ RISK_SQL = EV + """ SELECT event_id, CASE WHEN s < 20 THEN 'low' WHEN s < 50 THE
 
 # A raw upload: every column draws its text from a list of another length, so all combinations occur.
 UPLOAD = {
-    "src_ip": (["192.168.10.5", "10.0.0.7", "8.8.8.8", "2001:db8::1", "172.16.0.9", "192.168.10.8", "1.1.1.1", "9.9.9.9", "8.8.4.4", "10.1.1.1", "bad"]),
-    "dst_ip": (["172.217.16.206", "10.0.0.50", "192.168.10.50", "8.8.8.8", "fe80::1", "151.101.65.140", "192.168.10.51", "10.0.0.1", "256.0.0.1"]),
+    "src_ip": (["10.44.3.2", "10.0.0.7", "203.0.113.20", "2001:db8::1", "172.16.0.9", "192.168.77.8", "198.51.100.1", "192.0.2.9", "198.51.100.44", "10.1.1.1", "bad"]),
+    "dst_ip": (["203.0.113.206", "10.0.0.50", "192.168.77.50", "192.0.2.8", "fe80::1", "198.51.100.140", "192.168.77.51", "10.0.0.1", "256.0.0.1"]),
     "src_port": (["49152", "51204", "", None, "50000", "1024", "65536", "33000", "40000", "41000", "42000", "43000", "44000"]),
     "dst_port": (["443", "53", "80", "22", None, "8080", "-1", "3389", "445", "21", "25", "110", "143", "993", "995", "587"]),
     "protocol": (["TCP", "17", "udp", "6", "SCTP", "icmp", "tcp"]),

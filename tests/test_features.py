@@ -26,15 +26,15 @@ def test_hand_computed_features(spark):
     assert row.retry_rate == pytest.approx(4 / 8) and row.inbound_outbound_ratio == 0 and row.packet_burst_score == 1.0
 
     mixed = flows(
-        spark, flow(50, src="192.168.10.5", dst="192.168.10.50", packets=10, size=5000, duration=100, flags="SYN,ACK"),
-        flow(51, src="192.168.10.8", dst="192.168.10.50", dport=443, packets=20, size=15000, duration=300, flags="ACK", failed=True),
-        flow(52, src="192.168.10.14", dst="8.8.8.8", dport=None, proto="UDP", packets=2, size=140, duration=20, failed=False),
+        spark, flow(31, src="10.44.0.3", dst="10.44.7.1", packets=12, size=3600, duration=150, flags="SYN,ACK"),
+        flow(37, src="10.44.0.9", dst="10.44.7.1", dport=8443, packets=25, size=10000, duration=420, flags="ACK", failed=True),
+        flow(44, src="10.44.0.3", dst="9.9.9.9", dport=None, proto="UDP", packets=2, size=170, duration=30, failed=False),
     )
     row = features.window_features(mixed).first()
-    assert (row.packet_count, row.byte_count) == (32, 20140) and row.avg_duration_ms == pytest.approx(140)
+    assert (row.packet_count, row.byte_count) == (39, 13770) and row.avg_duration_ms == pytest.approx(200)
     assert row.syn_ack_ratio == pytest.approx(1 / 3) and row.failed_conn_ratio == pytest.approx(1 / 3) and row.short_flow_ratio == pytest.approx(1 / 3)
-    assert row.inbound_outbound_ratio == 1.0 and row.packet_rate_per_sec == pytest.approx(32 / 60) and row.unique_dst_ports == 2
-    sizes = [500, 750, 70]
+    assert row.inbound_outbound_ratio == 1.0 and row.packet_rate_per_sec == pytest.approx(39 / 60) and row.unique_dst_ports == 2
+    sizes = [300, 400, 85]
     mean = sum(sizes) / 3
     assert row.packet_length_std == pytest.approx(math.sqrt(sum((s - mean) ** 2 for s in sizes) / 3))
 

@@ -83,7 +83,7 @@ def test_bad_rows_are_skipped_and_kept_in_quarantine(spark):
 def test_contract_violations(spark):
     columns = list(fv.LABELED_FLOW_COLUMNS)
     good = dict(zip(columns, ("2026-08-28T18:00:00Z", "10.0.0.1", "8.8.8.8", "1", "2", "TCP", "1", "0", "0.5", "SYN,ACK", "CLEAN", "BENIGN")))
-    mutations = [{}, {"dst_port": "65536"}, {"src_port": "-1"}, {"src_ip": "999.1.1.1"}, {"packets": "0"}, {"bytes": "-10"}, {"duration_ms": "-0.5"}, {"protocol": "SCTP"}, {"flags": "INVALID_FLAG"}, {"failed_conn_info": "CORRUPT"}, {"label": "Unknown"}, {"timestamp": "2026-08-28 18:00"}]
+    mutations = [{}, {"dst_port": "70001"}, {"src_port": "-7"}, {"src_ip": "10.0.0.256"}, {"packets": "-3"}, {"bytes": "-1"}, {"duration_ms": "-2.25"}, {"protocol": "GRE"}, {"flags": "SYN+ACK"}, {"failed_conn_info": "HALF_OPEN"}, {"label": "Worm"}, {"timestamp": "28/08/2026 18:00"}]
     rows_ = [tuple({**good, **m}[c] for c in columns) + (i,) for i, m in enumerate(mutations)]
     df = spark.createDataFrame(rows_, columns + ["i"])
     found = {r.i: r.violations for r in normalize.flow_contract_violations(df, ["i"]).collect()}
