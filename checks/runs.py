@@ -124,9 +124,14 @@ ARCHIVE_SQL = f"""WITH {flows_sql()}, placed AS (SELECT *, row_number() OVER (OR
   FROM placed, days WHERE i % 4 = 0"""
 
 
+LOG_ROWS = 500_000  # records of a log file, at most about: a file is one task's work
+
+
 def _written_log(spark, sf, files: int = 1) -> str:
-    path = folder_for(spark) + "/log"
-    flows(spark, sf).select(F.to_json(_record()).alias("value")).repartition(files).write.text(path)
+    """The flows as log files of even size: ``files``, or more where they would hold more than ``LOG_ROWS`` records."""
+    path, rows = folder_for(spark) + "/log", flows(spark, sf)
+    files = max(files, -(-rows.count() // LOG_ROWS))
+    rows.repartition(files, "event_id", "observed_at", "src_ip").select(F.to_json(_record()).alias("value")).write.text(path)
     return path
 
 
