@@ -4,8 +4,10 @@ A line is cut into one segment more than edits are allowed, so of two lines with
 segment of the shorter one unharmed, near its place. Segments are index keys together with the length of their line; the
 longer line probes for each length and segment only with the substrings that position arithmetic leaves. A key that very
 many lines share is refined: as that segment is equal, all edits lie in the rest of the line, which is cut and probed the
-same way. Candidates are verified with an edit distance that keeps a band of diagonals as bits, one word per number of
-edits, and moves it along the line.
+same way. A key carries a mark of its whole line, the parity of how many words it has of each of 31 sorts, which an edit
+can only change in three bits; lines whose marks are further apart do not meet. Of the rest, lines that keep too few of
+many short segments near their place are left out, and what remains is verified with an edit distance that keeps a band of
+diagonals as bits, one word per number of edits, and moves it along the line.
 """
 
 from __future__ import annotations
@@ -42,22 +44,32 @@ def line_key(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
+def mark_of(line: Column) -> Column:
+    """Bit k says whether the number of words (between single blanks) of sort k of 0 to 30 is odd.
+
+    An edit takes away and adds at most three words together: a blank put into a word leaves two for one, a blank lost one
+    for two. So the marks of lines ``edits`` apart differ in at most 3 * ``edits`` bits.
+    """
+    bits = F.array(*[F.lit(1 << k) for k in range(31)])  # bit_count would count the sign of an int as 33 bits
+    return F.aggregate(F.split(line, " "), F.lit(0), lambda mark, word: mark.bitwiseXOR(F.get(bits, F.pmod(F.xxhash64(word), F.lit(31)).cast("int"))))
+
+
 def _keys(rows: DataFrame, kinds: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """(id, text, key, start, size) of substrings of ``text``, for each kind (shorter, i, move): the substring at the place of
-    segment ``i`` of a line that many characters shorter, moved. ``rows``: id, parent, text.
+    """(id, text, mark, key, start, size) of substrings of ``text``, for each kind (shorter, i, move): the substring at the place of
+    segment ``i`` of a line that many characters shorter, moved. ``rows``: id, parent, text, mark.
 
     One row per kind and then one small expression for all keeps the generated code small.
     """
     parts = edits + 1
-    spread = rows.select("id", "parent", "text", F.char_length("text").alias("own")).select(
+    spread = rows.select("id", "parent", "text", "mark", F.char_length("text").alias("own")).select(
         "*", F.explode(F.array(*[F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("i"), F.lit(c).alias("move")) for a, b, c in kinds])).alias("kind"))
-    spread = spread.select("id", "parent", "text", "own", (F.col("own") - F.col("kind.shorter")).alias("length"), F.col("kind.i").alias("i"), F.col("kind.move").alias("move")).where("length >= 1")
+    spread = spread.select("id", "parent", "text", "mark", "own", (F.col("own") - F.col("kind.shorter")).alias("length"), F.col("kind.i").alias("i"), F.col("kind.move").alias("move")).where("length >= 1")
     # The last segments are one longer where the length doesn't divide.
     size, longer = F.floor(F.col("length") / parts).cast("int"), F.col("length") % parts
     start = 1 + F.col("i") * size + F.greatest(F.lit(0), F.col("i") - parts + longer) + F.col("move")
-    spread = spread.select("id", "parent", "text", "own", "length", "i", start.alias("start"), (size + (F.col("i") >= parts - longer).cast("int")).alias("size"))
+    spread = spread.select("id", "parent", "text", "mark", "own", "length", "i", start.alias("start"), (size + (F.col("i") >= parts - longer).cast("int")).alias("size"))
     spread = spread.where("start >= 1 AND start + size - 1 <= own")
-    return spread.select("id", "text", F.xxhash64("parent", "length", "i", F.col("text").substr(F.col("start"), F.col("size"))).alias("key"), "start", "size")
+    return spread.select("id", "text", "mark", F.xxhash64("parent", "length", "i", F.col("text").substr(F.col("start"), F.col("size"))).alias("key"), "start", "size")
 
 
 def index_keys(rows: DataFrame, edits: int) -> DataFrame:
@@ -109,46 +121,56 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when((n == 0) | (m == 0), close).when(close, last.bitwiseAND(F.get(F.array(*[F.lit(1 << d) for d in range(2 * edits + 1)]), m - n + edits)) != 0).otherwise(False)
 
 
-def _candidates(said: DataFrame, edits: int, shortest: int, crowded: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of line ids that share a key, through the refined keys where a key is crowded.
+def keeps_segments(a: Column, b: Column, edits: int, parts: int = 8) -> Column:
+    """Whether b holds, near their place, as many of a's ``parts`` segments as lines at most ``edits`` apart must.
+
+    An edit harms one segment at most and moves those behind it by one character at most.
+    """
+    parts += edits
+    size = F.floor(F.char_length(a) / parts).cast("int")
+
+    def held(i: int) -> Column:
+        start = F.greatest(F.lit(1), size * i + 1 - edits)
+        return F.instr(b.substr(start, size + 2 * edits), a.substr(size * i + 1, size)) > 0
+
+    return reduce(lambda x, y: x + y, [held(i).cast("int") for i in range(parts)]) >= parts - edits
+
+
+def distinct_lines(said: DataFrame, shortest: int) -> DataFrame:
+    """id, parent, text, mark: each different line of ``shortest`` characters up, once. Equal ones meet before the shuffle.
 
     Ids are 64-bit hashes of lines. They only lead to candidates, so lines that share one are still told apart.
     """
-    said = said.where(F.char_length("line") >= shortest)
+    lines = said.where(F.char_length("line") >= shortest).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    return lines.select(F.xxhash64("line").alias("id"), F.lit(0).cast("long").alias("parent"), F.col("line").alias("text"), mark_of(F.col("line")).alias("mark"))
 
-    def named(texts: DataFrame) -> DataFrame:
-        return texts.select(F.xxhash64("line").alias("id"), F.lit(0).cast("long").alias("parent"), F.col("line").alias("text"))
 
-    # Keys of more than ``crowded`` different lines, found without moving any text: first by all occurrences, and only for
-    # what that leaves by different lines.
-    every = index_keys(named(said), edits).select("key", "id")
-    often = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-    often = scratch.put(often.where((F.col("n") > crowded) & (F.col("low") < F.col("high"))).select("key"), "often")
-    hot = every.join(often, "key", "left_semi").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key")
+def _candidates(lines: DataFrame, edits: int, crowded: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of ids of ``lines`` that share a key and have near marks, through the refined keys where a key is crowded."""
+    hot = index_keys(lines, edits).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key")
     hot = scratch.put(hot, "crowded")
-
-    # Distinct lines; equal ones meet before the shuffle.
-    lines = named(said.groupBy("line").agg(F.count(F.lit(1)).alias("n")))
-    met = _met(index_keys(lines, edits), probe_keys(lines, edits), hot)
+    met = _met(index_keys(lines, edits), probe_keys(lines, edits), edits, hot)
     if not hot.isEmpty():
         def rest(rows: DataFrame) -> DataFrame:
             text = F.concat(F.substring("text", F.lit(1), F.col("start") - 1), F.substring(F.col("text"), F.col("start") + F.col("size"), F.char_length("text")))
-            return rows.join(hot, "key", "left_semi").select("id", F.col("key").alias("parent"), text.alias("text"))
+            return rows.join(hot, "key", "left_semi").select("id", F.col("key").alias("parent"), text.alias("text"), "mark")
 
         # A line stands for both sides: its rests are indexed where its own segment is hot, and probe there and elsewhere.
         own = scratch.put(rest(index_keys(lines, edits)), "hot-segments")
         moved = scratch.put(rest(probe_keys(lines, edits)), "hot-substrings")
         fine, seek = index_keys(own, edits), probe_keys(own, edits).unionByName(probe_keys(moved, edits)).unionByName(index_keys(moved, edits))
-        met = met.unionByName(_met(fine, seek))
+        met = met.unionByName(_met(fine, seek, edits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _met(cut: DataFrame, probes: DataFrame, without: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of ids with an index key in common, or of which one probes for an index key of the other."""
-    cut, probes = cut.select("key", F.col("id").alias("a")), probes.select("key", F.col("id").alias("b"))
+def _met(cut: DataFrame, probes: DataFrame, edits: int, without: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of ids with an index key in common, or of which one probes for an index key of the other, and near marks."""
+    cut, probes = cut.select("key", F.col("id").alias("a"), F.col("mark").alias("mark_a")), probes.select("key", F.col("id").alias("b"), F.col("mark").alias("mark_b"))
     if without is not None:
         cut, probes = cut.join(without, "key", "left_anti"), probes.join(without, "key", "left_anti")
-    return probes.unionByName(cut.select("key", F.col("a").alias("b"))).join(cut, "key").where("a <> b").select("a", "b")
+    near = F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b"))) <= 3 * edits
+    every = probes.unionByName(cut.select("key", F.col("a").alias("b"), F.col("mark_a").alias("mark_b")))
+    return every.join(cut, "key").where((F.col("a") != F.col("b")) & near).select("a", "b")
 
 
 def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, crowded: int = CROWDED) -> DataFrame:
@@ -162,13 +184,17 @@ def near_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, cr
     scratch = Scratch(docs.sparkSession, "line-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     said = lines_of(docs)
-    pairs = scratch.put(_candidates(said, edits, shortest, crowded, scratch), "pairs")
+    lines = scratch.put(distinct_lines(said, shortest), "lines")
+    pairs = scratch.put(_candidates(lines, edits, crowded, scratch), "pairs")
 
     needed = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
-    texts = said.select("line", F.xxhash64("line").alias("id")).join(needed, "id", "left_semi").groupBy("line", "id").agg(F.count(F.lit(1)).alias("n"))
-    texts = scratch.put(texts.select("id", "line").withColumn("number", F.monotonically_increasing_id()), "texts")
+    texts = lines.join(needed, "id", "left_semi").select("id", F.col("text").alias("line")).withColumn("number", F.monotonically_increasing_id())
+    texts = scratch.put(texts, "texts")
+    scratch.drop("lines")
     sides = [texts.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}"), F.col("number").alias(f"number_{s}")) for s in ("a", "b")]
-    checked = pairs.join(sides[0], "a").join(sides[1], "b").where(within(F.col("line_a"), F.col("line_b"), edits))
+    checked = pairs.join(sides[0], "a").join(sides[1], "b")
+    sides = F.col("line_a"), F.col("line_b")
+    checked = checked.where(F.when(keeps_segments(*sides, edits), within(*sides, edits)).otherwise(False))
     links = scratch.put(checked.select(F.col("number_a").alias("a"), F.col("number_b").alias("b")), "links")
     roots = connected(links, scratch, "lines")
     numbered = texts.select(line_key(F.col("line")).alias("id"), F.col("number").alias("node"))

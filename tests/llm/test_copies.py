@@ -215,3 +215,40 @@ def test_banded_bits_agree_with_the_plain_distance(spark):
     for edits in (1, 2, 3):
         got = df.select("a", "b", line_join.within(F.col("a"), F.col("b"), edits).alias("near")).collect()
         assert [(r.a, r.b, r.near) for r in got] == [(a, b, distance(a, b) <= edits) for a, b in pairs]
+
+
+def test_marks_and_segments_keep_lines_that_are_near(spark):
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("ab  é\U0001F600") for _ in range(rng.randint(1, 60)))
+        b, edits = list(a), rng.randint(1, 3)
+        for _ in range(edits):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randint(0, 1)] = [rng.choice("ab é ")] * rng.randint(0, 1)
+        pairs.append((a, "".join(b), edits))
+    df = spark.createDataFrame(pairs, "a string, b string, edits int")
+    for edits in (1, 2, 3):
+        apart = F.bit_count(line_join.mark_of(F.col("a")).bitwiseXOR(line_join.mark_of(F.col("b"))))
+        got = df.where(F.col("edits") == edits).select(apart.alias("apart"), line_join.keeps_segments(F.col("a"), F.col("b"), edits).alias("kept")).collect()
+        assert got and all(r.apart <= 3 * edits and r.kept for r in got)
+
+
+def test_lines_that_share_a_part_only_are_not_compared(spark, monkeypatch):
+    rng = random.Random(5)
+    start = " ".join(cases.WORDS * 2)
+    docs = [(i, start + " " + " ".join(f"{rng.randrange(10 ** 6):06d}" for _ in range(len(start) // 4))) for i in range(30)]
+    docs.append((30, docs[3][1].replace("alpha", "alphas", 1)))
+    put, compared = Scratch.put, []
+
+    def counted(self, df, name, *rest):
+        out = put(self, df, name, *rest)
+        if name == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    for crowded in (64, 1):
+        found = line_join.near_lines(cases.frame(spark, docs), crowded=crowded)
+        assert cases.rows_of(found, "doc_id", "n_lines", "n_dropped", "n_near", "dropped") == lines_loop(docs)
+    assert all(1 <= n < 20 for n in compared), compared
