@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowcast.llm import tokens
-from flowcast.llm.common import Scratch, slices
+from flowcast.llm.common import Scratch, release_memory, slices
 
 CAPACITY = 2048
+BATCH_ROWS = 1000  # whole texts that pass to Python at once
 Plan = list[tuple[list[int], int]]  # fillings with their multiplicities
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -34,6 +35,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
     path = vocabulary or tokens.vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # of what the worker did before
         encode, end = tokens.encoder(path), np.uint32(end_id).astype("<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
@@ -45,6 +47,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
                         own = ids[start:start + 4 * capacity]
                         rows.append((doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
@@ -363,7 +366,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     repeat are packed one by one; a null doc_id stays null. An empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.put(cut_pieces(docs, vocabulary, capacity), "pieces")
+    pieces = scratch.put(cut_pieces(docs, vocabulary, capacity), "pieces", BATCH_ROWS)
     return scratch.keep(pack(pieces, capacity))
 
 

@@ -45,7 +45,7 @@ class _Known(dict):
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. ``remembered`` pieces are kept at most."""
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -123,6 +123,26 @@ def test_token_files(spark):
     assert token_files.token_files(cases.frame(spark, [])).count() == 0
 
 
+def test_packing_reads_few_texts_at_once(spark, tmp_path, monkeypatch):
+    docs = cases.written(spark, [(i, "word") for i in range(4000)], tmp_path).coalesce(1)
+    limit, seen, put = "spark.sql.execution.arrow.maxRecordsPerBatch", [], Scratch.put
+    before = spark.conf.get(limit)
+
+    def watched(self, df, name, *rest):
+        if name == "pieces":
+            seen.append(rest[0] if rest else int(spark.conf.get(limit)))
+        return put(self, df, name, *rest)
+
+    monkeypatch.setattr(Scratch, "put", watched)
+    assert packing.pack_documents(docs).count() == 4000
+    assert seen == [packing.BATCH_ROWS] and seen[0] <= 1000 and spark.conf.get(limit) == before
+
+
+def test_encoder_forgets_before_it_grows_large():
+    own = tokens.Encoder(tokens.vocabulary())
+    assert own._remembered <= 400_000
+
+
 def test_packing(spark):
     rows = cases.texts()
     found = packing.pack_documents(cases.frame(spark, rows), capacity=64).collect()
