@@ -1,13 +1,13 @@
 """Near-equal lines by a segment-partition edit join.
 
-A line is cut into one segment more than edits are allowed, so of two lines within that distance the longer one holds some
-segment of the shorter one unharmed, near its place. Segments are index keys together with the length of their line; the
-longer line probes for each length and segment only with the substrings that position arithmetic leaves. A key that very
-many lines share is refined: as that segment is equal, all edits lie in the rest of the line, which is cut and probed the
-same way. A key carries a mark of its whole line, the parity of how many words it has of each of 31 sorts, which an edit
-can only change in three bits; lines whose marks are further apart do not meet. Of the rest, lines that keep too few of
-many short segments near their place are left out, and what remains is verified with an edit distance that keeps a band of
-diagonals as bits, one word per number of edits, and moves it along the line.
+A line is cut into one segment more than edits are allowed, so of two lines within that distance the longer one holds
+some segment of the shorter one unharmed, near its place. Segments are index keys together with the length of their
+line; the longer line probes for each length and segment only with the substrings that position arithmetic leaves. A key
+that very many lines share is refined: as that segment is equal, all edits lie in the rest of the line, which is cut and
+probed the same way; there a key also carries a mark of its whole line, the parity of how many characters it has of each
+of 31 sorts, which an edit can only change in two bits, and lines whose marks are further apart do not meet. Of the
+rest, lines that keep too few of many short segments near their place are left out, and what remains is verified with an
+edit distance that keeps a band of diagonals as bits, one word per number of edits, and moves it along the line.
 """
 
 from __future__ import annotations
@@ -45,13 +45,13 @@ def line_key(line: Column) -> Column:
 
 
 def mark_of(line: Column) -> Column:
-    """Bit k says whether the number of words (between single blanks) of sort k of 0 to 30 is odd.
+    """Bit k says whether the number of characters whose code modulo 31 is k is odd.
 
-    An edit takes away and adds at most three words together: a blank put into a word leaves two for one, a blank lost one
-    for two. So the marks of lines ``edits`` apart differ in at most 3 * ``edits`` bits.
+    An edit takes away one character at most and adds one at most, so the marks of lines ``edits`` apart differ in at most
+    2 * ``edits`` bits.
     """
     bits = F.array(*[F.lit(1 << k) for k in range(31)])  # bit_count would count the sign of an int as 33 bits
-    return F.aggregate(F.split(line, " "), F.lit(0), lambda mark, word: mark.bitwiseXOR(F.get(bits, F.pmod(F.xxhash64(word), F.lit(31)).cast("int"))))
+    return F.aggregate(F.split(line, ""), F.lit(0), lambda mark, letter: mark.bitwiseXOR(F.get(bits, F.ascii(letter) % 31)))
 
 
 def _keys(rows: DataFrame, kinds: list[tuple[int, int, int]], edits: int) -> DataFrame:
@@ -137,23 +137,23 @@ def keeps_segments(a: Column, b: Column, edits: int, parts: int = 8) -> Column:
 
 
 def distinct_lines(said: DataFrame, shortest: int) -> DataFrame:
-    """id, parent, text, mark: each different line of ``shortest`` characters up, once. Equal ones meet before the shuffle.
+    """id, parent, text, mark (0, as marks are for crowds only): each different line of ``shortest`` characters up, once. Equal ones meet before the shuffle.
 
     Ids are 64-bit hashes of lines. They only lead to candidates, so lines that share one are still told apart.
     """
     lines = said.where(F.char_length("line") >= shortest).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
-    return lines.select(F.xxhash64("line").alias("id"), F.lit(0).cast("long").alias("parent"), F.col("line").alias("text"), mark_of(F.col("line")).alias("mark"))
+    return lines.select(F.xxhash64("line").alias("id"), F.lit(0).cast("long").alias("parent"), F.col("line").alias("text"), F.lit(0).alias("mark"))
 
 
 def _candidates(lines: DataFrame, edits: int, crowded: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of ids of ``lines`` that share a key and have near marks, through the refined keys where a key is crowded."""
+    """Pairs (a, b) of ids of ``lines`` that share a key, through the refined keys where a key is crowded, and there have near marks."""
     hot = index_keys(lines, edits).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key")
     hot = scratch.put(hot, "crowded")
     met = _met(index_keys(lines, edits), probe_keys(lines, edits), edits, hot)
     if not hot.isEmpty():
         def rest(rows: DataFrame) -> DataFrame:
             text = F.concat(F.substring("text", F.lit(1), F.col("start") - 1), F.substring(F.col("text"), F.col("start") + F.col("size"), F.char_length("text")))
-            return rows.join(hot, "key", "left_semi").select("id", F.col("key").alias("parent"), text.alias("text"), "mark")
+            return rows.join(hot, "key", "left_semi").select("id", F.col("key").alias("parent"), text.alias("text"), mark_of(F.col("text")).alias("mark"))
 
         # A line stands for both sides: its rests are indexed where its own segment is hot, and probe there and elsewhere.
         own = scratch.put(rest(index_keys(lines, edits)), "hot-segments")
@@ -168,7 +168,7 @@ def _met(cut: DataFrame, probes: DataFrame, edits: int, without: DataFrame | Non
     cut, probes = cut.select("key", F.col("id").alias("a"), F.col("mark").alias("mark_a")), probes.select("key", F.col("id").alias("b"), F.col("mark").alias("mark_b"))
     if without is not None:
         cut, probes = cut.join(without, "key", "left_anti"), probes.join(without, "key", "left_anti")
-    near = F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b"))) <= 3 * edits
+    near = F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b"))) <= 2 * edits
     every = probes.unionByName(cut.select("key", F.col("a").alias("b"), F.col("mark_a").alias("mark_b")))
     return every.join(cut, "key").where((F.col("a") != F.col("b")) & near).select("a", "b")
 

@@ -231,13 +231,13 @@ def test_marks_and_segments_keep_lines_that_are_near(spark):
     for edits in (1, 2, 3):
         apart = F.bit_count(line_join.mark_of(F.col("a")).bitwiseXOR(line_join.mark_of(F.col("b"))))
         got = df.where(F.col("edits") == edits).select(apart.alias("apart"), line_join.keeps_segments(F.col("a"), F.col("b"), edits).alias("kept")).collect()
-        assert got and all(r.apart <= 3 * edits and r.kept for r in got)
+        assert got and all(r.apart <= 2 * edits and r.kept for r in got)
 
 
 def test_lines_that_share_a_part_only_are_not_compared(spark, monkeypatch):
     rng = random.Random(5)
-    start = " ".join(cases.WORDS * 2)
-    docs = [(i, start + " " + " ".join(f"{rng.randrange(10 ** 6):06d}" for _ in range(len(start) // 4))) for i in range(30)]
+    start = " ".join(cases.WORDS * 3)
+    docs = [(i, start + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(len(start) // 4))) for i in range(30)]
     docs.append((30, docs[3][1].replace("alpha", "alphas", 1)))
     put, compared = Scratch.put, []
 
@@ -248,6 +248,6 @@ def test_lines_that_share_a_part_only_are_not_compared(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(Scratch, "put", counted)
-    found = line_join.near_lines(cases.frame(spark, docs), crowded=64)
+    found = line_join.near_lines(cases.frame(spark, docs), crowded=1)
     assert cases.rows_of(found, "doc_id", "n_lines", "n_dropped", "n_near", "dropped") == lines_loop(docs)
     assert 1 <= compared[0] < 20
