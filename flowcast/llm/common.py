@@ -51,23 +51,31 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str, batch_rows: int | None = None, options: dict | None = None) -> DataFrame:
         """``batch_rows`` limits what passes to Python at once, for steps whose rows are large; ``options`` go to the writer."""
-        path, limit = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(limit)
-        if batch_rows:
-            self.spark.conf.set(limit, batch_rows)
+        return self._written(df, self.path(name), {"spark.sql.execution.arrow.maxRecordsPerBatch": batch_rows} if batch_rows else {}, options or {})
+
+    def _written(self, df: DataFrame, path: str, settings: dict, options: dict) -> DataFrame:
+        """Shuffle files of the write go when it is done; Spark would leave them until the driver collects its garbage."""
+        settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | settings
+        before = {key: self.spark.conf.get(key, None) for key in settings}
+        for key, value in settings.items():
+            self.spark.conf.set(key, value)
         try:
-            df.write.options(**(options or {})).parquet(path)
+            df.write.options(**options).parquet(path)
         finally:
-            self.spark.conf.set(limit, before)
+            for key, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(key)
+                else:
+                    self.spark.conf.set(key, value)
         return self.spark.read.parquet(path)
 
     def drop(self, name: str) -> None:
         remove(self.spark, self.path(name))
 
     def keep(self, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.root}/result")
+        result = self._written(df, f"{self.root}/result", {}, {})
         remove(self.spark, f"{self.root}/work")
-        return self.spark.read.parquet(f"{self.root}/result")
+        return result
 
 
 def lower_ascii(word: Column) -> Column:

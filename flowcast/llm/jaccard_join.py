@@ -1,7 +1,8 @@
 """Exact Jaccard join of documents on word shingles with token-combination prefixes.
 
-Shingles are ordered by how often the corpus holds them (classes of a count sketch of fixed size, summed over all
-documents), rare ones first. By the prefix rule two similar sets share a shingle among their first few; with prefixes
+Shingles are ordered by how often the corpus holds them, rare ones first. They are counted in 2**32 cells by a shuffle of about
+a byte and a half each. Only the fullest cells, ``LISTED`` at most, pass through the driver: a table of 2**TABLE_BITS bytes
+at most has the class of their counts, and all other shingles but those that share an entry with them are equally rare. By the prefix rule two similar sets share a shingle among their first few; with prefixes
 longer by one they share two. So rare shingles of the longer prefix are index keys by themselves, and frequent ones only
 in pairs. Documents of over ``PAIRED`` shingles index frequent ones singly, and so do those just below, so that every
 similar pair uses a common kind of key.
@@ -24,16 +25,21 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowcast.llm.common import Scratch, slices, table
+from flowcast.llm.common import Scratch, release_memory, slices, table
 from flowcast.llm.components import connected
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH_BITS, SLICE_BITS = 23, 18
+CELL_BITS, SLICE_BITS = 32, 22  # shingles are counted by their first bits; of these the last are a place in a slice
+RUN = 4_000_000  # shingles that a task counts at once
+SELDOM = 3  # class of a cell that may be listed: three documents and up
+FREQUENT = 8  # class of 16 documents and up
+LISTED, TABLE_BITS = 2**24, 25
 PAIRED = 256
 FEW = 8  # nodes of a key that are compared pair by pair
 PAIR, STAR = 0, 1
 LARGE_ROWS = 100  # rows with whole sets that pass to Python at once
+SLICE_ROWS = 500  # rows with slices of cells that do
 NO_ID = -(2**63)  # stands for a null doc_id inside
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -114,52 +120,109 @@ def _nodes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 READ = "doc_id long, row long, node long, n_shingles long, slice int, counts binary"
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Sorted places in a slice as gaps; their lowest bytes are as good as random, the others are compressed."""
+    gaps = np.diff(places, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return len(gaps).to_bytes(4, "little") + gaps[:, 0].tobytes() + zlib.compress(gaps[:, 1:3].T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    high = np.frombuffer(zlib.decompress(packed[4 + n:]), np.uint8).reshape(2, n).astype(np.uint32)
+    return np.cumsum(np.frombuffer(packed, np.uint8, n, 4) + (high[0] << 8) + (high[1] << 16), dtype=np.uint32)
+
+
+def _by_slice(cells: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
+    own = np.concatenate(cells)
+    own.sort()
+    numbers, first = np.unique(own >> SLICE_BITS, return_index=True)
+    return numbers.tolist(), [_packed(part & np.uint32(2**SLICE_BITS - 1)) for part in np.split(own, first[1:])]
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's set number and size, then the task's counts of shingle hashes in compressed slices."""
+    """Each document's set number and size, and now and then the cells of its shingles and of those before, by slice."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
-    counts = np.zeros(2**SKETCH_BITS, np.uint32)
+    release_memory()
+    held, size = [], 0
+
+    def told() -> pa.RecordBatch:
+        numbers, packed = _by_slice(held)
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(numbers), pa.int64())] * 4, pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+
     for batch in batches:
         for part in slices(batch):
             value, bounds = shingle_sets(part["text"].to_pylist())
-            np.add.at(counts, value >> _U(64 - SKETCH_BITS), np.uint32(1))
+            held.append((value >> _U(64 - CELL_BITS)).astype(np.uint32))
+            size += len(value)
             n = len(bounds) - 1
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["row"], pa.array(_nodes(value, bounds)), pa.array(np.diff(bounds)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-    size = 2**SLICE_BITS
-    for k in range(2**(SKETCH_BITS - SLICE_BITS)):
-        own = counts[k * size:(k + 1) * size]
-        if own.any():
-            packed = zlib.compress(np.minimum(own, 65535).astype("<u2").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([packed], pa.binary())], schema=schema)
+            if size >= RUN:
+                yield told()
+                held, size = [], 0
+    if size:
+        yield told()
 
 
-def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the slices that meet in a partition; the partition holds all rows of its slices."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, packed in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            sums.setdefault(k, np.zeros(2**SLICE_BITS, np.int64))
-            sums[k] += np.frombuffer(zlib.decompress(packed), "<u2")
-    for k, total in sums.items():
-        classes = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(total.sum())], pa.int64()), pa.array([zlib.compress(classes.tobytes(), 1)])], names=["slice", "total", "classes"])
+def _summed(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    cells, counts = np.concatenate(cells), np.concatenate(counts)
+    order = np.argsort(cells, kind="stable")
+    cells, counts = cells[order], counts[order]
+    first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    return cells[first], np.add.reduceat(counts, first)
 
 
-def frequency_classes(read: DataFrame) -> tuple[np.ndarray, int]:
-    """The class of each sketch cell, and the class from which a shingle counts as frequent.
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by slice become, for each slice and class, the cells of that class; the partition holds all rows of its slices."""
+    last, cells, counts, size = None, [], [], 0
 
-    2**SKETCH_BITS bytes whatever the corpus, so they may pass through the driver to all workers.
+    def told() -> Iterator[pa.RecordBatch]:
+        place, n = _summed(cells, counts)
+        place, n = place[n >= 2**(SELDOM / 2)], n[n >= 2**(SELDOM / 2)]
+        kind = np.floor(2 * np.log2(n)).astype(np.uint8)
+        for k in np.unique(kind).tolist():
+            own = place[kind == k]
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([k], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([_packed(own)], pa.binary())], names=["slice", "class", "n", "cells"])
+
+    for batch in batches:
+        for k, packed in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            if k != last and size:
+                yield from told()
+                cells, counts, size = [], [], 0
+            last = k
+            place, n = np.unique(_unpacked(packed), return_counts=True)
+            cells.append(place)
+            counts.append(n)
+            size += len(place)
+            if size > 2 * max(2**20, len(cells[0])):  # so many that summing them is worth it
+                cells, counts = ([c] for c in _summed(cells, counts))
+                size = len(cells[0])
+    if size:
+        yield from told()
+
+
+def frequency_classes(read: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
+    """A class for each hash by its first bits, 0 for rare ones, and the class from which a shingle counts as frequent.
+
+    All cells of a class are listed or none, and ``LISTED`` at most, so they may pass through the driver to all workers
+    whatever the corpus.
     """
-    rows = read.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(_sum_slices, "slice int, total long, classes binary").collect()
-    classes, size = np.zeros(2**SKETCH_BITS, np.uint8), 2**SLICE_BITS
-    for row in rows:
-        classes[row["slice"] * size:(row["slice"] + 1) * size] = np.frombuffer(zlib.decompress(row["classes"]), np.uint8)
-    load = sum(row["total"] for row in rows) / 2**SKETCH_BITS
-    return classes, int(2 * np.log2(4 * load + 8))
+    runs = read.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").sortWithinPartitions("slice")
+    often = scratch.put(runs.mapInArrow(_often, "slice int, class int, n long, cells binary"), "often", SLICE_ROWS)
+    least, listed = 255, 0
+    for kind, n in sorted(often.groupBy("class").agg(F.sum("n")).collect(), reverse=True):
+        if listed + n > LISTED:
+            break
+        least, listed = kind, listed + n
+    bits = min(TABLE_BITS, max(20, (4 * listed).bit_length()))
+    classes = np.zeros(2**bits, np.uint8)
+    for number, kind, packed in sorted(often.where(F.col("class") >= least).select("slice", "class", "cells").collect(), key=lambda row: row["class"]):
+        classes[(_unpacked(packed) + np.uint32(number << SLICE_BITS)) >> (CELL_BITS - bits)] = kind  # the largest is the last
+    return classes, max(FREQUENT, least)
 
 
 def _prefix(own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """A set's hashes in the global order with their classes, and the length of its prefix."""
-    kind = classes[own >> _U(64 - SKETCH_BITS)]
+    kind = classes[own >> _U(65 - len(classes).bit_length())]
     order = np.lexsort((own, kind))
     return own[order], kind[order], len(own) - (len(own) * PERCENT + 99) // 100 + 1
 
@@ -329,6 +392,7 @@ def similar_nodes(docs: DataFrame, reps: DataFrame, shared: Broadcast, scratch:
         edges = edges.join(reps.select(F.col("node").alias(side), F.col("n").alias(f"n{side}")), side)
     fit = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
     edges = scratch.put(edges.where(F.col("star") | fit).select("a", "b", "star"), "edges")
+    scratch.drop("met")
 
     # Sets of the nodes that met another one, each computed once from its representative.
     involved = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -382,10 +446,11 @@ def near_duplicates(docs: DataFrame, row: Column | None = None) -> DataFrame:
     number = F.monotonically_increasing_id() if row is None else row.cast("long")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), number.alias("row"))
     read = scratch.put(docs.mapInArrow(_read, READ), "read")
-    members = read.where("slice IS NULL").select("doc_id", "row", "node", "n_shingles")
+    members = scratch.put(read.where("slice IS NULL").select("doc_id", "row", "node", "n_shingles"), "members")
+    shared = spark.sparkContext.broadcast(frequency_classes(read, scratch))
+    scratch.drop("read")
     filled = members.where("n_shingles > 0")
     reps = scratch.put(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "reps")
-    shared = spark.sparkContext.broadcast(frequency_classes(read))
     roots = similar_nodes(docs, reps, shared, scratch)
     named = filled.groupBy("node").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("least"))
     named = scratch.put(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")

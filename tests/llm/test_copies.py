@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import cases
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,35 @@ def test_shingle_sets_of_batches_equal_those_of_single_texts():
         assert len(own) == len(shingles(text))
 
 
+def test_often_shingles_stand_apart_among_many_rare_ones(spark):
+    rng = np.random.default_rng(1)
+    rare, often = (rng.integers(0, 2**58, n, np.uint64) for n in (1_000_000, 300))  # crowded as in a corpus of 64 million shingles
+    runs = [np.concatenate([part, often, often]) for part in np.array_split(rare, 10)]
+    rows = [row for run in runs for row in zip(*jaccard_join._by_slice([(run >> np.uint64(32)).astype(np.uint32)]))]
+    read = spark.createDataFrame([(number, bytearray(packed)) for number, packed in rows], "slice int, counts binary")
+    classes, frequent = jaccard_join.frequency_classes(read, Scratch(spark, "classes"))
+    assert frequent == 8 and (jaccard_join._prefix(often, classes)[1] == 8).all()  # 20 times each
+    assert (jaccard_join._prefix(rare, classes)[1] == 0).mean() > 0.95
+    packed = [jaccard_join._packed(p) for p in (np.zeros(0, np.uint32), np.array([0, 0, 5, 2**22 - 1], np.uint32))]
+    assert [jaccard_join._unpacked(p).tolist() for p in packed] == [[], [0, 0, 5, 2**22 - 1]]
+
+
+def test_shuffle_files_go_when_a_scratch_table_is_written(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_")}
+
+    before, scratch = files(), Scratch(spark, "shuffled")
+    rows = scratch.put(spark.range(1000).repartition(3, "id"), "rows")
+    kept = scratch.keep(rows.groupBy("id").count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert kept.count() == 1000
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (200, 201), (201, 200)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected(edges, Scratch(spark, "path"), "p").collect()}
