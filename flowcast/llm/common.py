@@ -95,7 +95,7 @@ def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     name = "_row"
     while name in docs.columns:
         name += "_"
-    return scratch.put(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    return scratch.put(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", options={"compression": "zstd"}), name
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame, row: str | None = None) -> DataFrame:
